@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import as_col
 
 RANGE = "_range"
-ROWS_PER_RANGE = 1_000_000
+ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 65_536
 SKETCH_GROUPS = 512
 SKETCH_POINTS = 1_024
+SKETCH_SHARE = 0.02
 
 
 def range_cuts(
@@ -34,7 +35,7 @@ def range_cuts(
 ) -> tuple[float, ...]:
     """Cut points that split ``column`` into ranges of about equal row counts.
 
-    One pass over one column.  At most ``SKETCH_GROUPS`` quantile sketches of
+    One pass over one column, sketching a share of it.  At most ``SKETCH_GROUPS`` quantile sketches of
     ``SKETCH_POINTS`` values reach the driver whatever the input size, and no
     reducer merges more than its share of the map-side sketches.  Cuts steer
     balance only; results do not depend on them.  Small inputs get no cuts.
@@ -44,11 +45,13 @@ def range_cuts(
     sketches = (
         df.select(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"), value.alias("v"))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
+        .sample(SKETCH_SHARE, seed=0)
         .groupBy("g")
         .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probs, 4 * SKETCH_POINTS).alias("q"))
         .collect()
     )
-    total = sum(r["n"] for r in sketches)
+    seen = sum(r["n"] for r in sketches)
+    total = seen / SKETCH_SHARE
     wanted = min(max_ranges, math.ceil(total / rows_per_range))
     if wanted <= 1:
         return ()
@@ -56,7 +59,7 @@ def range_cuts(
     mass = np.concatenate([np.full(len(r["q"]), r["n"] / len(r["q"])) for r in sketches])
     order = np.argsort(points, kind="stable")
     reached = np.cumsum(mass[order])
-    at = np.searchsorted(reached, np.arange(1, wanted) * (total / wanted))
+    at = np.searchsorted(reached, np.arange(1, wanted) * (seen / wanted))
     return tuple(float(v) for v in np.unique(points[order][np.minimum(at, len(order) - 1)]))
 
 

@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a table comes in fewer splits than there are cores.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- predictions ------------------------------------------------------------------
 
 def pred_l(spark, sf) -> DataFrame:
@@ -40,8 +49,11 @@ def pred_l(spark, sf) -> DataFrame:
         F.struct(F.lit(c).alias("run_id"), F.col(c).alias("score"))
         for c in ("l_discount", "l_tax", "l_quantity", "l_extendedprice")
     ])
+    narrow = t.select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity", "l_extendedprice"
+    )
     return (
-        t.select("l_orderkey", "l_linenumber", labels.alias("ls"), runs.alias("rs"))
+        spread(narrow).select("l_orderkey", "l_linenumber", labels.alias("ls"), runs.alias("rs"))
         .select("l_orderkey", "l_linenumber", "ls", F.inline("rs"))
         .select("l_orderkey", "l_linenumber", "run_id", "score", F.inline("ls"))
     )
@@ -67,7 +79,7 @@ def _small_rows(spark, sf) -> DataFrame:
         F.struct(F.lit("never").alias("label"), F.lit(0).alias("y")),
     )
     return (
-        t.select(F.col("doc_id").alias("record_id"), labels.alias("ls"), groups.alias("gs"))
+        spread(t).select(F.col("doc_id").alias("record_id"), labels.alias("ls"), groups.alias("gs"))
         .select("record_id", "ls", F.inline("gs"))
         .select("record_id", "grp", "strength", F.inline("ls"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
@@ -292,7 +304,9 @@ def history(spark, sf) -> DataFrame:
     """Epoch histories: run = user mod 8, epoch = day; a metric may be undefined."""
     e = table(spark, sf, "events")
     day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01")))
-    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 4)
+    # values have two decimals; whole cents make the mean independent of the summing order
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, cents)) / 100
     return (
         e.withColumn("run", F.col("user_id") % 8).withColumn("epoch", day)
         .groupBy("run", "epoch")
@@ -311,14 +325,16 @@ def history(spark, sf) -> DataFrame:
 
 
 HIST = """
+ev AS (
+  SELECT user_id % 8 AS run, datediff('day', DATE '2024-01-01', ts::DATE)::INT AS epoch, event_type, round(value * 100)::BIGINT AS cents FROM events),
+hm AS (
+  SELECT run, epoch, avg(cents) FILTER (event_type = 'view') / 100 AS train_loss,
+         avg(cents) FILTER (event_type = 'click') / 100 AS macro_all,
+         avg(cents) FILTER (event_type = 'purchase') / 100 AS mc
+  FROM ev GROUP BY run, epoch),
 hist AS (
-  SELECT 'r' || (user_id % 8) AS run_id, ((user_id % 8) // 2)::INT AS config, ((user_id % 8) % 2)::INT AS block,
-         datediff('day', DATE '2024-01-01', ts::DATE)::INT AS epoch,
-         round(avg(value) FILTER (event_type = 'view'), 4) AS train_loss,
-         round(avg(value) FILTER (event_type = 'click'), 4) AS macro_all,
-         CASE WHEN datediff('day', DATE '2024-01-01', ts::DATE) % 5 <> 3
-              THEN round(avg(value) FILTER (event_type = 'purchase'), 4) END AS macro_clean
-  FROM events GROUP BY ALL)"""
+  SELECT 'r' || run AS run_id, (run // 2)::INT AS config, (run % 2)::INT AS block, epoch, train_loss, macro_all,
+         CASE WHEN epoch % 5 <> 3 THEN mc END AS macro_clean FROM hm)"""
 
 
 def run_matrix(spark, sf) -> DataFrame:

@@ -29,6 +29,10 @@ def _values(df, *keys, digits=6):
     return df.select(*keys, F.posexplode("samples").alias("m", "value")).withColumn("value", F.round("value", digits))
 
 
+def _arrays(df):
+    return df.select("record_id", "lead", F.size("samples").alias("n"), "samples")
+
+
 def fir_cte(src: str, n_in: int, up: int, down: int, keys: str, name: str = "fir") -> str:
     taps = kernels.resample_taps(up, down)
     half = len(taps) // 2
@@ -66,7 +70,8 @@ def _stored(spark, sf):
 SELECT 'hr' AS source, unnest([40, 20]) AS fs, false AS notch, count(*) AS n_rows, unnest([64, 32]) AS n_samples FROM sig""")
 def signal_store_write(spark, sf):
     root, _ = _stored(spark, sf)
-    return spark.read.parquet(f"{root}/signals").groupBy("source", "fs", "notch").agg(
+    got = store.read_signals(spark, root, rates=[FS, LOW_FS], notch=False)
+    return got.groupBy("source", "fs", "notch").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size("samples")).alias("n_samples")
     )
 
@@ -165,7 +170,7 @@ def global_scaler(spark, sf):
 
 
 @query("standardise", with_(b.SIG, _SCALER) + """
-SELECT record_id, lead, round(list_sum(list_transform(samples, x -> (x::DOUBLE - mean) / std)), 4) AS total, len(samples)::INT AS n
+SELECT record_id, lead, round(list_sum([((x::DOUBLE - mean) / std)::FLOAT::DOUBLE FOR x IN samples]), 4) AS total, len(samples)::INT AS n
 FROM sig, scaler""")
 def standardise(spark, sf):
     sig = b.sig(spark, sf, FS)
@@ -225,13 +230,12 @@ def fir_resample_12_25(spark, sf):
 
 @query("notch_filter")
 def notch_filter(spark, sf):
-    return _values(S.notch_filter(b.sig_t(spark, sf)), "record_id", "lead")
+    return _arrays(S.notch_filter(b.sig_t(spark, sf)))
 
 
 @query("preprocess")
 def preprocess(spark, sf):
-    done = S.preprocess(b.sig_t(spark, sf), 240)
-    return _values(done.withColumn("samples", F.col("samples").cast("array<double>")), "record_id", "lead")
+    return _arrays(S.preprocess(b.sig_t(spark, sf), 240))
 
 
 # --- spectra ---------------------------------------------------------------------------------------------
@@ -261,10 +265,10 @@ sx AS (
   SELECT record_id, lead, s, n, (x - mu) * (0.5 - 0.5 * cos(2 * pi() * n / 32)) AS x
   FROM (SELECT record_id, lead, s, list_avg(w) AS mu, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS n FROM seg)),
 sp AS (
-  SELECT record_id, lead, s, bin, (pow(sum(x * cos(2 * pi() * bin * n / 32)), 2) + pow(sum(x * sin(2 * pi() * bin * n / 32)), 2))
-    * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / (64 * 12.0::DOUBLE) AS p
-  FROM sx, range(17) t(bin) GROUP BY ALL)""") + """
-SELECT bin::INT AS bin, bin * 2.0::DOUBLE AS freq, round(avg(p), 8) AS power FROM sp GROUP BY bin""")
+  SELECT record_id, lead, s, bin, pow(sum(x * cos(2 * pi() * bin * n / 32)), 2) + pow(sum(x * sin(2 * pi() * bin * n / 32)), 2) AS q
+  FROM sx, range(17) t(bin) GROUP BY record_id, lead, s, bin),
+sq AS (SELECT bin, q * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / (64 * 12.0::DOUBLE) AS p FROM sp)""") + """
+SELECT bin::INT AS bin, bin * 2.0::DOUBLE AS freq, round(avg(p), 8) AS power FROM sq GROUP BY bin""")
 def welch_psd(spark, sf):
     return S.welch_psd(b.sig(spark, sf, 64), 64, 32).withColumn("power", rnd("power"))
 

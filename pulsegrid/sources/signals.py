@@ -102,7 +102,8 @@ def write_signals(signals: DataFrame, root: str, *, source: str, fs: int, notch:
         F.raise_error(F.lit(f"a signal does not have {n_samples} samples"))
     )
     rows = signals.withColumns({
-        "samples": size.cast("array<float>"), "source": F.lit(source), "fs": F.lit(fs), "notch": F.lit(notch),
+        "samples": size.cast("array<float>"), "source": F.lit(source), "fs": F.lit(fs),
+        "notch": F.lit(int(notch)),  # folder names carry 0/1
     })
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{root}/signals")
     name = f"{source}_fs{fs}_notch{int(notch)}"
@@ -132,6 +133,7 @@ def read_signals(spark: SparkSession, root: str, *, rates: Sequence[int], source
             raise FileNotFoundError(f"no coherent store for {source}, {fs} Hz, notch={notch}")
         if want is not None and have["record_fingerprint"] != want:
             raise FileNotFoundError(f"the store at {fs} Hz holds other records")
-    return spark.read.parquet(f"{root}/signals").where(
-        (F.col("source") == source) & F.col("fs").isin(*rates) & (F.col("notch") == notch)
+    stored = spark.read.parquet(f"{root}/signals").where(
+        (F.col("source") == source) & F.col("fs").isin(*rates) & (F.col("notch") == int(notch))
     )
+    return stored.withColumn("notch", F.col("notch") == 1)
