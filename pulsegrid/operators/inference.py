@@ -87,7 +87,7 @@ def _counts_relational(preds: DataFrame, by: list[str], n: int, n_boot: int, see
 def _counts_parallel(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
     spark = preds.sparkSession
     keys = [*by, "label"]
-    local = preds.select("record_id", *keys, "y", "score").toPandas()
+    local = preds.select("record_id", *keys, "y", "score").toArrow().to_pandas()
     group, names = pd.factorize(pd.MultiIndex.from_frame(local[keys]), sort=True)
     _, record = np.unique(local["record_id"].to_numpy(), return_inverse=True)
     score = local["score"].to_numpy(dtype=np.float64)
