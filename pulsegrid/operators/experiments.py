@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import set_fingerprint
+from .prefix import lookup_join
 
 #: What determines a run's weights.  ``source`` belongs to it, ``selection`` does not.
 CONFIG = ("fs", "arm", "notch", "source", "seed")
@@ -14,13 +15,12 @@ METRICS = ("macro_all", "macro_clean")
 
 
 def duplicate_configs(runs: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:
-    """Configurations of more than one run, with their runs in order.
+    """Runs whose configuration occurs more than once: ``(config…, n_runs, run_id)``.
 
-    The list holds the runs of one exact configuration, seed included.
+    Long form, so a configuration with many runs is never gathered.
     """
-    return runs.groupBy(*config).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.array_join(F.sort_array(F.collect_list("run_id")), ",").alias("run_ids")
-    ).where(F.col("n_runs") > 1)
+    counts = runs.groupBy(*config).agg(F.count(F.lit(1)).alias("n_runs")).where(F.col("n_runs") > 1)
+    return lookup_join(runs.select(*config, "run_id"), counts, config, "n_runs")
 
 
 def replicate_pairs(runs: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import hex60, is_finite
-from .prefix import dense_index, range_cuts, running, running_max
+from .prefix import Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max
 from .ranking import accuracy_at, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen, pair_counts
 
 #: Largest prediction table (rows) the replicate-parallel form may broadcast.
-BROADCAST_ROWS = 5_000_000
+BROADCAST_ROWS = 2_000_000
 #: Draws generated per task of the relational form.
 DRAWS_PER_TASK = 4_000_000
 
@@ -29,7 +29,7 @@ def draw_slots(spark: SparkSession, n: int, n_boot: int, seed: int = 0) -> DataF
     total = n_boot * half
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK))
     base = spark.range(0, total, 1, tasks).select(
-        F.floor(F.col("id") / F.lit(half)).cast("bigint").alias("rep"), (F.col("id") % half).alias("h")
+        F.expr(f"id div {half}").alias("rep"), (F.col("id") % half).alias("h")
     )
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("h").cast("string")))
     return (
@@ -66,7 +66,7 @@ def bootstrap_counts(
     ``relational`` joins weights to predictions and has no size limit.  Both give
     the same integers.
     """
-    rows, n = preds.agg(F.count(F.lit(1)), F.countDistinct("record_id")).first()
+    rows, n = preds.agg(F.count(F.lit(1)), F.count_distinct("record_id")).first()
     if strategy == "auto":
         strategy = "parallel" if rows <= broadcast_rows else "relational"
     if strategy == "parallel":
@@ -79,9 +79,9 @@ def bootstrap_counts(
 def _counts_relational(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
     numbered = dense_index(preds.select("record_id").distinct(), "record_id")
     indexed = preds.select("record_id", *by, "label", "y", "score").join(numbered, "record_id").drop("record_id")
-    cuts = range_cuts(preds, "score")
+    cuts, repeats = range_layout(preds, "score")
     weighted = index_weights(preds.sparkSession, n, n_boot, seed).join(indexed, "idx")
-    return pair_counts(weighted, ["rep", *by, "label"], weight="w", cuts=cuts)
+    return pair_counts(weighted, ["rep", *by, "label"], weight="w", cuts=cuts, combine=repeats)
 
 
 def _counts_parallel(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
@@ -214,15 +214,21 @@ def holm(df: DataFrame, family: Sequence[str], p: str = "p_raw", cuts: Sequence[
          name: str = "p_holm") -> DataFrame:
     """Holm step-down adjustment inside each family, families of any size.
 
-    Equal p-values share an adjusted value, so distinct values suffice.
+    Equal p-values share an adjusted value.  Without cuts (small families) one
+    pass of windows does it; with cuts distinct values are scanned by range.
     """
     family = list(family)
     cuts = range_cuts(df, p) if cuts is None else cuts
+    if not cuts:
+        whole, by_p = Window.partitionBy(*family), Window.partitionBy(*family).orderBy(p)
+        left = F.count(F.lit(1)).over(whole) - F.rank().over(by_p) + 1
+        top = F.max("_s").over(by_p.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn("_s", left * F.col(p)).withColumn(name, F.least(F.lit(1.0), top)).drop("_s")
     steps = running(df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")), family, p, ["_n"], cuts, totals=True)
     scaled = steps.withColumn("_s", (F.col("all__n") - F.col("before__n")) * F.col(p))
     top = running_max(scaled.select(*family, p, "_s", "_n"), family, p, "_s", cuts, "_top")
-    adjusted = top.select(*family, p, F.least(F.lit(1.0), F.col("_top")).alias(name))
-    return df.join(adjusted, [*family, p])
+    adjusted = top.select(*family, p, "_n", F.least(F.lit(1.0), F.col("_top")).alias(name))
+    return lookup_join(df, adjusted, [*family, p], "_n").drop("_n")
 
 
 def simultaneous(summary: DataFrame, family: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -294,54 +300,54 @@ def group_results(
     )
 
 
-#: ``metric(df, keys, weight, cuts) -> (keys…, value)``.
-Metric = Callable[[DataFrame, Sequence[str], str | None, Sequence[float]], DataFrame]
+#: ``metric(df, keys, weight, layout) -> (keys…, value)``.
+Metric = Callable[[DataFrame, Sequence[str], str | None, Layout], DataFrame]
 
 
 def bootstrap_metric(preds: DataFrame, metric: Metric, by: Sequence[str], n_boot: int, seed: int = 0,
-                     cuts: Sequence[float] | None = None) -> DataFrame:
+                     layout: Layout | None = None) -> DataFrame:
     """Draws of any metric on the shared resample.
 
-    A replicate reweights the same scores, so the ranges of the plain predictions
-    serve every replicate.
+    A replicate reweights the same scores, so the layout of the plain predictions
+    serves every replicate.
     """
-    cuts = range_cuts(preds, "score") if cuts is None else cuts
+    layout = range_layout(preds, "score") if layout is None else layout
     weighted = bootstrap_weights(preds, n_boot, seed).join(preds, "record_id")
-    return metric(weighted, ["rep", *by], "w", cuts)
+    return metric(weighted, ["rep", *by], "w", layout)
 
 
 def bootstrap_ci(preds: DataFrame, metric: Metric, by: Sequence[str], n_boot: int = 2_000, seed: int = 0,
                  alpha: float = 0.05) -> DataFrame:
     """Point and percentile interval of one metric per model."""
-    cuts = range_cuts(preds, "score")
-    point = metric(preds, list(by), None, cuts).withColumnRenamed("value", "point")
-    spread = percentile_ci(bootstrap_metric(preds, metric, by, n_boot, seed, cuts), by, alpha=alpha)
+    layout = range_layout(preds, "score")
+    point = metric(preds, list(by), None, layout).withColumnRenamed("value", "point")
+    spread = percentile_ci(bootstrap_metric(preds, metric, by, n_boot, seed, layout), by, alpha=alpha)
     return point.join(spread, list(by))
 
 
 def paired_bootstrap(preds: DataFrame, metric: Metric, n_boot: int = 2_000, seed: int = 0, alpha: float = 0.05,
                      group: str = "grp") -> DataFrame:
     """Paired differences of one metric between models scored on the same records."""
-    cuts = range_cuts(preds, "score")
-    point = group_pairs(metric(preds, [group], None, cuts).withColumn("_k", F.lit(0)), ["_k"], group).select(
+    layout = range_layout(preds, "score")
+    point = group_pairs(metric(preds, [group], None, layout).withColumn("_k", F.lit(0)), ["_k"], group).select(
         "a", "b", F.col("value").alias("diff")
     )
-    draws = group_pairs(bootstrap_metric(preds, metric, [group], n_boot, seed, cuts), ["rep"], group)
+    draws = group_pairs(bootstrap_metric(preds, metric, [group], n_boot, seed, layout), ["rep"], group)
     summary = draw_summary(draws, ["a", "b"], alpha=alpha)
     return summary.join(point, ["a", "b"]).select(
         "a", "b", "diff", "lo", "hi", F.col("p_raw").alias("p_value"), crosses_zero().alias("crosses_zero")
     )
 
 
-def macro_auroc_metric(df: DataFrame, keys: Sequence[str], weight: str | None, cuts: Sequence[float]) -> DataFrame:
-    return auroc(df, [*keys, "label"], weight, cuts).groupBy(*keys).agg(F.avg("auroc").alias("value"))
+def macro_auroc_metric(df: DataFrame, keys: Sequence[str], weight: str | None, layout: Layout) -> DataFrame:
+    return auroc(df, [*keys, "label"], weight, layout.cuts, layout.repeats).groupBy(*keys).agg(F.avg("auroc").alias("value"))
 
 
-def macro_auprc_metric(df: DataFrame, keys: Sequence[str], weight: str | None, cuts: Sequence[float]) -> DataFrame:
-    return label_scores(df, [*keys, "label"], weight, cuts).groupBy(*keys).agg(F.avg("auprc").alias("value"))
+def macro_auprc_metric(df: DataFrame, keys: Sequence[str], weight: str | None, layout: Layout) -> DataFrame:
+    return label_scores(df, [*keys, "label"], weight, layout.cuts).groupBy(*keys).agg(F.avg("auprc").alias("value"))
 
 
-def accuracy_metric(df: DataFrame, keys: Sequence[str], weight: str | None, cuts: Sequence[float]) -> DataFrame:
+def accuracy_metric(df: DataFrame, keys: Sequence[str], weight: str | None, layout: Layout) -> DataFrame:
     return accuracy_at(df, keys, weight).withColumnRenamed("accuracy", "value")
 
 

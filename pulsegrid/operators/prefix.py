@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -27,18 +28,26 @@ SKETCH_POINTS = 1_024
 SKETCH_SHARE = 0.02
 
 
-def range_cuts(
+class Layout(NamedTuple):
+    """How to scan a column: cut points, and whether its values repeat often."""
+
+    cuts: tuple[float, ...]
+    repeats: bool
+
+
+def range_layout(
     df: DataFrame,
     column: str,
     rows_per_range: int = ROWS_PER_RANGE,
     max_ranges: int = MAX_RANGES,
-) -> tuple[float, ...]:
+) -> Layout:
     """Cut points that split ``column`` into ranges of about equal row counts.
 
-    One pass over one column, sketching a share of it.  At most ``SKETCH_GROUPS`` quantile sketches of
-    ``SKETCH_POINTS`` values reach the driver whatever the input size, and no
-    reducer merges more than its share of the map-side sketches.  Cuts steer
-    balance only; results do not depend on them.  Small inputs get no cuts.
+    One pass over one column, sketching a share of it.  At most
+    ``SKETCH_GROUPS`` quantile sketches of ``SKETCH_POINTS`` values reach the
+    driver whatever the input size, and no reducer merges more than its share of
+    the map-side sketches.  The layout steers balance only; results do not depend
+    on it.  Small inputs get no cuts.
     """
     probs = [(i + 0.5) / SKETCH_POINTS for i in range(SKETCH_POINTS)]
     value = as_col(column).cast("double")
@@ -47,20 +56,27 @@ def range_cuts(
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .sample(SKETCH_SHARE, seed=0)
         .groupBy("g")
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probs, 4 * SKETCH_POINTS).alias("q"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d"),
+            F.percentile_approx("v", probs, 4 * SKETCH_POINTS).alias("q"),
+        )
         .collect()
     )
     seen = sum(r["n"] for r in sketches)
-    total = seen / SKETCH_SHARE
-    wanted = min(max_ranges, math.ceil(total / rows_per_range))
+    repeats = sum(r["d"] for r in sketches) < seen / 2
+    wanted = min(max_ranges, math.ceil(seen / SKETCH_SHARE / rows_per_range))
     if wanted <= 1:
-        return ()
+        return Layout((), repeats)
     points = np.concatenate([np.asarray(r["q"], dtype=float) for r in sketches])
     mass = np.concatenate([np.full(len(r["q"]), r["n"] / len(r["q"])) for r in sketches])
     order = np.argsort(points, kind="stable")
     reached = np.cumsum(mass[order])
     at = np.searchsorted(reached, np.arange(1, wanted) * (seen / wanted))
-    return tuple(float(v) for v in np.unique(points[order][np.minimum(at, len(order) - 1)]))
+    return Layout(tuple(float(v) for v in np.unique(points[order][np.minimum(at, len(order) - 1)])), repeats)
+
+
+def range_cuts(df: DataFrame, column: str, **limits: int) -> tuple[float, ...]:
+    return range_layout(df, column, **limits).cuts
 
 
 def with_range(df: DataFrame, column: str, cuts: Sequence[float], descending: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .prefix import RANGE, lookup_join, range_cuts, running, with_range
+from .prefix import RANGE, lookup_join, range_cuts, range_layout, running, with_range
 
 WIDE = "decimal(38,0)"
 DEFAULT_KEYS = ("run_id", "label")
@@ -39,15 +39,24 @@ def pair_counts(
     keys: Sequence[str] = DEFAULT_KEYS,
     weight: str | None = None,
     cuts: Sequence[float] | None = None,
+    combine: bool | None = None,
 ) -> DataFrame:
     """``(keys, n_pos, n_neg, u2)`` with ``u2`` = twice the Mann-Whitney count.
 
     ``u2`` splits exactly over score ranges: pairs inside a range, plus positives
     of the range times negatives of the lower ranges.  So no row needs a global
     offset and the scan reads the collapsed table once.
+
+    ``combine=False`` says that scores rarely repeat: where groups are small
+    (no cuts) rows then move once, by key, instead of by score and again by key.
+    Cuts and ``combine`` come from a sketch of the scores unless given.
     """
     keys = list(keys)
-    cuts = range_cuts(preds, "score") if cuts is None else cuts
+    if cuts is None:
+        cuts, repeats = range_layout(preds, "score")
+        combine = repeats if combine is None else combine
+    if combine is False and not cuts:
+        return _pair_counts_direct(preds, keys, weight)
     table = collapse(preds, keys, weight)
     if cuts:
         table = with_range(table, "score", cuts)
@@ -74,14 +83,35 @@ def pair_counts(
     )
 
 
+def _pair_counts_direct(preds: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
+    """One shuffle and one sort for groups that fit a task.
+
+    Pairs with negative <= positive, plus all pairs less those with positive <=
+    negative, count a win twice and a tie once.
+    """
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    rows = preds.select(
+        *keys, "score", F.when(F.col("y") > 0, w).otherwise(zero).alias("pos"),
+        F.when(F.col("y") > 0, zero).otherwise(w).alias("neg"),
+    )
+    upto = Window.partitionBy(*keys).orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    scan = rows.withColumns({"neg_le": F.sum("neg").over(upto), "pos_le": F.sum("pos").over(upto)})
+    return scan.groupBy(*keys).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.sum(F.col("pos") * F.col("neg_le") - F.col("neg") * F.col("pos_le")).alias("_d"),
+    ).select(*keys, "n_pos", "n_neg", (F.col("_d") + F.col("n_pos") * F.col("n_neg")).alias("u2"))
+
+
 def auroc(
     preds: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
     weight: str | None = None,
     cuts: Sequence[float] | None = None,
+    combine: bool | None = None,
 ) -> DataFrame:
     """Per-group AUROC ``(keys, n_pos, n_neg, auroc)``; NULL when one class is absent."""
-    counts = pair_counts(preds, keys, weight, cuts)
+    counts = pair_counts(preds, keys, weight, cuts, combine)
     return counts.select(
         *keys, "n_pos", "n_neg",
         auroc_from_counts(F.col("u2"), F.col("n_pos"), F.col("n_neg")).alias("auroc"),

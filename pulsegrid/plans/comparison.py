@@ -234,9 +234,9 @@ UNION ALL
 SELECT 'pooled', endpoint, count(*), round(median(abs(value)), 8) FROM nul GROUP BY endpoint""")
 def null_contrast(spark, sf):
     values = decisions.null_contrasts(b.pred_s(spark, sf), b.SEEDS, b.frozen_s(spark, sf))
-    own = decisions.null_medians(values, ["grp", "endpoint"])
-    pooled = decisions.null_medians(values, ["endpoint"]).withColumn("grp", F.lit("pooled"))
-    return own.unionByName(pooled).select("grp", "endpoint", "n_contrasts", rnd("null_median"))
+    # each value counts in its group and in the pool
+    both = values.withColumn("grp", F.explode(F.array("grp", F.lit("pooled"))))
+    return decisions.null_medians(both, ["grp", "endpoint"]).select("grp", "endpoint", "n_contrasts", rnd("null_median"))
 
 
 @query("interpret_delta", _GRP_DRAWS + ", " + ",\n".join(

@@ -23,8 +23,8 @@ def load_runs(spark, sf):
 
 
 @query("duplicate_configs", with_(b.RUNS) + f"""
-SELECT {_CONFIG}, count(*) AS n_runs, string_agg(run_id, ',' ORDER BY run_id) AS run_ids
-FROM runs GROUP BY {_CONFIG} HAVING count(*) > 1""")
+SELECT {_CONFIG}, n_runs, run_id
+FROM (SELECT *, count(*) OVER (PARTITION BY {_CONFIG}) AS n_runs FROM runs) WHERE n_runs > 1""")
 def duplicate_configs(spark, sf):
     return experiments.duplicate_configs(b.run_matrix(spark, sf))
 

@@ -59,7 +59,8 @@ def test_hand_cases(spark):
 def test_scores_match_pairwise_definition(spark, cuts):
     pdf = predictions()
     df = spark.createDataFrame(pdf).repartition(5)
-    for got in (ranking.auroc(df, cuts=cuts).collect(), ranking.label_scores(df, cuts=cuts).collect()):
+    forms = [ranking.auroc(df, cuts=cuts), ranking.auroc(df, cuts=cuts, combine=False), ranking.auroc(df), ranking.label_scores(df, cuts=cuts)]
+    for got in (f.collect() for f in forms):
         assert len(got) == 8
         for r in got:
             part = pdf[(pdf.run_id == r["run_id"]) & (pdf.label == r["label"])]
@@ -75,6 +76,9 @@ def test_weights_equal_repeated_rows(spark, cuts):
     pdf = predictions(1)
     pdf["w"] = np.random.default_rng(2).integers(0, 4, len(pdf))
     repeated = pdf.loc[pdf.index.repeat(pdf.w)]
+    one = ranking.pair_counts(spark.createDataFrame(pdf), weight="w", cuts=cuts, combine=False).orderBy("run_id", "label").collect()
+    two = ranking.pair_counts(spark.createDataFrame(pdf), weight="w", cuts=cuts, combine=True).orderBy("run_id", "label").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
     a = ranking.label_scores(spark.createDataFrame(pdf), weight="w", cuts=cuts).orderBy("run_id", "label").collect()
     z = ranking.label_scores(spark.createDataFrame(repeated), cuts=()).orderBy("run_id", "label").collect()
     for x, y in zip(a, z):
