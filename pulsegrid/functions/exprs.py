@@ -30,6 +30,12 @@ def hash_draw(modulo, *parts) -> Column:
     return F.pmod(hash60(*parts), as_col(modulo).cast("bigint"))
 
 
+def epoch_seed(seed, epoch) -> Column:
+    """Seed of an epoch in ``1..2**31-2``; the same in every process and on resume."""
+    s, e = (F.lit(v) if isinstance(v, int) else as_col(v) for v in (seed, epoch))
+    return hash_draw(2**31 - 2, s, e) + 1
+
+
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(x)))
 

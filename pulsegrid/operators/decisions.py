@@ -30,23 +30,24 @@ def half_subsets(n: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
 
 
 def null_contrasts(
-    preds: DataFrame, n_seeds: int, frozen: DataFrame | None = None, group: str = "grp", seed: str = "seed"
+    preds: DataFrame, n_seeds: int, frozen: DataFrame | None = None, group: str = "grp", seed: str = "seed",
+    family: Sequence[str] = (),
 ) -> DataFrame:
-    """Ensemble differences inside a group ``(grp, endpoint, left, right, value)``.
+    """Ensemble differences inside a group ``(family…, grp, endpoint, left, right, value)``.
 
     Seeds split into two disjoint subsets of equal size: with five seeds, fifteen
     pairs of 2 against 2.  Every subset ensemble comes from one pass over the
     predictions; only macro figures, a few per group, are paired.
     """
     subsets, disjoint = half_subsets(n_seeds)
-    spark = preds.sparkSession
+    keys = [*family, group]
     if not subsets:
         return endpoint_values(
-            preds.withColumn("auroc", F.lit(None).cast("double")), [group], frozen
+            preds.withColumn("auroc", F.lit(None).cast("double")), keys, frozen
         ).where(F.lit(False)).select(
-            group, "endpoint", F.lit(0).alias("left"), F.lit(0).alias("right"), "value"
+            *keys, "endpoint", F.lit(0).alias("left"), F.lit(0).alias("right"), "value"
         )
-    by_seed = preds.groupBy(group, "record_id", "label").agg(
+    by_seed = preds.groupBy(*keys, "record_id", "label").agg(
         F.max("y").alias("y"),
         F.sort_array(F.collect_list(F.struct(F.col(seed).alias("s"), F.col("score").alias("v")))).alias("seeds"),
     )
@@ -61,11 +62,11 @@ def null_contrasts(
         )
         for i, members in enumerate(subsets)
     ])
-    exploded = scores.select(group, "record_id", "label", "y", F.inline(means))
-    counts = pair_counts(exploded, [group, "subset", "label"])
+    exploded = scores.select(*keys, "record_id", "label", "y", F.inline(means))
+    counts = pair_counts(exploded, [*keys, "subset", "label"])
     scored = counts.withColumn("auroc", auroc_from_counts(F.col("u2"), F.col("n_pos"), F.col("n_neg")))
-    values = endpoint_values(scored, [group, "subset"], frozen)
-    lists = values.groupBy(group, "endpoint").agg(
+    values = endpoint_values(scored, [*keys, "subset"], frozen)
+    lists = values.groupBy(*keys, "endpoint").agg(
         F.map_from_entries(F.collect_list(F.struct("subset", "value"))).alias("m")
     )
     pairs = F.array(*[
@@ -74,7 +75,7 @@ def null_contrasts(
         )
         for i, j in disjoint
     ])
-    return lists.select(group, "endpoint", F.inline(pairs))
+    return lists.select(*keys, "endpoint", F.inline(pairs))
 
 
 def matching_factor(n_seeds) -> Column:

@@ -255,30 +255,35 @@ def group_pairs(df: DataFrame, by: Sequence[str], group: str = "grp", value: str
     return df.groupBy(*by).agg(g.alias("gs")).select(*by, F.inline(every))
 
 
-def group_values(ens: DataFrame, frozen: DataFrame | None = None, group: str = "grp") -> DataFrame:
-    """Point estimates per group from its ensemble ``(grp, endpoint, value)``."""
-    counts = pair_counts(ens, [group, "label"])
+def group_values(ens: DataFrame, frozen: DataFrame | None = None, group: str = "grp",
+                 family: Sequence[str] = ()) -> DataFrame:
+    """Point estimates per group from its ensemble ``(family…, grp, endpoint, value)``."""
+    counts = pair_counts(ens, [*family, group, "label"])
     scored = counts.withColumn("auroc", auroc_from_counts(F.col("u2"), F.col("n_pos"), F.col("n_neg")))
-    return endpoint_values(scored, [group], frozen)
+    return endpoint_values(scored, [*family, group], frozen)
 
 
 def compare_groups(
     preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05,
-    strategy: str = "auto", group: str = "grp",
+    strategy: str = "auto", group: str = "grp", family: Sequence[str] = (),
 ) -> DataFrame:
     """All pairs of groups on their ensembles, one resample for all of them.
 
-    One row per endpoint and pair: point difference, percentile interval, raw and
-    Holm p, simultaneous interval, and the two flags.
+    One row per family, endpoint and pair: point difference, percentile interval,
+    raw and Holm p, simultaneous interval, and the two flags.  Several families
+    over the same records go through in one pass; corrections stay inside each.
     """
-    ens = ensemble(preds, group)
-    points = group_pairs(group_values(ens, frozen, group), ["endpoint"], group).withColumnRenamed("value", "diff")
-    draws = macro_draws(bootstrap_counts(ens, [group], n_boot, seed, strategy), [group], frozen)
-    diffs = group_pairs(draws, ["rep", "endpoint"], group)
-    summary = simultaneous(draw_summary(diffs, ["endpoint", "a", "b"], alpha=alpha), ["endpoint"], alpha)
-    adjusted = holm(summary.drop("sorted_draws"), ["endpoint"], cuts=())
-    return adjusted.join(points, ["endpoint", "a", "b"]).select(
-        "endpoint", "a", "b", "diff", "lo", "hi", "p_raw", "p_holm", "lo_simultaneous", "hi_simultaneous",
+    family = list(family)
+    scope = [*family, "endpoint"]
+    ens = ensemble(preds, group, family)
+    points = group_pairs(group_values(ens, frozen, group, family), scope, group).withColumnRenamed("value", "diff")
+    keys = [*family, group]
+    draws = macro_draws(bootstrap_counts(ens, keys, n_boot, seed, strategy), keys, frozen)
+    diffs = group_pairs(draws, ["rep", *scope], group)
+    summary = simultaneous(draw_summary(diffs, [*scope, "a", "b"], alpha=alpha), scope, alpha)
+    adjusted = holm(summary.drop("sorted_draws"), scope, cuts=())
+    return adjusted.join(points, [*scope, "a", "b"]).select(
+        *scope, "a", "b", "diff", "lo", "hi", "p_raw", "p_holm", "lo_simultaneous", "hi_simultaneous",
         "n_defined", crosses_zero().alias("crosses_zero"), (F.col("p_holm") < 0.05).alias("significant"),
     )
 
@@ -289,15 +294,15 @@ def crosses_zero() -> Column:
 
 def group_results(
     preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05,
-    strategy: str = "auto", group: str = "grp",
+    strategy: str = "auto", group: str = "grp", family: Sequence[str] = (),
 ) -> DataFrame:
     """Ensemble point and interval per group and endpoint."""
-    ens = ensemble(preds, group)
-    points = group_values(ens, frozen, group).select(group, "endpoint", F.col("value").alias("point"))
-    draws = macro_draws(bootstrap_counts(ens, [group], n_boot, seed, strategy), [group], frozen)
-    return percentile_ci(draws, [group, "endpoint"], alpha=alpha).join(points, [group, "endpoint"]).select(
-        group, "endpoint", "point", "lo", "hi", "n_defined"
-    )
+    keys = [*family, group, "endpoint"]
+    ens = ensemble(preds, group, family)
+    points = group_values(ens, frozen, group, family).select(*keys, F.col("value").alias("point"))
+    counts = bootstrap_counts(ens, [*family, group], n_boot, seed, strategy)
+    draws = macro_draws(counts, [*family, group], frozen)
+    return percentile_ci(draws, keys, alpha=alpha).join(points, keys).select(*keys, "point", "lo", "hi", "n_defined")
 
 
 #: ``metric(df, keys, weight, layout) -> (keys…, value)``.

@@ -232,9 +232,9 @@ def crop_mean(crops: DataFrame, keys: Sequence[str] = ("run_id", "record_id", "l
     return grouped.select(*keys, checked.alias("y"), "score", "n_crops")
 
 
-def ensemble(preds: DataFrame, group: str = "grp") -> DataFrame:
+def ensemble(preds: DataFrame, group: str = "grp", family: Sequence[str] = ()) -> DataFrame:
     """Mean probability over the seeds of a group, per record and label."""
-    return preds.groupBy(group, "record_id", "label").agg(
+    return preds.groupBy(*family, group, "record_id", "label").agg(
         F.max("y").alias("y"), F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_seeds")
     )
 

@@ -27,7 +27,7 @@ NOTCH_HZ = 50.0
 NOTCH_Q = 30.0
 
 #: Rows stacked at a time inside a kernel; bounds task memory, not results.
-KERNEL_ROWS = 256
+KERNEL_ROWS = 512
 
 
 # --- I4-I7: parameter checks -------------------------------------------------------------

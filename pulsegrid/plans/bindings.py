@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.exprs import hash_draw
+from ..functions.exprs import hash_draw, run_label
 
 GROUPS = ("100", "240", "250", "500")
 #: Shift of the positive class per group, in 1/2048.
@@ -240,28 +240,27 @@ sig AS (
 def sig_t(spark, sf) -> DataFrame:
     """``events`` as hourly signals: record = user, lead = event type, gaps 0.
 
-    Hours aggregate first, so assembling the fixed-length array never sees more
-    than ``HOURS`` rows of a key however many events it has.
+    Each day becomes a fixed 24-slot array on the map side, and a signal joins a
+    fixed number of days, so no step gathers the events of a key.
     """
     e = table(spark, sf, "events")
-    days = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01")))
-    hourly = (
-        e.withColumn("h", (days * 24 + F.hour("ts")).cast("int"))
-        .groupBy("user_id", "event_type", "h")
-        .agg(F.avg("value").alias("v"))
-    )
-    grid = F.map_from_entries(F.collect_list(F.struct("h", "v")))
-    samples = F.transform(
-        F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda h: F.coalesce(F.col("m")[h], F.lit(0.0)).cast("float")
+    day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01")))
+    slots = [F.avg(F.when(F.hour("ts") == h, F.col("value"))) for h in range(24)]
+    daily = (
+        e.withColumn("day", day).where(F.col("day").between(0, HOURS // 24 - 1))
+        .groupBy("user_id", "event_type", "day")
+        .agg(F.array(*[F.coalesce(s, F.lit(0.0)).cast("float") for s in slots]).alias("v"))
     )
+    empty = F.array(*[F.lit(0.0).cast("float")] * 24)
+    days = F.transform(F.sequence(F.lit(0), F.lit(HOURS // 24 - 1)), lambda d: F.coalesce(F.col("m")[d], empty))
     return (
-        hourly.where(F.col("h").between(0, HOURS - 1))
-        .groupBy("user_id", "event_type").agg(grid.alias("m"))
+        daily.groupBy("user_id", "event_type")
+        .agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
         .select(
             F.col("user_id").alias("record_id"),
             F.col("event_type").alias("lead"),
             F.lit(500).alias("fs"),
-            samples.alias("samples"),
+            F.flatten(days).alias("samples"),
         )
     )
 
@@ -351,10 +350,7 @@ def run_matrix(spark, sf) -> DataFrame:
         F.floor(F.col("c_custkey") / 5).cast("bigint").alias("seed"),
         F.when(block == 0, F.lit("macro_all")).otherwise(F.lit("macro_clean")).alias("selection"),
         F.col("c_custkey").alias("run_key"),
-    ).withColumn(
-        "run_id",
-        F.format_string("b%d-fs%d-%s-n%d-s%d", "block", "fs", "arm", F.col("notch").cast("int"), "seed"),
-    )
+    ).withColumn("run_id", run_label("block", "fs", "arm", "notch", "seed"))
 
 
 RUNS = """

@@ -104,6 +104,36 @@ def group_results(spark, sf):
     return out.withColumns({c: rnd(c) for c in ("point", "lo", "hi")})
 
 
+_FAMILY_DRAWS = _GRP_DRAWS.replace("ens AS (SELECT grp, record_id", """fam AS (
+  SELECT 'rates' AS family, run_id, grp, seed FROM (SELECT DISTINCT run_id, grp, seed FROM pred_s)
+  UNION ALL SELECT 'ends', run_id, grp, seed FROM (SELECT DISTINCT run_id, grp, seed FROM pred_s) WHERE grp IN ('100', '500')),
+fam_runs AS (SELECT DISTINCT family, grp FROM fam),
+ens AS (SELECT grp, record_id""")
+
+
+@query("analyse_families", _FAMILY_DRAWS + """
+, frow AS (
+  SELECT f.family, r.endpoint, r.a, r.b, r.n_defined, r.lo, r.hi, r.p_raw, d.value AS diff
+  FROM raw r JOIN (SELECT * FROM pair WHERE rep = -1) d USING (endpoint, a, b)
+  JOIN fam_runs f ON f.grp = r.a JOIN fam_runs g ON g.family = f.family AND g.grp = r.b),
+fstep AS (
+  SELECT *, (count(*) OVER (PARTITION BY family, endpoint)
+    - row_number() OVER (PARTITION BY family, endpoint ORDER BY p_raw, a, b) + 1) * p_raw AS s FROM frow)
+SELECT family, endpoint, a, b, round(diff, 8) AS diff, round(lo, 8) AS lo, round(hi, 8) AS hi, round(p_raw, 8) AS p_raw,
+       round(least(1.0::DOUBLE, max(s) OVER (PARTITION BY family, endpoint ORDER BY p_raw, a, b)), 8) AS p_holm,
+       n_defined FROM fstep""")
+def analyse_families(spark, sf):
+    preds = b.pred_s(spark, sf)
+    use = F.array(
+        F.lit("rates"), F.when(F.col("grp").isin("100", "500"), F.lit("ends"))
+    )
+    members = preds.withColumn("family", F.explode(F.filter(use, lambda u: u.isNotNull())))
+    out = inference.compare_groups(members, b.frozen_s(spark, sf), N_BOOT, family=["family"])
+    return out.select(
+        "family", "endpoint", "a", "b", *[rnd(c) for c in ("diff", "lo", "hi", "p_raw", "p_holm")], "n_defined"
+    )
+
+
 @query("negative_control", _GRP_DRAWS + """
 SELECT endpoint, a, b, round(diff, 8) AS diff, round(p_holm, 8) AS p_holm, a = '240' AND b = '250' AS negative_control FROM cmp""")
 def negative_control(spark, sf):
@@ -239,6 +269,19 @@ def null_contrast(spark, sf):
     return decisions.null_medians(both, ["grp", "endpoint"]).select("grp", "endpoint", "n_contrasts", rnd("null_median"))
 
 
+def _delta(spark, sf):
+    preds, frozen = b.pred_s(spark, sf), b.frozen_s(spark, sf)
+    pairs = inference.compare_groups(preds, frozen, N_BOOT)
+    pooled = decisions.null_medians(decisions.null_contrasts(preds, b.SEEDS, frozen), ["endpoint"])
+    scored = ranking.auroc(preds, ["grp", "run_id", "label"])
+    per_run = inference.endpoint_values(scored, ["grp", "run_id"], frozen)
+    dispersion = per_run.groupBy("grp", "endpoint").agg(
+        (F.max("value") - F.min("value")).alias("seed_spread"),
+        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("seed_std"), F.count("value").alias("n_seeds"),
+    )
+    return decisions.interpret_delta(pairs, pooled, dispersion)
+
+
 @query("interpret_delta", _GRP_DRAWS + ", " + ",\n".join(
     c.strip() for c in (
         _NULL, auroc_cte("sube", "grp, subset, label", "nsc"), _NULL_VALUES,
@@ -263,16 +306,7 @@ SELECT endpoint, a, b, round(diff, 8) AS delta, round(lo, 8) AS lo, round(hi, 8)
             WHEN abs(diff) < 0.019 THEN 'comparable_to_reported_gaps' ELSE 'exceeds_any_gap' END AS verdict
 FROM top JOIN pool USING (endpoint) JOIN sp USING (endpoint)""")
 def interpret_delta(spark, sf):
-    preds, frozen = b.pred_s(spark, sf), b.frozen_s(spark, sf)
-    pairs = inference.compare_groups(preds, frozen, N_BOOT)
-    pooled = decisions.null_medians(decisions.null_contrasts(preds, b.SEEDS, frozen), ["endpoint"])
-    scored = ranking.auroc(preds, ["grp", "run_id", "label"])
-    per_run = inference.endpoint_values(scored, ["grp", "run_id"], frozen)
-    dispersion = per_run.groupBy("grp", "endpoint").agg(
-        (F.max("value") - F.min("value")).alias("seed_spread"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("seed_std"), F.count("value").alias("n_seeds"),
-    )
-    out = decisions.interpret_delta(pairs, pooled, dispersion)
+    out = _delta(spark, sf)
     return out.select(
         "endpoint", "a", "b", rnd("delta"), rnd("lo"), rnd("hi"), rnd("p_holm"), "crosses_zero", "comparator",
         rnd("comparator_value"), rnd("null_contrast_matched"), rnd("max_seed_spread"), rnd("max_seed_std"), "verdict",
@@ -288,7 +322,9 @@ def write_reports(spark, sf):
     )
     path = scratch_dir(spark, "report")
     tables.write_csv(rows, f"{path}/pairs")
-    tables.write_json(rows, f"{path}/report")
+    groups = inference.group_results(b.pred_s(spark, sf), b.frozen_s(spark, sf), N_BOOT)
+    control = decisions.tag_negative_control(pairs)
+    tables.write_nested_report(control, groups, _delta(spark, sf), f"{path}/report")
     schema = "analysis string, endpoint string, a string, b string, " + ", ".join(f"{c} double" for c in _CMP_COLS)
     back = spark.read.schema(schema).option("header", True).csv(f"{path}/pairs")
     return back.withColumns({c: rnd(c, 6) for c in _CMP_COLS})

@@ -298,7 +298,9 @@ SELECT lo_hz, hi_hz, is_control, round(share_pct, 7) AS share_pct, round(density
        CASE WHEN is_control THEN 'control' WHEN density / c > 3 THEN 'clear_peak' WHEN density / c > 1.5 THEN 'mild_excess' ELSE 'no_excess' END AS verdict
 FROM dens, ctl""")
 def band_excess(spark, sf):
-    out = S.band_excess(_psd(spark, sf), BANDS, CONTROLS)
+    path = scratch_dir(spark, "psd")
+    tables.write_psd(_psd(spark, sf), path)
+    out = S.band_excess(tables.read_psd(spark, path), BANDS, CONTROLS)
     return out.select("lo_hz", "hi_hz", "is_control", rnd("share_pct", 7), rnd("density", 7), rnd("ratio", 7), "verdict")
 
 

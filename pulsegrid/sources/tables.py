@@ -153,6 +153,28 @@ def read_scalers(spark: SparkSession, path) -> DataFrame:
     return df.withColumn("version", version)
 
 
+def write_psd(psd: DataFrame, path: str) -> None:
+    """Mean spectrum; one row per bin, so one file."""
+    psd.select("freq", "power").coalesce(1).write.parquet(path)
+
+
+def read_psd(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("freq double, power double").parquet(path)
+
+
+def write_nested_report(pairs: DataFrame, groups: DataFrame, delta: DataFrame, path: str, by: Sequence[str] = ("endpoint",)) -> None:
+    """One JSON object per family and endpoint: its groups, pairs and verdict.
+
+    The arrays hold one entry per compared group or pair, not rows of data.
+    """
+    by = list(by)
+    pack = lambda df, name: df.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c not in by]))).alias(name)
+    )
+    verdict = delta.select(*by, F.struct(*[c for c in delta.columns if c not in by]).alias("delta"))
+    pack(groups, "groups").join(pack(pairs, "pairs"), by).join(verdict, by).write.json(path)
+
+
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Paths below a folder; the content column is never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
