@@ -28,9 +28,10 @@ def compare_files(listed: DataFrame, disk: DataFrame, skip_prefix: str | None =
     """``(name, status)`` with status verified, mismatched, missing or unexpected.
 
     ``unexpected`` is informational.  With ``skip_prefix`` listed names under the
-    prefix are left out and no unexpected file is reported.
+    prefix are left out and no unexpected file is reported.  A name listed twice
+    counts once; the aggregate shares the shuffle of the join.
     """
-    a = listed.select("name", F.col("digest").alias("d1"))
+    a = listed.groupBy("name").agg(F.max("digest").alias("d1"))
     b = disk.select("name", F.col("digest").alias("d2")).where(F.col("name") != manifest)
     if skip_prefix:
         a = a.where(~F.col("name").startswith(skip_prefix))

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.exprs import hex60, is_finite
 from .prefix import Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max
@@ -14,7 +15,9 @@ from .ranking import accuracy_at, auroc, auroc_from_counts, ensemble, label_scor
 
 #: Largest prediction table (rows) the replicate-parallel form may broadcast.
 BROADCAST_ROWS = 2_000_000
-#: Draws generated per task of the relational form.
+#: Record-replicate cells one task of the chunked form holds.
+CHUNK_CELLS = 8_000_000
+#: Draws generated per task.
 DRAWS_PER_TASK = 4_000_000
 
 
@@ -61,19 +64,71 @@ def bootstrap_counts(
 ) -> DataFrame:
     """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate.
 
-    ``parallel`` broadcasts the sorted predictions and evaluates whole replicates
-    in numpy; it is taken only when the row count is at most ``broadcast_rows``.
-    ``relational`` joins weights to predictions and has no size limit.  Both give
-    the same integers.
+    All forms give the same integers; ``auto`` picks by counted sizes.
+    ``parallel`` broadcasts at most ``broadcast_rows`` sorted predictions and
+    spreads replicates over the cluster.  ``chunked`` sends a group's predictions,
+    each with its draws of a few replicates, to one task; records times
+    replicates stay within ``CHUNK_CELLS``.  ``relational`` moves one row per
+    prediction and replicate and has no size limit.
     """
     rows, n = preds.agg(F.count(F.lit(1)), F.count_distinct("record_id")).first()
+    by = list(by)
     if strategy == "auto":
-        strategy = "parallel" if rows <= broadcast_rows else "relational"
+        fits = "chunked" if n <= CHUNK_CELLS else "relational"
+        strategy = "parallel" if rows <= broadcast_rows else fits
     if strategy == "parallel":
         if rows > broadcast_rows:
             raise ValueError(f"{rows} rows exceed the broadcast limit of {broadcast_rows}")
-        return _counts_parallel(preds, list(by), n, n_boot, seed)
-    return _counts_relational(preds, list(by), n, n_boot, seed)
+        return _counts_parallel(preds, by, n, n_boot, seed)
+    if strategy == "chunked":
+        if n > CHUNK_CELLS:
+            raise ValueError(f"{n} records exceed the chunk limit of {CHUNK_CELLS}")
+        return _counts_chunked(preds, by, n, n_boot, seed)
+    return _counts_relational(preds, by, n, n_boot, seed)
+
+
+def _counts_chunked(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
+    """Weights travel as short lists, a few replicates per row, not one row each.
+
+    A group has at most one row per record (duplicate cells are refused upstream),
+    so a task's matrix is bounded by ``CHUNK_CELLS`` whatever the scores look like.
+    """
+    keys = [*by, "label"]
+    spark = preds.sparkSession
+    chunk = max(1, min(CHUNK_CELLS // n, -(-n_boot // (2 * spark.sparkContext.defaultParallelism))))
+    numbered = dense_index(preds.select("record_id").distinct(), "record_id")
+    indexed = preds.select("record_id", *keys, "y", "score").join(numbered, "record_id").drop("record_id")
+    drawn = draw_slots(spark, n, n_boot, seed).groupBy("idx", F.expr(f"rep div {chunk}").alias("chunk")).agg(
+        F.collect_list((F.col("rep") % chunk).cast("smallint")).alias("draws")
+    )
+    rows = drawn.join(indexed, "idx").select(*keys, "chunk", "y", "score", "draws")
+    fields = [T.StructField(c, preds.schema[c].dataType) for c in keys]
+    counts = [T.StructField(c, T.LongType()) for c in ("rep", "n_pos", "n_neg", "u2")]
+
+    def evaluate(key: tuple, table: pa.Table) -> pa.Table:
+        lists = table["draws"].combine_chunks()
+        score = table["score"].to_numpy()
+        order = np.argsort(score, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        cell = np.repeat(rank, lists.value_lengths().to_numpy()) * chunk + lists.flatten().to_numpy()
+        w = np.bincount(cell, minlength=len(order) * chunk).reshape(-1, chunk)
+        ties = np.flatnonzero(np.r_[True, np.diff(score[order]) != 0])
+        flag = (table["y"].to_numpy()[order] > 0)[:, None]
+        pos = np.add.reduceat(w * flag, ties, axis=0)
+        neg = np.add.reduceat(w * ~flag, ties, axis=0)
+        below = np.cumsum(neg, axis=0) - neg
+        first = key[-1].as_py() * chunk
+        live = min(chunk, n_boot - first)
+        out = {c: pa.array([k.as_py()] * live, type=table.schema.field(c).type) for c, k in zip(keys, key)}
+        out["rep"] = pa.array(np.arange(first, first + live))
+        for name, v in (("n_pos", pos.sum(0)), ("n_neg", neg.sum(0)), ("u2", (pos * (2 * below + neg)).sum(0))):
+            out[name] = pa.array(v[:live].astype(np.int64))
+        return pa.table(out)
+
+    return rows.groupBy(*keys, "chunk").applyInArrow(evaluate, T.StructType([*fields, *counts])).select(
+        "rep", *keys, "n_pos", "n_neg", "u2"
+    )
 
 
 def _counts_relational(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:

@@ -47,21 +47,27 @@ def test_weights_are_one_multinomial_per_replicate(spark):
     assert w.sort_values(key).values.tolist() == again.sort_values(key).values.tolist()
 
 
-def test_both_strategies_give_the_same_integers(preds):
+def test_all_strategies_give_the_same_integers(preds):
     ens = ranking.ensemble(preds)
-    a, z = (
-        inference.bootstrap_counts(ens, ["grp"], N_BOOT, strategy=s).orderBy("rep", "grp", "label").collect()
-        for s in ("parallel", "relational")
+    a, b, c = (
+        [tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], N_BOOT, strategy=s).orderBy("rep", "grp", "label").collect()]
+        for s in ("parallel", "chunked", "relational")
     )
     assert len(a) == N_BOOT * 9
-    assert [tuple(r) for r in a] == [tuple(r) for r in z]
+    assert a == b == c
 
 
-def test_auto_falls_back_beyond_the_broadcast_limit(preds):
+def test_auto_falls_back_beyond_the_limits(preds, monkeypatch):
     ens = ranking.ensemble(preds)
     with pytest.raises(ValueError, match="broadcast limit"):
         inference.bootstrap_counts(ens, ["grp"], 2, strategy="parallel", broadcast_rows=10)
-    assert inference.bootstrap_counts(ens, ["grp"], 2, broadcast_rows=10).count() == 18
+    want = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7).collect())
+    small = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7, broadcast_rows=10).collect())
+    monkeypatch.setattr(inference, "CHUNK_CELLS", 50)
+    with pytest.raises(ValueError, match="chunk limit"):
+        inference.bootstrap_counts(ens, ["grp"], 2, strategy="chunked")
+    large = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7, broadcast_rows=10).collect())
+    assert want == small == large
 
 
 def test_replicates_match_resampled_rows(spark, preds):
