@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exprs import as_col
 
 RANGE = "_range"
-ROWS_PER_RANGE = 4_000_000
+ROWS_PER_RANGE = 500_000
 MAX_RANGES = 65_536
 SKETCH_GROUPS = 512
 SKETCH_POINTS = 1_024
@@ -108,8 +108,8 @@ def running(
 ) -> DataFrame:
     """Add ``before_<c>``: the sum of ``c`` over the rows of the group that precede.
 
-    ``df`` must hold one row per ``(keys, order)``.  ``totals`` also adds
-    ``all_<c>``, the group sum.
+    ``df`` must hold one row per ``(keys, order)`` and no NULL key.  ``totals``
+    also adds ``all_<c>``, the group sum.
     """
     keys = list(keys)
     cut = bool(cuts)
@@ -137,7 +137,8 @@ def running(
         *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *([F.sum(f"_sum_{c}").over(entire).alias(f"all_{c}") for c in sums] if totals else []),
     )
-    out = local.join(offsets, scope)
+    # every range has its row; a left join keeps both sides on the same input, so it is computed once
+    out = local.join(offsets, scope, "left")
     for c in sums:
         out = out.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"_off_{c}"))
     return out.drop(RANGE, *[f"_off_{c}" for c in sums])
@@ -238,4 +239,4 @@ def running_max(
     carried = base.groupBy(*scope).agg(F.max(value).alias("_m")).select(
         *scope, F.max("_m").over(earlier).alias("_carried")
     )
-    return local.join(carried, scope).withColumn(name, F.greatest(name, "_carried")).drop(RANGE, "_carried")
+    return local.join(carried, scope, "left").withColumn(name, F.greatest(name, "_carried")).drop(RANGE, "_carried")

@@ -38,24 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 def pred_l(spark, sf) -> DataFrame:
     """``lineitem`` as three labels scored by four runs; heavy ties, grows with the data."""
-    t = table(spark, sf, "lineitem")
-    y = lambda c: c.cast("int")
-    labels = F.array(
-        F.struct(F.lit("flag_R").alias("label"), y(F.col("l_returnflag") == "R").alias("y")),
-        F.struct(F.lit("flag_A").alias("label"), y(F.col("l_returnflag") == "A").alias("y")),
-        F.struct(F.lit("status_O").alias("label"), y(F.col("l_linestatus") == "O").alias("y")),
-    )
-    runs = F.array(*[
-        F.struct(F.lit(c).alias("run_id"), F.col(c).alias("score"))
-        for c in ("l_discount", "l_tax", "l_quantity", "l_extendedprice")
-    ])
-    narrow = t.select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity", "l_extendedprice"
+    is_ = lambda c, v, name: (F.col(c) == v).cast("int").alias(name)
+    scores = ["l_discount", "l_tax", "l_quantity", "l_extendedprice"]
+    key = ["l_orderkey", "l_linenumber"]
+    wide = table(spark, sf, "lineitem").select(
+        *key, *scores, is_("l_returnflag", "R", "flag_R"), is_("l_returnflag", "A", "flag_A"), is_("l_linestatus", "O", "status_O")
     )
-    return (
-        spread(narrow).select("l_orderkey", "l_linenumber", labels.alias("ls"), runs.alias("rs"))
-        .select("l_orderkey", "l_linenumber", "ls", F.inline("rs"))
-        .select("l_orderkey", "l_linenumber", "run_id", "score", F.inline("ls"))
+    labels = ["flag_R", "flag_A", "status_O"]
+    return spread(wide).unpivot([*key, *labels], scores, "run_id", "score").unpivot(
+        [*key, "run_id", "score"], labels, "label", "y"
     )
 
 
