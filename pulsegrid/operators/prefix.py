@@ -86,7 +86,8 @@ def with_range(df: DataFrame, column: str, cuts: Sequence[float], descending: bo
         Bucketizer(splits=splits, inputCol="_v", outputCol="_r")
         .transform(df.withColumn("_v", as_col(column).cast("double")))
     )
-    number = F.col("_r").cast("int")
+    # declared non-null, so no filter separates the two uses of the input below
+    number = F.coalesce(F.col("_r").cast("int"), F.lit(0))
     if descending:
         number = F.lit(len(cuts)) - number
     return bucketed.withColumn(RANGE, number).drop("_v", "_r")
@@ -137,8 +138,8 @@ def running(
         *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *([F.sum(f"_sum_{c}").over(entire).alias(f"all_{c}") for c in sums] if totals else []),
     )
-    # every range has its row; a left join keeps both sides on the same input, so it is computed once
-    out = local.join(offsets, scope, "left")
+    # both sides read the same exchange, which Spark computes once
+    out = local.join(offsets, scope)
     for c in sums:
         out = out.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"_off_{c}"))
     return out.drop(RANGE, *[f"_off_{c}" for c in sums])
@@ -239,4 +240,4 @@ def running_max(
     carried = base.groupBy(*scope).agg(F.max(value).alias("_m")).select(
         *scope, F.max("_m").over(earlier).alias("_carried")
     )
-    return local.join(carried, scope, "left").withColumn(name, F.greatest(name, "_carried")).drop(RANGE, "_carried")
+    return local.join(carried, scope).withColumn(name, F.greatest(name, "_carried")).drop(RANGE, "_carried")

@@ -256,6 +256,16 @@ def sig_t(spark, sf) -> DataFrame:
     )
 
 
+SIG_T = f"""
+hourly AS (
+  SELECT user_id AS record_id, event_type AS lead, datediff('day', DATE '2024-01-01', ts::DATE) * 24 + hour(ts) AS h, avg(value) AS v
+  FROM events GROUP BY ALL),
+sig_t AS (
+  SELECT k.record_id, k.lead, list(coalesce(v, 0)::FLOAT::DOUBLE ORDER BY k.h) AS s
+  FROM (SELECT record_id, lead, unnest(range({HOURS})) AS h FROM (SELECT DISTINCT record_id, lead FROM hourly WHERE h BETWEEN 0 AND {HOURS - 1})) k
+  LEFT JOIN hourly USING (record_id, lead, h) GROUP BY k.record_id, k.lead)"""
+
+
 # --- files, histories, runs ----------------------------------------------------------
 
 def disk_files(spark, sf) -> DataFrame:

@@ -29,10 +29,6 @@ def _values(df, *keys, digits=6):
     return df.select(*keys, F.posexplode("samples").alias("m", "value")).withColumn("value", F.round("value", digits))
 
 
-def _arrays(df):
-    return df.select("record_id", "lead", F.size("samples").alias("n"), "samples")
-
-
 def fir_cte(src: str, n_in: int, up: int, down: int, keys: str, name: str = "fir") -> str:
     taps = kernels.resample_taps(up, down)
     half = len(taps) // 2
@@ -228,14 +224,70 @@ def fir_resample_12_25(spark, sf):
     return _values(S.resample(b.sig(spark, sf, FS), 240, source_fs=500), "record_id", "lead")
 
 
-@query("notch_filter")
+def _notch_cte() -> str:
+    """The notch as two plain recurrences over an odd extension of nine samples."""
+    b_, a_ = kernels.notch_coefficients(50.0, 30.0, 500.0)
+    (b0, b1, b2), (_, a1, a2) = ((f"({float(v)!r})::DOUBLE" for v in c) for c in (b_, a_))
+    n, last = b.HOURS, b.HOURS + 17
+
+    def sweep(name: str, src: str) -> str:
+        return f"""
+{name} AS (
+  SELECT id, t, {b0} * x + zz1 AS y, {b1} * x - {a1} * ({b0} * x + zz1) + zz2 AS z1, {b2} * x - {a2} * ({b0} * x + zz1) AS z2
+  FROM (SELECT *, ({b1} - {a1}) * x + ({b2} - {a2}) * x AS zz1, ({b2} - {a2}) * x AS zz2 FROM {src} WHERE t = 0)
+  UNION ALL
+  SELECT p.id, e.t, {b0} * e.x + p.z1, {b1} * e.x - {a1} * ({b0} * e.x + p.z1) + p.z2, {b2} * e.x - {a2} * ({b0} * e.x + p.z1)
+  FROM {name} p JOIN {src} e ON e.id = p.id AND e.t = p.t + 1)"""
+
+    return f"""
+sid AS (SELECT *, row_number() OVER (ORDER BY record_id, lead) AS id FROM sig_t),
+ext AS (
+  SELECT id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS t FROM (
+    SELECT id, list_concat(list_concat([2 * s[1] - s[i + 1] FOR i IN [9, 8, 7, 6, 5, 4, 3, 2, 1]], s),
+                           [2 * s[{n}] - s[{n} - i] FOR i IN [1, 2, 3, 4, 5, 6, 7, 8, 9]]) AS e FROM sid)),
+{sweep("fwd", "ext").strip()},
+rev AS (SELECT id, {last} - t AS t, y AS x FROM fwd),
+{sweep("bwd", "rev").strip()},
+notched AS (SELECT record_id, lead, {last} - t - 9 AS m, y AS value FROM bwd JOIN sid USING (id) WHERE {last} - t BETWEEN 9 AND {last} - 9)"""
+
+
+_SUMMARY = """
+SELECT record_id, lead, count(*)::INT AS n, round(sum(value), 3) AS total, round(sum(value * (m + 1)), 1) AS moment,
+       round(sqrt(sum(value * value)), 4) AS norm FROM"""
+
+
+def _summary(df):
+    """Per signal: plain, position-weighted and squared sums."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+    x = F.transform("samples", lambda v: v.cast("double"))
+    weighted = F.transform("samples", lambda v, i: v.cast("double") * (i + 1))
+    squared = F.transform("samples", lambda v: v.cast("double") * v.cast("double"))
+    return df.select(
+        "record_id", "lead", F.size("samples").alias("n"), F.round(total(x), 3).alias("total"),
+        F.round(total(weighted), 1).alias("moment"), F.round(F.sqrt(total(squared)), 4).alias("norm"),
+    )
+
+
+def _resampled_cte() -> str:
+    up, down = kernels.rate_factors(500, 240)
+    taps = kernels.resample_taps(up, down)
+    half = len(taps) // 2
+    rows = ", ".join(f"({k - half}, {float(h)!r}::DOUBLE)" for k, h in enumerate(taps))
+    return f"""
+taps AS (SELECT * FROM (VALUES {rows}) t(k, h)),
+uses AS (SELECT r.m, (r.m * {down} - k) // {up} AS n, h FROM range({-(-b.HOURS * up // down)}) r(m), taps WHERE (r.m * {down} - k) % {up} = 0),
+low AS (
+  SELECT record_id, lead, u.m, sum(value * h)::FLOAT::DOUBLE AS value FROM notched x JOIN uses u ON u.n = x.m GROUP BY record_id, lead, u.m)"""
+
+
+@query("notch_filter", "WITH RECURSIVE " + with_(b.SIG_T, _notch_cte())[5:] + _SUMMARY + " notched GROUP BY record_id, lead")
 def notch_filter(spark, sf):
-    return _arrays(S.notch_filter(b.sig_t(spark, sf)))
+    return _summary(S.notch_filter(b.sig_t(spark, sf)))
 
 
-@query("preprocess")
+@query("preprocess", "WITH RECURSIVE " + with_(b.SIG_T, _notch_cte(), _resampled_cte())[5:] + _SUMMARY + " low GROUP BY record_id, lead")
 def preprocess(spark, sf):
-    return _arrays(S.preprocess(b.sig_t(spark, sf), 240))
+    return _summary(S.preprocess(b.sig_t(spark, sf), 240))
 
 
 # --- spectra ---------------------------------------------------------------------------------------------
