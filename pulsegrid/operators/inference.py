@@ -72,6 +72,8 @@ def bootstrap_counts(
     prediction and replicate and has no size limit.
     """
     rows, n = preds.agg(F.count(F.lit(1)), F.count_distinct("record_id")).first()
+    if not rows:
+        raise ValueError("no predictions to resample")
     by = list(by)
     if strategy == "auto":
         fits = "chunked" if n <= CHUNK_CELLS else "relational"

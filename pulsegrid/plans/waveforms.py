@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.exprs import grid_status, set_fingerprint
-from ..operators import records, signals as S
+from ..operators import signals as S
 from ..session import scratch_dir
 from ..sources import signals as store, tables
 from . import bindings as b

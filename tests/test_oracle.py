@@ -15,7 +15,7 @@ SAMPLE = (
     "auroc_per_label", "label_scores", "midrank", "macro_endpoints", "evaluate_logits", "align_runs", "bootstrap_weights", "percentile_ci",
     "compare_groups", "seed_mean_ci", "null_contrast", "interpret_delta", "holm_adjust", "label_support", "fold_table",
     "entity_leakage", "checksum_verify", "scan_history", "epoch_selection", "replicate_pairs", "config_fingerprint",
-    "global_scaler", "fir_resample_12_25", "welch_psd", "band_excess", "window_alignment", "signal_profile", "ingest_signals",
+    "global_scaler", "fir_resample_12_25", "welch_psd", "band_excess", "window_alignment", "signal_profile", "ingest_signals", "notch_filter", "analyse_families",
 )
 
 
