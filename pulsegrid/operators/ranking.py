@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .prefix import RANGE, lookup_join, range_cuts, range_layout, running, with_range
 
 WIDE = "decimal(38,0)"
+#: Below this many ranges (about a billion rows) pair counts of a group fit a BIGINT.
+BIGINT_RANGES = 2_000
 DEFAULT_KEYS = ("run_id", "label")
 
 
@@ -134,7 +136,11 @@ def label_scores(
     tp = F.col("before_pos") + F.col("pos")
     fp = F.col("before_neg") + F.col("neg")
     step = F.col("pos") * tp.cast("double") / (tp + fp)
-    pairs = F.col("neg").cast("decimal(18,0)") * (2 * F.col("before_pos") + F.col("pos")).cast("decimal(19,0)")
+    wins = 2 * F.col("before_pos") + F.col("pos")
+    if len(cuts) < BIGINT_RANGES:
+        pairs = F.col("neg") * wins
+    else:
+        pairs = F.col("neg").cast("decimal(18,0)") * wins.cast("decimal(19,0)")
     sums = scan.groupBy(*keys).agg(
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),

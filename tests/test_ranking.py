@@ -96,6 +96,13 @@ def test_midranks(spark, cuts):
     assert len(got) == len(want) and (got.sort_index() == want.sort_index()).all()
 
 
+def test_wide_and_narrow_pair_counts_agree(spark, monkeypatch):
+    df = spark.createDataFrame(predictions(5))
+    narrow = ranking.label_scores(df, cuts=(0.4,)).orderBy("run_id", "label").collect()
+    monkeypatch.setattr(ranking, "BIGINT_RANGES", 0)
+    assert ranking.label_scores(df, cuts=(0.4,)).orderBy("run_id", "label").collect() == narrow
+
+
 def test_hot_score_and_hot_label(spark):
     # a third of the rows carry one score, all in one label
     df = spark.range(0, 60_000).selectExpr(
