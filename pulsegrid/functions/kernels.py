@@ -6,7 +6,6 @@ sinc, Welch).  Rows are independent; Spark decides which rows a task sees.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import gcd
 
 import numpy as np
@@ -58,7 +57,6 @@ def rate_factors(source_fs: int, target_fs: int) -> tuple[int, int]:
     return target_fs // g, source_fs // g
 
 
-@lru_cache(maxsize=64)
 def resample_taps(up: int, down: int) -> np.ndarray:
     """Anti-aliasing low-pass at the lower Nyquist, Kaiser window with beta 5, gain ``up``."""
     widest = max(up, down)
@@ -68,7 +66,6 @@ def resample_taps(up: int, down: int) -> np.ndarray:
     return h / h.sum() * up
 
 
-@lru_cache(maxsize=64)
 def _resample_plan(n: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
     """Per output sample, which inputs it reads and with what weights."""
     taps = resample_taps(up, down)
