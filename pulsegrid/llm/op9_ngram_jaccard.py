@@ -274,7 +274,8 @@ def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFra
     )
     stars = written(stars, "stars")
     first = written(verify(stars, full_sets(texts, stars, k), percent), "links")
-    groups = components(first)
+    # a group is a text with those whose smallest proven partner it is: connected, whatever else they link with
+    groups = first.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("label"))
 
     # the token-group matrix and the sizes found in each group
     member = s.select("token", "node", "n").join(groups, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
