@@ -45,7 +45,8 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return (
         docs.select(
             docs[id_col].alias("doc_id"), F.xxhash64(docs[text]).alias("doc_key"),
-            F.posexplode(F.split(docs[text], "\n", -1)).alias("line_no", "line"),
+            # the outer form keeps the optimiser from adding a filter that splits a second time
+            F.posexplode_outer(F.split(docs[text], "\n", -1)).alias("line_no", "line"),
         )
         .where(F.col("line").rlike(HAS_WORD))
         .withColumns({"node": F.xxhash64("line"), "len": F.length("line")})
