@@ -39,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import kernels
+from .bitmaps import PIECE, has_bits, slot_bitmap
 from .graph import components
 from .rows import table, written
 
 K = 5
 PERCENT = 75
 
-#: Shingles per counter of the sketch, its smallest and largest number of counters, counters per shuffled piece.
+#: Shingles per counter of the sketch, its smallest and largest number of counters.
 NOISE = 64
-MIN_COUNTERS, MAX_COUNTERS, PIECE = 1 << 16, 1 << 27, 1 << 14
+MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 27
 #: A shingle is common when its counter exceeds the mean by this many deviations, and this much.
 DEVIATIONS, SURPLUS = 8, 8
 EMIT_ROWS = 1 << 17
@@ -159,26 +160,6 @@ def prefixes(texts: DataFrame, late, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(emit, "token long, node long, n int")
 
 
-def slot_bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the values of ``slot``, packed by the cluster; ``bits / 8`` bytes in all."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for held in batch.column(1):
-                flags = np.zeros(PIECE, dtype=bool)
-                flags[held.values.to_numpy()] = True
-                out.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["piece", "bits"])
-
-    pieces = slots.groupBy(F.expr(f"slot div {PIECE}").alias("piece")).agg(F.collect_set(F.expr(f"cast(slot % {PIECE} as int)")).alias("held"))
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for row in pieces.mapInArrow(pack, "piece long, bits binary").toLocalIterator():
-        at = row["piece"] * PIECE // 8
-        bitmap[at : at + PIECE // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return bitmap
-
-
 def full_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """``(node, body)``: sorted shingle hashes, as bytes, of each text that occurs in ``pairs``.
 
@@ -194,8 +175,7 @@ def full_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            slot = nodes & np.int64(bits - 1)
-            hit = np.flatnonzero((bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(has_bits(bitmap.value, nodes & np.int64(bits - 1)))
             hit = np.array([i for i in hit if not (nodes[i] in seen or seen.add(nodes[i]))], dtype=np.int64)
             if not len(hit):
                 continue
