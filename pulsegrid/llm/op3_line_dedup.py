@@ -75,52 +75,48 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     """
     band = 2 * tau + 1
     full = (1 << band) - 1
-    x, y, m = F.split(a, ""), F.split(b, ""), F.length(a)
 
     def long(v: int) -> Column:
         return F.lit(v).cast("long")
 
-    def step(s: Column, j: Column) -> Column:
-        eq = long(0)
-        for d in range(band):
-            at = j + (d - tau)
-            eq = eq + F.when((at >= 1) & (at <= m) & (F.get(x, at - 1) == F.get(y, j - 1)), long(1 << d)).otherwise(long(0))
-        # along the band the value never falls, along the last row at most tau times
-        return F.when(s["dist"] > 2 * tau, s).otherwise(
-            advance(F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"), eq.alias("eq")), j)
-        )
-
     def bind(value: Column, then) -> Column:
         """Names an intermediate value, so that it is computed once."""
-        return F.get(F.transform(F.array(value), then), F.lit(0))
+        return F.get(F.transform(F.array(value), then), 0)
 
-    def advance(s: Column, j: Column) -> Column:
-        def with_d0(t: Column) -> Column:
-            d0 = t["eq"].bitwiseAND(t["vp"]) + t["vp"]
-            d0 = d0.bitwiseXOR(t["vp"]).bitwiseOR(t["eq"]).bitwiseOR(t["vn"]).bitwiseAND(long(full))
-            return F.struct(d0.alias("d0"), t["vp"].alias("vp"), t["vn"].alias("vn"), t["dist"].alias("dist"))
+    def along(c: Column) -> Column:
+        x, y, m = c["x"], c["y"], F.size(c["x"])
+
+        def step(s: Column, j: Column) -> Column:
+            here = F.get(y, j - 1)
+            eq = long(0)
+            for d in range(band):
+                eq = eq + F.when(F.coalesce(F.get(x, j + (d - tau - 1)) == here, F.lit(False)), long(1 << d)).otherwise(long(0))
+            # along the band the value never falls, along the last row at most tau times
+            return F.when(s["dist"] > 2 * tau, s).otherwise(bind(F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"), eq.alias("eq")), lambda t: bind(with_h(t), lambda t: done(t, j))))
 
         def with_h(t: Column) -> Column:
-            hp = t["vn"].bitwiseOR(F.bitwise_not(t["d0"].bitwiseOR(t["vp"]))).bitwiseAND(long(full))
-            hn = t["d0"].bitwiseAND(t["vp"])
-            return F.struct(hp.alias("hp"), hn.alias("hn"), F.shiftright(t["d0"], 1).alias("d"), t["d0"].alias("d0"), t["dist"].alias("dist"))
+            d0 = t["eq"].bitwiseAND(t["vp"]) + t["vp"]
+            d0 = d0.bitwiseXOR(t["vp"]).bitwiseOR(t["eq"]).bitwiseOR(t["vn"]).bitwiseAND(long(full))
+            hp = t["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(t["vp"]))).bitwiseAND(long(full))
+            return F.struct(hp.alias("hp"), d0.bitwiseAND(t["vp"]).alias("hn"), d0.alias("d0"), t["dist"].alias("dist"))
 
-        def done(t: Column) -> Column:
+        def done(t: Column, j: Column) -> Column:
             # past the last row of the band, the last row of the longer string sits one bit lower each step
-            row = F.lit(band - 1) - (j - (m - tau))
+            bit = F.call_function("shiftleft", long(1), F.greatest(F.lit(band - 1) - (j - (m - tau)), F.lit(0)).cast("int"))
             on_diagonal = F.when(t["d0"].bitwiseAND(long(1 << (band - 1))) == 0, 1).otherwise(0)
-            bit = F.call_function("shiftleft", long(1), F.greatest(row, F.lit(0)).cast("int"))
             flat = F.when(t["hp"].bitwiseAND(bit) != 0, 1).when(t["hn"].bitwiseAND(bit) != 0, -1).otherwise(0)
-            vp = t["hn"].bitwiseOR(F.bitwise_not(t["d"].bitwiseOR(t["hp"]))).bitwiseAND(long(full))
+            d = F.shiftright(t["d0"], 1)
+            vp = t["hn"].bitwiseOR(F.bitwise_not(d.bitwiseOR(t["hp"]))).bitwiseAND(long(full))
             return F.struct(
-                vp.alias("vp"), t["d"].bitwiseAND(t["hp"]).alias("vn"),
+                vp.alias("vp"), d.bitwiseAND(t["hp"]).alias("vn"),
                 (t["dist"] + F.when(j <= m - tau, on_diagonal).otherwise(flat)).cast("int").alias("dist"),
             )
 
-        return bind(bind(bind(s, with_d0), with_h), done)
+        start = F.struct(long((full << tau) & full).alias("vp"), long(0).alias("vn"), F.lit(tau).alias("dist"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(y)), start, step, lambda s: s["dist"])
 
-    start = F.struct(long((full << tau) & full).alias("vp"), long(0).alias("vn"), F.lit(tau).alias("dist"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step, lambda s: s["dist"])
+    # the characters are split once per pair, not once per step
+    return bind(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), along)
 
 
 def similar_lines(lines: DataFrame, min_chars: int = MIN_CHARS, depth: int = DEPTH) -> DataFrame:
