@@ -11,9 +11,9 @@ The set of a text is its distinct ``k``-word shingles; two texts link when
 2. *Prefix.*  Similar texts share a shingle among their first
    ``n - ceil(t n) + 1``.  Only these are shuffled, as ``(shingle, text, n)``, and
    only those met in two texts are kept.
-3. *Groups.*  Texts are partitioned into groups: every text is compared with the
-   smallest and the largest text that share its shingles, and texts that prove
-   similar to such a leader form one group.  Links inside a group are then known.
+3. *Groups.*  Texts are partitioned into groups: every text is compared with a
+   few random leaders among those that share its shingles, two per draw; the components of what
+   proves similar to such leaders are the groups.  Links inside a group need no more search.
 4. *Token-group matrix.*  The union of the members' prefix shingles of a group,
    one row per ``(shingle, group)``.  The overlap of two groups in it bounds the
    overlap of any two members; only pairs of groups whose bound reaches what the
@@ -52,6 +52,8 @@ MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 27
 #: A shingle is common when its counter exceeds the mean by this many deviations, and this much.
 DEVIATIONS, SURPLUS = 8, 8
 EMIT_ROWS = 1 << 17
+#: Draws of leaders: a text among many similar ones meets about twice as many of them.
+DRAWS = 8
 SIGN = np.int64(-(1 << 63))
 #: Bits per wanted node in the bitmap that spares the cluster a shuffle of texts, and its largest size.
 BITS_PER_NODE, MAX_BITS = 16, 1 << 27
@@ -234,9 +236,11 @@ def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFra
     late = spark.sparkContext.broadcast(common_shingles(texts, k))
     # one shuffle brings the rows of a shingle together; those met in one text only are not kept
     one = Window.partitionBy("token")
+    chance = F.struct("h", "node", "n")
     shared = written(
         prefixes(texts, late, k, percent)
-        .withColumns({"lo": F.min(F.struct("node", "n")).over(one), "hi": F.max(F.struct("node", "n")).over(one)})
+        .withColumn("h", F.xxhash64("node", F.expr(f"token % {DRAWS}")))
+        .withColumns({"lo": F.min(chance).over(one), "hi": F.max(chance).over(one)})
         .where("token < 0 or lo.node <> hi.node"), "shared",
     )
     sizes = shared.where("token < 0").select("node", "n").distinct()
@@ -249,13 +253,12 @@ def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFra
         .where(f"100 * {a} >= {percent} * {b}")
         .groupBy(F.least("node", "o").alias("x"), F.greatest("node", "o").alias("y"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.expr(a)).alias("a"), F.max(F.expr(b)).alias("b"))
-        # a text may share more shingles with the leader than those it leads, so half the bound; the rest is met below
-        .where(f"2 * c >= {required(percent, 'a', 'b')}").select("x", "y")
+        # a leader leads only its share of the shingles, so only that share of the bound; the rest is met below
+        .where(f"{2 * DRAWS} * c >= {required(percent, 'a', 'b')}").select("x", "y")
     )
     stars = written(stars, "stars")
     first = written(verify(stars, full_sets(texts, stars, k), percent), "links")
-    # a group is a text with those whose smallest proven partner it is: connected, whatever else they link with
-    groups = first.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("label"))
+    groups = components(first)
 
     # the token-group matrix and the sizes found in each group
     member = s.select("token", "node", "n").join(groups, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
