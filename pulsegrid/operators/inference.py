@@ -272,10 +272,17 @@ def holm(df: DataFrame, family: Sequence[str], p: str = "p_raw", cuts: Sequence[
     """Holm step-down adjustment inside each family, families of any size.
 
     Equal p-values share an adjusted value.  Without cuts (small families) one
-    pass of windows does it; with cuts distinct values are scanned by range.
+    pass of windows does it; with cuts distinct values are scanned by range.  A
+    NULL or NaN p is no test: it stays, adjusted to NULL, and does not count.
     """
     family = list(family)
-    cuts = range_cuts(df, p) if cuts is None else cuts
+    tested = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    untested = df.where(~F.coalesce(tested, F.lit(False))).withColumn(name, F.lit(None).cast("double"))
+    df = df.where(tested)
+    return _holm(df, family, p, range_cuts(df, p) if cuts is None else cuts, name).unionByName(untested)
+
+
+def _holm(df: DataFrame, family: list[str], p: str, cuts: Sequence[float], name: str) -> DataFrame:
     if not cuts:
         whole, by_p = Window.partitionBy(*family), Window.partitionBy(*family).orderBy(p)
         left = F.count(F.lit(1)).over(whole) - F.rank().over(by_p) + 1

@@ -239,9 +239,10 @@ def crop_mean(crops: DataFrame, keys: Sequence[str] = ("run_id", "record_id", "l
 
 
 def ensemble(preds: DataFrame, group: str = "grp", family: Sequence[str] = ()) -> DataFrame:
-    """Mean probability over the seeds of a group, per record and label."""
+    """Mean probability over the seeds of a group, per record and label; seeds that disagree on ``y`` are refused."""
+    agreed = F.when(F.min("y") == F.max("y"), F.max("y")).when(F.count("y") > 0, F.raise_error(F.lit("runs disagree on a label")))
     return preds.groupBy(*family, group, "record_id", "label").agg(
-        F.max("y").alias("y"), F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_seeds")
+        agreed.alias("y"), F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_seeds")
     )
 
 

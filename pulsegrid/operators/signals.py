@@ -176,19 +176,24 @@ def fit_scaler(signals: DataFrame, by: Sequence[str] = ("fs", "notch", "source")
 
 
 def standardise(signals: DataFrame, scaler: DataFrame, on: Sequence[str] = ("fs", "notch", "source")) -> DataFrame:
-    """``(x - mean) / std``; a degenerate scaler is an error.
+    """``(x - mean) / std``; a degenerate scaler and a row without one are errors, so no row is lost.
 
-    A scaler table holds one row per rate, notch and source, so it may be broadcast.
+    A scaler table holds one row per rate, notch and source; Spark chooses the join.
     """
     std = F.when(F.col("std") > 0, F.col("std")).otherwise(F.raise_error(F.lit("degenerate scaler")))
     ready = scaler.select(*on, "mean", std.alias("std"))
+    known = F.when(F.col("std").isNotNull(), F.col("std")).otherwise(F.raise_error(F.lit("no scaler for a signal")))
+    joined = signals.join(ready, list(on), "left").withColumn("std", known)
     scaled = F.transform("samples", lambda x: ((x.cast("double") - F.col("mean")) / F.col("std")).cast("float"))
-    return signals.join(F.broadcast(ready), list(on)).withColumn("samples", scaled).drop("mean", "std")
+    return joined.withColumn("samples", scaled).drop("mean", "std")
 
 
 def resolve_scaler(runs: DataFrame, scalers: DataFrame, expected_fingerprint: DataFrame | None = None,
-                   blocking_block: int = 0, fit_fs: int = SOURCE_FS) -> DataFrame:
-    """Which scaler a run uses and whether a stored one may be reused.
+                   blocking_block: int = 0, fit_fs: int = SOURCE_FS, source: str = "hr") -> DataFrame:
+    """Which scaler a run uses and whether a stored one may be reused; one row per run.
+
+    Only scalers of the wanted ``source`` count, unless none of it is stored for a
+    rate and notch; two stored for one rate and notch are refused.
 
     The blocking block fits on its own rate and notch; every other run shares the
     notched source-rate scaler.  A stored scaler is accepted only if source,
@@ -200,10 +205,16 @@ def resolve_scaler(runs: DataFrame, scalers: DataFrame, expected_fingerprint: Da
         F.when(own, F.col("fs")).otherwise(fit_fs).alias("fit_fs"),
         F.when(own, F.col("notch")).otherwise(F.lit(True)).alias("fit_notch"),
     )
-    stored = scalers.select(
-        F.col("fs").alias("fit_fs"), F.col("notch").alias("fit_notch"), F.col("source").alias("s"),
-        F.col("window").alias("w"), F.col("folds").alias("f"), "record_fingerprint", "mean", "std",
-    )
+    held = F.struct(F.col("source").alias("s"), F.col("window").alias("w"), F.col("folds").alias("f"), "record_fingerprint", "mean", "std")
+    right, any_ = F.col("source").eqNullSafe(source), F.lit(True)
+
+    def only(kind: Column) -> Column:
+        one = F.min(F.when(kind, held))
+        return F.when(F.count_if(kind) > 1, F.raise_error(F.lit("two scalers for one rate and notch"))).otherwise(one)
+
+    stored = scalers.groupBy(F.col("fs").alias("fit_fs"), F.col("notch").alias("fit_notch")).agg(
+        F.when(F.count_if(right) > 0, only(right)).otherwise(only(any_)).alias("k")
+    ).select("fit_fs", "fit_notch", "k.*")
     if expected_fingerprint is not None:
         stored = stored.join(
             expected_fingerprint.select(F.col("fs").alias("fit_fs"), F.col("notch").alias("fit_notch"), F.col("fingerprint").alias("want")),
@@ -212,24 +223,23 @@ def resolve_scaler(runs: DataFrame, scalers: DataFrame, expected_fingerprint: Da
     else:
         stored = stored.withColumn("want", F.col("record_fingerprint"))
     good = (
-        (F.col("s") == "hr") & (F.col("w") == "full_record") & (F.col("f") == f"{TRAIN_FOLDS[0]}-{TRAIN_FOLDS[1]}")
+        (F.col("s") == source) & (F.col("w") == "full_record") & (F.col("f") == f"{TRAIN_FOLDS[0]}-{TRAIN_FOLDS[1]}")
         & F.col("want").eqNullSafe(F.col("record_fingerprint"))
     )
     status = F.when(F.col("s").isNull(), "fit").when(good, "reuse").otherwise("wrong_provenance")
-    # one stored scaler per rate and notch
-    return wanted.join(F.broadcast(stored), ["fit_fs", "fit_notch"], "left").select(
+    return wanted.join(stored, ["fit_fs", "fit_notch"], "left").select(
         "run_id", "fit_fs", "fit_notch", status.alias("status"), "mean", "std"
     )
 
 
 def training_view(signals: DataFrame, labels: DataFrame, scaler: DataFrame, seed: int, epoch: int,
                   record_ds: int = RECORD_DS, width_ds: int = WINDOW_DS) -> DataFrame:
-    """Model-ready rows: seeded window, standardised, with the record's label vector."""
+    """Model-ready rows: seeded window, standardised, with the record's label vector (NULL without labels)."""
     target = labels.groupBy("record_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("label", "y"))), lambda s: s["y"]).alias("target")
     )
     windows = standardise(seeded_crop(signals, seed, epoch, record_ds, width_ds), scaler)
-    return windows.join(target, "record_id")
+    return windows.join(target, "record_id", "left")
 
 
 # --- spectra ----------------------------------------------------------------------------------------

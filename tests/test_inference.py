@@ -210,3 +210,11 @@ def test_gate(spark):
 def test_negative_control_tag(spark):
     df = spark.createDataFrame([("240", "250"), ("100", "250")], "a string, b string")
     assert [r["negative_control"] for r in decisions.tag_negative_control(df).orderBy(F.desc("a")).collect()] == [True, False]
+
+
+@pytest.mark.parametrize("cuts", [(), (0.015, 0.3)])
+def test_holm_keeps_rows_without_a_p(spark, cuts):
+    rows = [("f", 0.001), ("f", 0.02), ("f", 0.02), ("f", None), ("f", float("nan")), ("f", 0.6)]
+    got = inference.holm(spark.createDataFrame(rows, "fam string, p_raw double"), ["fam"], cuts=cuts).collect()
+    assert len(got) == 6 and [r["p_holm"] for r in got if r["p_raw"] is None or r["p_raw"] != r["p_raw"]] == [None, None]
+    assert sorted(round(r["p_holm"], 6) for r in got if r["p_holm"] is not None) == [0.004, 0.06, 0.06, 0.6]

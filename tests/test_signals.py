@@ -285,3 +285,21 @@ def test_header_variants():
     with pytest.raises(ValueError, match="format 16"):
         format16.parse_header("r 1 250 10\nr.dat 212 200 12 0\n")
     assert np.isnan(format16.decode({"record": "r", "n_samples": 1, "gain": [1.0], "baseline": [0]}, b"\x00\x80")).all()
+
+
+def test_scaler_joins_lose_and_repeat_nothing(spark):
+    from pyspark.errors import SparkRuntimeException
+
+    signals = spark.createDataFrame([(1, 0, 100, True, "hr", [1.0, 3.0]), (2, 0, 200, True, "hr", [1.0])], "record_id int, lead int, fs int, notch boolean, source string, samples array<float>")
+    scaler = spark.createDataFrame([(100, True, "hr", 1.0, 2.0)], "fs int, notch boolean, source string, mean double, std double")
+    assert S.standardise(signals.where("fs = 100"), scaler).first()["samples"] == [0.0, 1.0]
+    with pytest.raises(SparkRuntimeException):
+        S.standardise(signals, scaler).collect()
+    runs = spark.createDataFrame([("a", 0, 100, False), ("b", 1, 100, True), ("c", 0, 250, False)], "run_id string, block int, fs int, notch boolean")
+    row = lambda fs, notch, source: (fs, notch, source, "full_record", "1-8", "f", 0.0, 1.0)
+    schema = "fs int, notch boolean, source string, window string, folds string, record_fingerprint string, mean double, std double"
+    stored = spark.createDataFrame([row(500, True, "hr"), row(500, True, "lr"), row(100, False, "lr")], schema)
+    got = {r["run_id"]: r["status"] for r in S.resolve_scaler(runs, stored).collect()}
+    assert got == {"a": "wrong_provenance", "b": "reuse", "c": "fit"} and S.resolve_scaler(runs, stored).count() == 3
+    with pytest.raises(SparkRuntimeException):
+        S.resolve_scaler(runs, stored.unionByName(stored)).collect()
