@@ -12,7 +12,7 @@ hold a digit.  Spark scores it iteratively:
 
 Seeds keep confidence 1.  Patterns need ``MIN_SEEDS`` different seed values, and
 their occurrences are counted over all texts, so ordinary word pairs score near
-zero.  Instances above ``THRESHOLD`` that overlap no base span are reported as
+zero; only patterns that some instance besides seeds follows are scored.  Instances above ``THRESHOLD`` that overlap no base span are reported as
 ``context`` spans.
 
 The wanted patterns reach the counting pass as a bitmap of bounded size, whose
@@ -54,6 +54,8 @@ THRESHOLD = 0.8
 ROUNDS = 3
 MAX_BITS = 1 << 27
 CONTEXT_CHARS = 200
+#: Occurrences a task holds before it sums and emits them.
+HELD_ROWS = 1 << 21
 
 FIELDS = (
     "doc_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,stop:int,kind:int>>, "
@@ -170,6 +172,15 @@ def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(slot_bitmap(wanted.select(F.expr(f"pattern & {bits - 1}").alias("slot")), bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            if held:
+                pattern, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+
         for batch in batches:
             for _, _, data, offs in kernels.slices(batch.column(0)):
                 mask = kernels.WORD_SPACED[data]
@@ -179,9 +190,14 @@ def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 codes, words = kernels.coded(kernels.LOWER[data], mask, start, end)
                 h = kernels.word_hashes(words)[codes]
                 p = pair_hash(h[:-2], h[1:-1])[doc[:-2] == doc[2:]]
-                pattern, n = np.unique(p[has_bits(bitmap.value, p & np.int64(bits - 1))], return_counts=True)
-                if len(pattern):
-                    yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+                p = p[has_bits(bitmap.value, p & np.int64(bits - 1))]
+                if len(p):
+                    held.append(p)
+                    rows += len(p)
+                if rows >= HELD_ROWS:
+                    yield from sums()
+                    rows = 0
+        yield from sums()
 
     counted = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return counted.join(wanted, "pattern", "left_semi")
@@ -191,7 +207,9 @@ def bootstrap(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_seed
     """``(value, confidence)`` of the instances that are no seeds."""
     graph = written(edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
     wanted = written(
-        graph.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"), "patterns"
+        # a pattern that only seeds follow can discover nothing, so its score is never needed
+        graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
+        .where((F.col("seeds") >= min_seeds) & (F.col("others") > 0)).select("pattern"), "patterns"
     )
     totals = written(occurrences(texts, wanted), "totals")
     graph = written(graph.join(totals, "pattern"), "graph")
