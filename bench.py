@@ -59,8 +59,8 @@ def main() -> None:
     ens = ranking.ensemble(preds)
     timed("compare_groups_2000", lambda: inference.compare_groups(preds, frozen, N_BOOT))
     seconds = timed("seed_mean_2000", lambda: inference.seed_mean(preds, frozen, N_BOOT))
-    timed("chunked_counts_2000", lambda: inference.bootstrap_counts(ens, ["grp"], N_BOOT, strategy="chunked"))
-    timed("relational_counts_200", lambda: inference.bootstrap_counts(ens, ["grp"], 200, strategy="relational"))
+    timed("counts_2000", lambda: inference.bootstrap_counts(ens, ["grp"], N_BOOT))
+    timed("counts_by_range_2000", lambda: inference.bootstrap_counts(ens, ["grp"], N_BOOT, cuts=(0.2, 0.3, 0.4, 0.5)))
 
     rate = preds.count() * N_BOOT / seconds
     print(json.dumps({

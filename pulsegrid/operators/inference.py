@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.exprs import hex60, is_finite
-from .prefix import Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max
-from .ranking import accuracy_at, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen, pair_counts
+from .prefix import (
+    RANGE, ROWS_PER_RANGE, Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max, with_range,
+)
+from .ranking import accuracy_at, across_ranges, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen, pair_counts
 
-#: Largest prediction table (rows) the replicate-parallel form may broadcast.
-BROADCAST_ROWS = 2_000_000
-#: Record-replicate cells one task of the chunked form holds.
+#: Cells, rows of a range times replicates of a block, that a task aims at.
 CHUNK_CELLS = 8_000_000
 #: Draws generated per task.
 DRAWS_PER_TASK = 4_000_000
@@ -59,53 +58,37 @@ def bootstrap_weights(records: DataFrame, n_boot: int, seed: int = 0, key: str =
 # --- draws of the rank statistic --------------------------------------------------------
 
 def bootstrap_counts(
-    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, strategy: str = "auto",
-    broadcast_rows: int = BROADCAST_ROWS,
+    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate.
-
-    All forms give the same integers; ``auto`` picks by counted sizes.
-    ``parallel`` broadcasts at most ``broadcast_rows`` sorted predictions and
-    spreads replicates over the cluster.  ``chunked`` sends a group's predictions,
-    each with its draws of a few replicates, to one task; records times
-    replicates stay within ``CHUNK_CELLS``.  ``relational`` moves one row per
-    prediction and replicate and has no size limit.
-    """
-    rows, n = preds.agg(F.count(F.lit(1)), F.count_distinct("record_id")).first()
-    if not rows:
-        raise ValueError("no predictions to resample")
-    by = list(by)
-    if strategy == "auto":
-        fits = "chunked" if n <= CHUNK_CELLS else "relational"
-        strategy = "parallel" if rows <= broadcast_rows else fits
-    if strategy == "parallel":
-        if rows > broadcast_rows:
-            raise ValueError(f"{rows} rows exceed the broadcast limit of {broadcast_rows}")
-        return _counts_parallel(preds, by, n, n_boot, seed)
-    if strategy == "chunked":
-        if n > CHUNK_CELLS:
-            raise ValueError(f"{n} records exceed the chunk limit of {CHUNK_CELLS}")
-        return _counts_chunked(preds, by, n, n_boot, seed)
-    return _counts_relational(preds, by, n, n_boot, seed)
-
-
-def _counts_chunked(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
-    """Weights travel as short lists, a few replicates per row, not one row each.
-
-    A group has at most one row per record (duplicate cells are refused upstream),
-    so a task's matrix is bounded by ``CHUNK_CELLS`` whatever the scores look like.
+    """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate, one form for all sizes.
+
+    Weights travel as short lists, a few replicates per row, not one row each.  A
+    task holds the predictions of one group, label and score range with a block of
+    replicates and counts the pairs inside the range; pairs across ranges are the
+    positives of a range times the negatives of the lower ones.  Nothing passes
+    through the driver.  ``cuts`` steer balance only and come from a sketch of the
+    scores unless given.  A group has at most one row per record; a NULL or NaN
+    score is refused.
     """
     keys = [*by, "label"]
     spark = preds.sparkSession
-    chunk = max(1, min(CHUNK_CELLS // n, -(-n_boot // (2 * spark.sparkContext.defaultParallelism))))
+    n = preds.agg(F.count_distinct("record_id")).first()[0]
+    if not n:
+        raise ValueError("no predictions to resample")
+    cuts = range_cuts(preds, "score") if cuts is None else tuple(cuts)
+    # about as many rows as a range holds meet a block of replicates in a task
+    held = min(n, ROWS_PER_RANGE)
+    chunk = max(1, min(CHUNK_CELLS // held, -(-n_boot // (2 * spark.sparkContext.defaultParallelism))))
     numbered = dense_index(preds.select("record_id").distinct(), "record_id")
-    indexed = preds.select("record_id", *keys, "y", "score").join(numbered, "record_id").drop("record_id")
+    known = F.when(F.col("score").isNull() | F.isnan("score"), F.raise_error(F.lit("a score is undefined"))).otherwise(F.col("score"))
+    indexed = preds.select("record_id", *keys, "y", known.alias("score")).join(numbered, "record_id").drop("record_id")
+    indexed = with_range(indexed, "score", cuts) if cuts else indexed.withColumn(RANGE, F.lit(0))
     drawn = draw_slots(spark, n, n_boot, seed).groupBy("idx", F.expr(f"rep div {chunk}").alias("chunk")).agg(
         F.collect_list((F.col("rep") % chunk).cast("smallint")).alias("draws")
     )
-    rows = drawn.join(indexed, "idx").select(*keys, "chunk", "y", "score", "draws")
+    rows = drawn.join(indexed, "idx").select(*keys, "chunk", RANGE, "y", "score", "draws")
     fields = [T.StructField(c, preds.schema[c].dataType) for c in keys]
-    counts = [T.StructField(c, T.LongType()) for c in ("rep", "n_pos", "n_neg", "u2")]
+    counts = [T.StructField(RANGE, T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("rep", "n_pos", "n_neg", "u2")]]
 
     def evaluate(key: tuple, table: pa.Table) -> pa.Table:
         lists = table["draws"].combine_chunks()
@@ -120,80 +103,18 @@ def _counts_chunked(preds: DataFrame, by: list[str], n: int, n_boot: int, seed:
         pos = np.add.reduceat(w * flag, ties, axis=0)
         neg = np.add.reduceat(w * ~flag, ties, axis=0)
         below = np.cumsum(neg, axis=0) - neg
-        first = key[-1].as_py() * chunk
+        first = key[-2].as_py() * chunk
         live = min(chunk, n_boot - first)
         out = {c: pa.array([k.as_py()] * live, type=table.schema.field(c).type) for c, k in zip(keys, key)}
+        out[RANGE] = pa.array([key[-1].as_py()] * live, pa.int32())
         out["rep"] = pa.array(np.arange(first, first + live))
         for name, v in (("n_pos", pos.sum(0)), ("n_neg", neg.sum(0)), ("u2", (pos * (2 * below + neg)).sum(0))):
             out[name] = pa.array(v[:live].astype(np.int64))
         return pa.table(out)
 
-    return rows.groupBy(*keys, "chunk").applyInArrow(evaluate, T.StructType([*fields, *counts])).select(
-        "rep", *keys, "n_pos", "n_neg", "u2"
-    )
-
-
-def _counts_relational(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
-    numbered = dense_index(preds.select("record_id").distinct(), "record_id")
-    indexed = preds.select("record_id", *by, "label", "y", "score").join(numbered, "record_id").drop("record_id")
-    cuts, repeats = range_layout(preds, "score")
-    weighted = index_weights(preds.sparkSession, n, n_boot, seed).join(indexed, "idx")
-    return pair_counts(weighted, ["rep", *by, "label"], weight="w", cuts=cuts, combine=repeats)
-
-
-def _counts_parallel(preds: DataFrame, by: list[str], n: int, n_boot: int, seed: int) -> DataFrame:
-    spark = preds.sparkSession
-    keys = [*by, "label"]
-    local = preds.select("record_id", *keys, "y", "score").toArrow().to_pandas()
-    group, names = pd.factorize(pd.MultiIndex.from_frame(local[keys]), sort=True)
-    _, record = np.unique(local["record_id"].to_numpy(), return_inverse=True)
-    score = local["score"].to_numpy(dtype=np.float64)
-    order = np.lexsort((score, group))
-    g, s = group[order], score[order]
-    fresh = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])]
-    ties = np.flatnonzero(fresh)
-    tie_group = g[ties]
-    first = np.flatnonzero(np.r_[True, tie_group[1:] != tie_group[:-1]])
-    shared = spark.sparkContext.broadcast(
-        (record[order].astype(np.int64), local["y"].to_numpy()[order] > 0, ties, first, tie_group)
-    )
-
-    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rec, pos_flag, tie_at, first_tie, of_tie = shared.value
-        n_groups = len(first_tie)
-        for batch in batches:
-            out = []
-            for rep, draws in zip(batch["rep"], batch["draws"]):
-                w = np.bincount(np.asarray(draws, dtype=np.int64)[:n], minlength=n)[rec]
-                pos = np.add.reduceat(np.where(pos_flag, w, 0), tie_at)
-                neg = np.add.reduceat(np.where(pos_flag, 0, w), tie_at)
-                below = np.cumsum(neg) - neg
-                below -= below[first_tie][of_tie]
-                out.append(pd.DataFrame({
-                    "rep": np.full(n_groups, rep),
-                    "g": np.arange(n_groups),
-                    "n_pos": np.add.reduceat(pos, first_tie),
-                    "n_neg": np.add.reduceat(neg, first_tie),
-                    "u2": np.add.reduceat(pos * (2 * below + neg), first_tie),
-                }))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    half = (n + 1) // 2
-    digest = lambda h: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), h.cast("string")))
-    pair = lambda h: F.transform(
-        F.array(digest(h)), lambda d: F.array(F.pmod(hex60(d, 0), F.lit(n)), F.pmod(hex60(d, 15), F.lit(n)))
-    )
-    tasks = min(n_boot, 4 * spark.sparkContext.defaultParallelism)
-    reps = spark.range(0, n_boot, 1, tasks).select(
-        F.col("id").alias("rep"),
-        F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), pair))).alias("draws"),
-    )
-    counts = reps.mapInPandas(evaluate, "rep long, g int, n_pos long, n_neg long, u2 long")
-    frame = names.to_frame(index=False)
-    frame.columns = keys
-    frame["g"] = np.arange(len(frame), dtype=np.int32)
-    return counts.join(spark.createDataFrame(frame), "g").select("rep", *keys, "n_pos", "n_neg", "u2")
+    per = rows.groupBy(*keys, "chunk", RANGE).applyInArrow(evaluate, T.StructType([*fields, *counts]))
+    named = ["rep", *keys, "n_pos", "n_neg", "u2"]
+    return across_ranges(per, ["rep", *keys]).select(named) if cuts else per.select(named)
 
 
 def macro_draws(counts: DataFrame, by: Sequence[str], frozen: DataFrame | None = None) -> DataFrame:
@@ -329,7 +250,7 @@ def group_values(ens: DataFrame, frozen: DataFrame | None = None, group: str = "
 
 def compare_groups(
     preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05,
-    strategy: str = "auto", group: str = "grp", family: Sequence[str] = (),
+    group: str = "grp", family: Sequence[str] = (),
 ) -> DataFrame:
     """All pairs of groups on their ensembles, one resample for all of them.
 
@@ -342,7 +263,7 @@ def compare_groups(
     ens = ensemble(preds, group, family)
     points = group_pairs(group_values(ens, frozen, group, family), scope, group).withColumnRenamed("value", "diff")
     keys = [*family, group]
-    draws = macro_draws(bootstrap_counts(ens, keys, n_boot, seed, strategy), keys, frozen)
+    draws = macro_draws(bootstrap_counts(ens, keys, n_boot, seed), keys, frozen)
     diffs = group_pairs(draws, ["rep", *scope], group)
     summary = simultaneous(draw_summary(diffs, [*scope, "a", "b"], alpha=alpha), scope, alpha)
     adjusted = holm(summary.drop("sorted_draws"), scope, cuts=())
@@ -358,13 +279,13 @@ def crosses_zero() -> Column:
 
 def group_results(
     preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05,
-    strategy: str = "auto", group: str = "grp", family: Sequence[str] = (),
+    group: str = "grp", family: Sequence[str] = (),
 ) -> DataFrame:
     """Ensemble point and interval per group and endpoint."""
     keys = [*family, group, "endpoint"]
     ens = ensemble(preds, group, family)
     points = group_values(ens, frozen, group, family).select(*keys, F.col("value").alias("point"))
-    counts = bootstrap_counts(ens, [*family, group], n_boot, seed, strategy)
+    counts = bootstrap_counts(ens, [*family, group], n_boot, seed)
     draws = macro_draws(counts, [*family, group], frozen)
     return percentile_ci(draws, keys, alpha=alpha).join(points, keys).select(*keys, "point", "lo", "hi", "n_defined")
 
@@ -381,6 +302,8 @@ def bootstrap_metric(preds: DataFrame, metric: Metric, by: Sequence[str], n_boot
     serves every replicate.
     """
     layout = range_layout(preds, "score") if layout is None else layout
+    if metric is macro_auroc_metric:  # rank counts need no row per prediction and replicate
+        return macro_draws(bootstrap_counts(preds, by, n_boot, seed, layout.cuts), by).select("rep", *by, "value")
     weighted = bootstrap_weights(preds, n_boot, seed).join(preds, "record_id")
     return metric(weighted, ["rep", *by], "w", layout)
 
@@ -424,7 +347,7 @@ def accuracy_metric(df: DataFrame, keys: Sequence[str], weight: str | None, layo
 
 def seed_mean(
     preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05,
-    strategy: str = "auto", group: str = "grp",
+    group: str = "grp",
 ) -> DataFrame:
     """Mean of *metrics* over the seeds of a group with a record-level interval.
 
@@ -440,6 +363,6 @@ def seed_mean(
         (F.max("value") - F.min("value")).alias("seed_spread"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("seed_std"),
     )
-    draws = macro_draws(bootstrap_counts(preds, keys, n_boot, seed, strategy), keys, frozen)
+    draws = macro_draws(bootstrap_counts(preds, keys, n_boot, seed), keys, frozen)
     means = draws.groupBy("rep", group, "endpoint").agg(F.avg("value").alias("value"))
     return points.join(percentile_ci(means, [group, "endpoint"], alpha=alpha), [group, "endpoint"])

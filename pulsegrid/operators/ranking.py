@@ -75,6 +75,11 @@ def pair_counts(
     )
     if not cuts:
         return per
+    return across_ranges(per, keys)
+
+
+def across_ranges(per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals ``(keys, n_pos, n_neg, u2)`` from counts per score range, pairs across ranges included."""
     lower = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     carried = F.coalesce(F.sum("n_neg").over(lower), F.lit(0)).cast("decimal(18,0)")
     cross = (F.col("n_pos").cast("decimal(18,0)") * carried * 2).cast(WIDE)

@@ -48,9 +48,9 @@ def bootstrap_weights(spark, sf):
     return inference.bootstrap_weights(records, N_BOOT)
 
 
-def _group_draws(spark, sf, strategy="auto"):
+def _group_draws(spark, sf):
     ens = ranking.ensemble(b.pred_s(spark, sf))
-    counts = inference.bootstrap_counts(ens, ["grp"], N_BOOT, strategy=strategy)
+    counts = inference.bootstrap_counts(ens, ["grp"], N_BOOT)
     return inference.macro_draws(counts, ["grp"], b.frozen_s(spark, sf))
 
 
@@ -58,7 +58,7 @@ def _group_draws(spark, sf, strategy="auto"):
 SELECT endpoint, grp, count(value) AS n_defined, round(quantile_cont(value, 0.025::DOUBLE), 8) AS lo,
        round(quantile_cont(value, 0.975::DOUBLE), 8) AS hi FROM val WHERE rep >= 0 GROUP BY ALL""")
 def percentile_ci(spark, sf):
-    ci = inference.percentile_ci(_group_draws(spark, sf, "relational"), ["endpoint", "grp"])
+    ci = inference.percentile_ci(_group_draws(spark, sf), ["endpoint", "grp"])
     return ci.withColumns({"lo": rnd("lo"), "hi": rnd("hi")})
 
 
@@ -143,7 +143,7 @@ def negative_control(spark, sf):
     )
 
 
-# --- the metric-function form (relational resample) ------------------------------------------
+# --- the metric-function form ------------------------------------------
 
 _METRIC_DRAWS = with_(
     b.PRED_S, ENSEMBLE, weights_cte("ens"),

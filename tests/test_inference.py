@@ -47,27 +47,23 @@ def test_weights_are_one_multinomial_per_replicate(spark):
     assert w.sort_values(key).values.tolist() == again.sort_values(key).values.tolist()
 
 
-def test_all_strategies_give_the_same_integers(preds):
+def test_counts_do_not_depend_on_ranges(preds):
+    """Ranges give the integers of one range, and those of the weighted scan over one row per replicate."""
     ens = ranking.ensemble(preds)
-    a, b, c = (
-        [tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], N_BOOT, strategy=s).orderBy("rep", "grp", "label").collect()]
-        for s in ("parallel", "chunked", "relational")
-    )
-    assert len(a) == N_BOOT * 9
-    assert a == b == c
-
-
-def test_auto_falls_back_beyond_the_limits(preds, monkeypatch):
-    ens = ranking.ensemble(preds)
-    with pytest.raises(ValueError, match="broadcast limit"):
-        inference.bootstrap_counts(ens, ["grp"], 2, strategy="parallel", broadcast_rows=10)
-    want = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7).collect())
-    small = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7, broadcast_rows=10).collect())
-    monkeypatch.setattr(inference, "CHUNK_CELLS", 50)
-    with pytest.raises(ValueError, match="chunk limit"):
-        inference.bootstrap_counts(ens, ["grp"], 2, strategy="chunked")
-    large = sorted(tuple(r) for r in inference.bootstrap_counts(ens, ["grp"], 7, broadcast_rows=10).collect())
-    assert want == small == large
+    weighted = inference.bootstrap_weights(ens, N_BOOT).join(ens, "record_id")
+    forms = [inference.bootstrap_counts(ens, ["grp"], N_BOOT, cuts=c) for c in ((), (0.2, 0.3), (0.25, 0.3, 0.31, 0.5, 0.9))]
+    forms.append(ranking.pair_counts(weighted, ["rep", "grp", "label"], weight="w", cuts=()))
+    got = [sorted((*r[:3], *map(int, r[3:])) for r in f.select("rep", "grp", "label", "n_pos", "n_neg", "u2").collect()) for f in forms]
+    assert len(got[0]) == N_BOOT * 9
+    assert all(g == got[0] for g in got)
+
+
+@pytest.mark.parametrize("cuts", [(), (0.5,)])
+def test_counts_refuse_undefined_scores(spark, cuts):
+    for bad in (None, float("nan")):
+        rows = spark.createDataFrame([("g", 1, "a", 1, 0.2), ("g", 2, "a", 0, bad)], "grp string, record_id long, label string, y int, score double")
+        with pytest.raises(Exception, match="score is undefined"):
+            inference.bootstrap_counts(rows, ["grp"], 3, cuts=cuts).collect()
 
 
 def test_replicates_match_resampled_rows(spark, preds):
