@@ -5,9 +5,11 @@ text gives, through its longest-common-prefix intervals, the longest repeat that
 starts at each word; a repeat that does not merely continue the one a word
 earlier is maximal.  The spans of maximal repeats of at least ``min_repeat``
 words are united, and two limits apply: the covered share of the words, and the
-longest single repeat, both only where they say something about the text as a
-whole (``longest`` counts against ``max_longest_share`` of the words once it has
-``min_longest`` words).
+longest single repeat.  Each has a least number of words, so that a boilerplate
+line that a short text holds twice does not decide: the share counts once
+``min_covered`` words are covered, the longest repeat once it has ``min_longest``
+words.  Both shares lie below the base rule's, which ends at a fifth of the
+words; a larger share would reject nothing that the base rule keeps.
 
 Edge cases: null and empty texts have no words and fail the base rule (fewer
 than ten words).  Copies of a row are judged alike.  An empty table gives an
@@ -33,9 +35,10 @@ MAX_REPEAT_PERCENT = 20
 
 #: Parameters of the method's own verdict.
 MIN_REPEAT = 8
-MAX_COVERED = 0.30
+MAX_COVERED = 0.12
+MIN_COVERED = 40
 MIN_LONGEST = 20
-MAX_LONGEST_SHARE = 0.20
+MAX_LONGEST_SHARE = 0.05
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
@@ -66,7 +69,7 @@ def _duplicate_lines(data: np.ndarray, offs: np.ndarray, word_start: np.ndarray,
 
 def measure(
     texts: pa.Array, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED,
-    min_longest: int = MIN_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE,
+    min_longest: int = MIN_LONGEST, max_longest_share: float = MAX_LONGEST_SHARE, min_covered: int = MIN_COVERED,
 ) -> dict[str, pa.Array]:
     """Base counts, repetition measures and the verdict of each text of a batch."""
     parts: dict[str, list[np.ndarray]] = {}
@@ -96,7 +99,7 @@ def measure(
             "n_maximal_repeats": np.bincount(doc[spans], minlength=n),
         }
         out["base_failed"] = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n_words)
-        repetitive = (out["covered_words"] > max_covered * n_words) | (
+        repetitive = ((out["covered_words"] >= min_covered) & (out["covered_words"] > max_covered * n_words)) | (
             (longest >= min_longest) & (longest > max_longest_share * n_words)
         )
         out["kept"] = ~out["base_failed"] & ~repetitive

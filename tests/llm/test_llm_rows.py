@@ -76,6 +76,23 @@ def test_op10_counts(spark):
     assert [r.doc_id for r in kept.collect()] == [1] and "score" in kept.columns
 
 
+def test_op10_verdict_binds_below_the_base_rule(spark):
+    w = lambda a, b: [f"w{i}" for i in range(a, b)]
+    boiler = w(9000, 9009)
+    texts = {
+        1: w(0, 80) + w(1000, 1840) + w(0, 80),  # 16 % covered by one passage
+        2: sum((w(10 * i, 10 * i + 10) + w(1000 + 90 * i, 1084 + 90 * i) for i in range(8)), []) + sum((w(10 * i, 10 * i + 10) + [f"x{i}"] for i in range(8)), []),
+        3: w(0, 55) + w(1000, 1890) + w(0, 55),  # 11 % covered, but by one long passage
+        4: w(0, 1000), 5: w(0, 40) + w(1000, 1920) + w(0, 40), 6: boiler + w(0, 100) + boiler,
+    }
+    got = {r.doc_id: r for r in op10.repetition(frame(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert got[2].covered_words == 160 and got[2].longest_repeat == 10
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True}
+    kept = op10.keep_unrepetitive(frame(spark, [(i, " ".join(t)) for i, t in texts.items()]))
+    assert {r.doc_id for r in kept.collect()} == {4, 5, 6}
+
+
 def test_op1_templates_and_phrases(spark):
     texts = EDGE + [
         (20, "Licensed under the Apache License, Version 2.0."), (21, "This work is licensed under the terms of the GNU General Public License, version 3."),
