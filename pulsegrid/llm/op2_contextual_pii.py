@@ -16,10 +16,12 @@ zero; only patterns that some instance besides seeds follows are scored.  Instan
 ``context`` spans.
 
 The wanted patterns reach the counting pass as a bitmap of bounded size, whose
-false positives are dropped by a join; the graph itself stays distributed.
+false positives are dropped by a join; the graph itself stays distributed.  Texts
+that several rows hold are marked by a second bitmap and counted under their key,
+so that both sides of a score count each distinct text once.
 
 Edge cases: null and empty texts have no spans.  Repeated rows get equal
-results; each copy counts as evidence once per value and document text.  Empty tables give
+results and count as evidence once, in patterns and in their occurrences alike.  Empty tables give
 empty results.  Texts of any length are scanned whole.  Other columns are not read.
 """
 
@@ -165,45 +167,71 @@ def scan(texts: pa.Array) -> dict[str, pa.Array]:
     return {n: pa.array(c, t) for n, c, t in zip(names, cols, types)}
 
 
-def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(pattern, total)``: occurrences of the wanted word pairs before any third word, over all texts."""
-    spark = texts.sparkSession
-    bits = min(MAX_BITS, max(PIECE, 1 << int(np.ceil(np.log2(max(1, wanted.count() * 16))))))
-    bitmap = spark.sparkContext.broadcast(slot_bitmap(wanted.select(F.expr(f"pattern & {bits - 1}").alias("slot")), bits))
+def _bitmap(keys: DataFrame, name: str):
+    """Broadcast bitmap of the low bits of ``name``, and how many bits that are."""
+    bits = min(MAX_BITS, max(PIECE, 1 << int(np.ceil(np.log2(max(1, keys.count() * 16))))))
+    return keys.sparkSession.sparkContext.broadcast(slot_bitmap(keys.select(F.expr(f"{name} & {bits - 1}").alias("slot")), bits)), np.int64(bits - 1)
+
+
+def occurrences(texts: DataFrame, wanted: DataFrame, copied: DataFrame) -> DataFrame:
+    """``(pattern, total)``: occurrences of the wanted word pairs before any third word, over all distinct texts.
+
+    ``copied`` holds the ``doc_key`` of the texts that several rows have.  A task
+    counts such a text once and under its key, where the tasks' equal counts meet.
+    """
+    bitmap, low = _bitmap(wanted, "pattern")
+    copies, copies_low = _bitmap(copied, "doc_key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
+        seen: set[int] = set()
+
+        def made(key: pa.Array, pattern: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, pa.array(pattern), pa.array(n.astype(np.int64))], names=["doc_key", "pattern", "n"])
 
         def sums() -> Iterator[pa.RecordBatch]:
             if held:
                 pattern, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+                yield made(pa.nulls(len(pattern), pa.int64()), pattern, n)
 
         for batch in batches:
-            for _, _, data, offs in kernels.slices(batch.column(0)):
+            for i, j, data, offs in kernels.slices(batch.column(0)):
                 mask = kernels.WORD_SPACED[data]
                 start, end, doc = kernels.spans(mask, offs)
                 if len(start) < 3:
                     continue
+                key = np.array([xxhash.xxh3_64_intdigest(data[offs[d] : offs[d + 1]].tobytes()) for d in range(j - i)], dtype=np.uint64).view(np.int64)
+                marked = has_bits(copies.value, key & copies_low)
+                again = np.zeros(j - i, dtype=bool)
+                for d in np.flatnonzero(marked):
+                    again[d] = int(key[d]) in seen
+                    seen.add(int(key[d]))
                 codes, words = kernels.coded(kernels.LOWER[data], mask, start, end)
                 h = kernels.word_hashes(words)[codes]
-                p = pair_hash(h[:-2], h[1:-1])[doc[:-2] == doc[2:]]
-                p = p[has_bits(bitmap.value, p & np.int64(bits - 1))]
-                if len(p):
-                    held.append(p)
-                    rows += len(p)
+                inside = (doc[:-2] == doc[2:]) & ~again[doc[:-2]]
+                p, d = pair_hash(h[:-2], h[1:-1])[inside], doc[:-2][inside]
+                hit = has_bits(bitmap.value, p & low)
+                p, d = p[hit], d[hit]
+                shared = marked[d]
+                if not shared.all():
+                    held.append(p[~shared])
+                    rows += len(held[-1])
+                if shared.any():
+                    pairs, n = np.unique(np.stack([key[d[shared]], p[shared]]), axis=1, return_counts=True)
+                    yield made(pa.array(pairs[0]), pairs[1], n)
                 if rows >= HELD_ROWS:
                     yield from sums()
                     rows = 0
         yield from sums()
 
-    counted = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    return counted.join(wanted, "pattern", "left_semi")
+    each = F.when(F.col("doc_key").isNull(), F.sum("n")).otherwise(F.max("n"))
+    counted = texts.mapInArrow(count, "doc_key long, pattern long, n long").groupBy("doc_key", "pattern").agg(each.alias("n"))
+    return counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(wanted, "pattern", "left_semi")
 
 
-def bootstrap(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def bootstrap(edges: DataFrame, texts: DataFrame, copied: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """``(value, confidence)`` of the instances that are no seeds."""
     graph = written(edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
     wanted = written(
@@ -211,7 +239,7 @@ def bootstrap(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_seed
         graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
         .where((F.col("seeds") >= min_seeds) & (F.col("others") > 0)).select("pattern"), "patterns"
     )
-    totals = written(occurrences(texts, wanted), "totals")
+    totals = written(occurrences(texts, wanted, copied), "totals")
     graph = written(graph.join(totals, "pattern"), "graph")
     belief = graph.where("seed").select("value", F.lit(1.0).alias("confidence")).distinct()
     for _ in range(rounds):
@@ -232,7 +260,8 @@ def personal_data(
     """One row per document: base counts and digest, ``base`` spans, ``spans`` of both kinds as text."""
     found = written(annotate(docs, text, scan, FIELDS, keep=(id_col,)), "spans")
     each = found.select("doc_key", F.explode("candidates").alias("c")).select("doc_key", "c.*").distinct()
-    known = bootstrap(each, docs.select(docs[text].cast("string").alias("text")), rounds, min_seeds).where(F.col("confidence") >= threshold)
+    copied = found.groupBy("doc_key").count().where("count > 1").select("doc_key")
+    known = bootstrap(each, docs.select(docs[text].cast("string").alias("text")), copied, rounds, min_seeds).where(F.col("confidence") >= threshold)
     more = (
         each.where("not seed").join(known, "value").groupBy("doc_key")
         .agg(F.collect_set(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"))).alias("more"))

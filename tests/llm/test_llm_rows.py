@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import (
@@ -121,6 +122,24 @@ def test_op2_base_and_bootstrap(spark):
     assert got[30].spans == "email:22:44" and got[40].spans == f"context:{at}:{end}" and got[1].spans == ""
 
 
+def test_op2_copies_of_a_text_do_not_change_scores(spark):
+    mails = [(30 + i, f"please write to mail: user{i}@mail.example.com and mail: user{i}@other.example.com, then go on") for i in range(5)]
+    rest = [(40, "then write mail: and to mail: ticket-83A9922, ok"), (41, "the write to mail: ticket-83A9922 mail: or")]
+    one = {r.doc_id: tuple(r) for r in op2.personal_data(frame(spark, mails + rest)).collect()}
+    assert one[40][-1] == 1 and one[41][-1] == 1
+    for often in (mails[:1], rest[:1], mails[:2] + rest):
+        rows = mails + rest + often * 200
+        got = op2.personal_data(frame(spark, rows).repartition(7)).collect()
+        assert len(got) == len(rows) and all(tuple(r) == one[r.doc_id] for r in got)
+    edges = frame(spark, [(1,)], "pattern long")
+    words = [op2._pattern("to mail: x", 9), op2._pattern("a mail: x", 8)]
+    wanted = edges.selectExpr(f"explode(array({words[0]}L, {words[1]}L)) as pattern")
+    key = op2.scan(pa.array(["to mail: x to mail: y"]))["doc_key"][0].as_py()
+    texts = frame(spark, [("to mail: x to mail: y",)] * 50 + [("a mail: z",), ("to mail: u",)], "text string").repartition(5)
+    got = op2.occurrences(texts, wanted, edges.selectExpr(f"{key}L as doc_key")).collect()
+    assert {r.pattern: r.total for r in got} == {words[0]: 3, words[1]: 1}
+
+
 def test_op5_base_and_links(spark):
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
