@@ -4,7 +4,9 @@ A template is wording with ``<<optional>>…<<end>>`` regions and replaceable
 regions ``<<any;m-n>>`` (``m`` to ``n`` arbitrary words) or ``<<one;a|b>>``.  It is
 compiled to a token automaton; a stretch of words is accepted when all mandatory
 words stand there exactly and in order.  Templates are tried only where one of
-their possible first words stands, in texts that hold an anchor word.
+their possible first words stands, in texts that hold an anchor: a word that no
+accepted stretch can do without, taken from each automaton.  A template without
+such a word is tried in all texts.
 
 Besides, fixed base phrases are counted wherever their words stand in a row.
 
@@ -106,6 +108,20 @@ class Automaton:
                     todo.append(s)
         return states
 
+    def mandatory(self) -> set[str]:
+        """Words that stand in every accepted stretch."""
+        return {w for w in {w for edges in self.edges for w in edges if w is not None} if not self._reached_without(w)}
+
+    def _reached_without(self, word: str) -> bool:
+        seen, todo = {0}, [0]
+        while todo:
+            s = todo.pop()
+            for t in [*self.skips[s], *(t for w, to in self.edges[s].items() if w != word for t in to)]:
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return self.end in seen
+
     def accept(self, words: list[str], at: int) -> int | None:
         """End of the longest accepted stretch from ``at``."""
         states, end = self.start, None
@@ -123,8 +139,15 @@ def compile_all(templates: dict[str, str]) -> dict[str, Automaton]:
     return {label: Automaton(t) for label, t in templates.items()}
 
 
-#: Every template and phrase holds one of these.
-ANCHOR = re.compile(rb"licen|permission|permitted|creative|under cc|reserved")
+def anchors(automata: dict[str, Automaton]) -> re.Pattern[bytes]:
+    """Finds, in words parted by blanks, a whole word that each phrase and each accepted stretch must hold."""
+    held: set[str] = set()
+    for words in [*(set(p.split()) for p in PHRASES), *(a.mandatory() for a in automata.values())]:
+        if not words:
+            return re.compile(b"")
+        if not words & held:
+            held.add(max(words, key=lambda w: (len(w), w)))
+    return re.compile(rb"(?<![^ ])(?:" + b"|".join(re.escape(w.encode()) for w in sorted(held)) + rb")(?![^ ])")
 
 
 def scan(texts: pa.Array, automata: dict[str, Automaton]) -> dict[str, pa.Array]:
@@ -134,6 +157,7 @@ def scan(texts: pa.Array, automata: dict[str, Automaton]) -> dict[str, pa.Array]
         for w in a.first:
             starts.setdefault(w, []).append(label)
     phrases = [(p.split(), label) for p, label in PHRASES.items()]
+    anchor = anchors(automata)
     for i, j, data, offs in kernels.slices(texts):
         low = kernels.LOWER[data]
         mask = kernels.WORD_ALNUM[low]
@@ -142,7 +166,7 @@ def scan(texts: pa.Array, automata: dict[str, Automaton]) -> dict[str, pa.Array]
         for d in range(j - i):
             body = spaced[offs[d] : offs[d + 1]]
             places, base, found, spans = [], set(), set(), []
-            if ANCHOR.search(body):
+            if anchor.search(body):
                 words = body.decode("utf-8", "replace").split(" ")
                 words = [w for w in words if w]
                 for at, w in enumerate(words):

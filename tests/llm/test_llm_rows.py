@@ -110,6 +110,19 @@ def test_op1_templates_and_phrases(spark):
     assert [automaton.accept(w.split(), 0) for w in ("a d", "a b c d", "a b d", "a x y z d", "a x y d")] == [2, 4, 3, None, 4]
 
 
+def test_op1_anchors_follow_from_the_templates(spark):
+    texts = [(1, "Released under a CC BY 4.0"), (2, "Released under (CC BY 4.0)"), (3, "available under  a  CC-BY-SA 4.0"), (4, "Licensed under CC BY-NC 4.0.")]
+    got = {r.doc_id: (r.labels, r.score, r.template_spans) for r in op1.licenses(frame(spark, texts)).collect()}
+    assert got == {
+        1: ("cc-by-4.0", 1.0, "cc-by-4.0:0:7"), 2: ("cc-by-4.0", 1.0, "cc-by-4.0:0:6"), 3: ("cc-by-sa-4.0", 1.0, "cc-by-sa-4.0:0:8"),
+        4: ("cc-by-nc-4.0", 1.0, "cc-by-nc-4.0:0:7"),
+    }
+    own = {"wtf": "do what you <<optional>>ever<<end>> want to", "either": "<<one;free for all|no rights>>"}
+    got = {r.doc_id: r.labels for r in op1.licenses(frame(spark, [(1, "Do what you want to!"), (2, "free for all"), (3, "MIT license"), (4, "do what")]), templates=own).collect()}
+    assert got == {1: "wtf", 2: "either", 3: "mit", 4: ""}
+    assert op1.Automaton(own["wtf"]).mandatory() == {"do", "what", "you", "want", "to"} and not op1.Automaton(own["either"]).mandatory()
+
+
 def test_op2_base_and_bootstrap(spark):
     texts = EDGE + [
         (20, "a@b.c@d.e @x.y mail.x+1@a-b.co.uk. 😀 +1 (487) 555-7209 x 10.0.0.256 x 1.2.3.4.5 x 4111 1111 1111 1111 x 1.2.3.4 4111 1111 1111 1111"), (21, "1" * 5000),
