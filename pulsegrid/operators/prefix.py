@@ -80,11 +80,15 @@ def range_cuts(df: DataFrame, column: str, **limits: int) -> tuple[float, ...]:
 
 
 def with_range(df: DataFrame, column: str, cuts: Sequence[float], descending: bool = False) -> DataFrame:
-    """Add the range number of ``column``; numbers follow the requested order."""
+    """Add the range number of ``column``; numbers follow the requested order.
+
+    As in a sort, NULL is below and NaN above all other values.
+    """
     splits = [-math.inf, *cuts, math.inf]
+    value = as_col(column).cast("double")
     bucketed = (
         Bucketizer(splits=splits, inputCol="_v", outputCol="_r")
-        .transform(df.withColumn("_v", as_col(column).cast("double")))
+        .transform(df.withColumn("_v", F.when(F.isnan(value), F.lit(math.inf)).otherwise(value)))
     )
     # declared non-null, so no filter separates the two uses of the input below
     number = F.coalesce(F.col("_r").cast("int"), F.lit(0))
@@ -196,9 +200,13 @@ def lookup_join(
     count_col: str,
     hot_rows: int = 5_000_000,
     salts: int = 64,
+    unmatched: Column | None = None,
 ) -> DataFrame:
     """Join rows to a table that is unique on ``keys`` when some keys are hot.
 
+    With ``unmatched``, a flag of rows that have no key in the lookup, all rows
+    stay; those flagged are spread, however many share a key.
+
     ``count_col`` of the lookup says how many rows carry the key.  Keys above
     ``hot_rows`` number at most ``rows / hot_rows``, so that list may be
     broadcast; their rows spread over ``salts`` copies of the lookup row.
@@ -209,14 +217,14 @@ def lookup_join(
     left = (
         rows.withColumn("_spread", spread)
         .join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_hot") if unmatched is None else F.col("_hot") | unmatched, F.col("_spread")).otherwise(0))
         .drop("_hot", "_spread")
     )
     copies = F.when(F.col(count_col) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     right = lookup.withColumn("_salt", F.explode(copies))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], "inner" if unmatched is None else "left").drop("_salt")
 
 
 def running_max(

@@ -18,11 +18,20 @@ BIGINT_RANGES = 2_000
 DEFAULT_KEYS = ("run_id", "label")
 
 
+def undefined(score: str) -> Column:
+    return F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+
+
+def known_score() -> Column:
+    """The score; a NULL or NaN one is refused, with cuts and without."""
+    return F.when(undefined("score"), F.raise_error(F.lit("a score is undefined"))).otherwise(F.col("score")).alias("score")
+
+
 def collapse(preds: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Class totals per distinct score: ``(keys, score, pos, neg)``."""
+    """Class totals per distinct score: ``(keys, score, pos, neg)``; a NULL or NaN score is refused."""
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    return preds.groupBy(*keys, "score").agg(
+    return preds.withColumn("score", known_score()).groupBy(*keys, "score").agg(
         F.sum(F.when(F.col("y") > 0, w).otherwise(zero)).alias("pos"),
         F.sum(F.when(F.col("y") > 0, zero).otherwise(w)).alias("neg"),
     )
@@ -99,7 +108,7 @@ def _pair_counts_direct(preds: DataFrame, keys: list[str], weight: str | None) -
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
     rows = preds.select(
-        *keys, "score", F.when(F.col("y") > 0, w).otherwise(zero).alias("pos"),
+        *keys, known_score(), F.when(F.col("y") > 0, w).otherwise(zero).alias("pos"),
         F.when(F.col("y") > 0, zero).otherwise(w).alias("neg"),
     )
     upto = Window.partitionBy(*keys).orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -166,14 +175,14 @@ def midranks(
     score: str = "score",
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add ``midrank``: 1-based rank with ties averaged."""
+    """Add ``midrank``: 1-based rank with ties averaged; NULL, and no part of the ranking, where the score is NULL or NaN."""
     keys = list(keys)
     cuts = range_cuts(rows, score) if cuts is None else cuts
-    ties = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    ties = rows.where(~undefined(score)).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running(ties, keys, score, ["_n"], cuts).withColumn(
         "midrank", F.col("before__n") + (F.col("_n") + 1) / 2.0
     )
-    return lookup_join(rows, ranks.drop("before__n"), [*keys, score], "_n").drop("_n")
+    return lookup_join(rows, ranks.drop("before__n"), [*keys, score], "_n", unmatched=undefined(score)).drop("_n")
 
 
 def accuracy_at(

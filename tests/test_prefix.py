@@ -43,6 +43,13 @@ def test_running_matches_one_window(spark, cuts, descending):
     )
 
 
+def test_running_puts_null_first_and_nan_last_with_and_without_cuts(spark):
+    df = spark.createDataFrame([("g", v, 1) for v in (None, float("nan"), 0.1, 0.4, 0.7)], "g string, v double, c int")
+    for descending in (False, True):
+        whole, parts = ({str(r["v"]): r["before_c"] for r in prefix.running(df, ["g"], "v", ["c"], cuts, descending=descending).collect()} for cuts in ((), (0.2, 0.5)))
+        assert whole == parts and (whole["nan"], whole["None"]) == ((0, 4) if descending else (4, 0))
+
+
 @pytest.mark.parametrize("cuts", [(), (300.0, 301.0, 2500.0)])
 def test_dense_index_is_the_rank_of_the_key(spark, cuts):
     ids = spark.range(0, 3000).selectExpr("id * 3 as k").where("k % 7 != 0")

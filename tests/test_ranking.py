@@ -96,6 +96,19 @@ def test_midranks(spark, cuts):
     assert len(got) == len(want) and (got.sort_index() == want.sort_index()).all()
 
 
+@pytest.mark.parametrize("cuts", [(), (0.2, 0.5)])
+def test_undefined_scores_with_and_without_cuts(spark, cuts):
+    nan = float("nan")
+    rows = [("a", 1, 0.1), ("a", 0, 0.4), ("a", 1, 0.4), ("a", 0, None), ("a", 1, None), ("a", 1, nan), ("a", 0, nan), ("a", 0, 0.9), ("b", 1, None), ("c", 0, nan)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, label string, y int, score double")
+    got = {r["id"]: r["midrank"] for r in ranking.midranks(df, ["label"], cuts=cuts).collect()}
+    assert got == {0: 1.0, 1: 2.5, 2: 2.5, 3: None, 4: None, 5: None, 6: None, 7: 4.0, 8: None, 9: None}
+    for bad in (df.where("score is null or score < 1"), df.where("isnan(score) or score < 1")):
+        for form in (lambda d: ranking.auroc(d, ["label"], cuts=cuts), lambda d: ranking.auroc(d, ["label"], cuts=cuts, combine=False), lambda d: ranking.label_scores(d, ["label"], cuts=cuts)):
+            with pytest.raises(Exception, match="a score is undefined"):
+                form(bad).collect()
+
+
 def test_wide_and_narrow_pair_counts_agree(spark, monkeypatch):
     df = spark.createDataFrame(predictions(5))
     narrow = ranking.label_scores(df, cuts=(0.4,)).orderBy("run_id", "label").collect()
