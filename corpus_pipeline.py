@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before, up to one edit, are cut; documents made of such lines only go."""
-    return op3_line_dedup.remove_repeated_lines(docs)
+    """Lines seen before, up to one edit, are cut; documents whose lines, short ones included, were all seen before go."""
+    return op3_line_dedup.remove_repeated_lines(docs, short_lines=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

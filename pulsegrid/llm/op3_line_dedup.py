@@ -159,22 +159,26 @@ def line_classes(lines: DataFrame, min_chars: int = MIN_CHARS, depth: int = DEPT
 
 
 def remove_repeated_lines(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, depth: int = DEPTH
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, depth: int = DEPTH, short_lines: bool = False
 ) -> DataFrame:
     """The documents without the lines of at least ``min_chars`` characters whose class occurs earlier.
 
     The first place of a class, by id and line, stays.  A document that loses all
     such lines is a repeat itself and goes; one that had none stays as it is.
+    With ``short_lines`` shorter lines count too: a document goes only if each of
+    its lines with a word occurred earlier, and else loses its repeated lines.
     """
     lines = lines_of(docs, text, id_col)
-    found = line_classes(lines, min_chars, depth).where(F.col("len") >= min_chars).select("node", "head")
+    found = line_classes(lines, min_chars, depth)
+    if not short_lines:
+        lines, found = lines.where(F.col("len") >= min_chars), found.where(F.col("len") >= min_chars)
     place = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "line_no")
     drops = (
-        lines.where(F.col("len") >= min_chars).withColumn("place", place).select("node", "doc_id", "doc_key", "line_no", "place")
-        .join(found, "node")
+        lines.withColumn("place", place).select("node", "len", "doc_id", "doc_key", "line_no", "place")
+        .join(found.select("node", "head"), "node")
         .groupBy("doc_id", "doc_key")
         .agg(
-            F.collect_set(F.when(F.col("place") != F.col("head"), F.col("line_no"))).alias("_drop"),
+            F.collect_set(F.when((F.col("place") != F.col("head")) & (F.col("len") >= min_chars), F.col("line_no"))).alias("_drop"),
             F.count_if(F.col("place") == F.col("head")).alias("_stay"),
         )
         .where(F.size("_drop") > 0)

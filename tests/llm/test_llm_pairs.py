@@ -157,6 +157,20 @@ def test_op3_classes_and_removal(spark):
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(want)
 
 
+def test_line_dedup_stage_keeps_unique_short_lines(spark):
+    shared, other = "one licence line of all documents", "another long line that only the first holds"
+    rows = [
+        (1, f"{shared}\n{other}\na verse"), (2, f"{shared}\nroses are red\nviolets are blue"), (3, f"{shared}\n{other}"),
+        (4, f"{shared}\na verse"), (5, f"x\n{shared}s\n \ny"), (6, "a verse"), (7, f"{shared}\na verse\nof its own"), (7, f"{shared}\na verse\nof its own"),
+        (None, f"{shared}\nno id"), (8, None), (9, ""), (10, f"{shared}\n \n"),
+    ]
+    got = corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([
+        rows[0], (2, "roses are red\nviolets are blue"), (5, "x\n \ny"), rows[5], (7, "a verse\nof its own"), (7, "a verse\nof its own"),
+        (None, "no id"), (8, None), (9, ""),
+    ])
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_op3_banded_distance(spark, tau):
     rnd = random.Random(8)
