@@ -23,11 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def annotate(
-    docs: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], fields: str, keep: Sequence[str] = ("doc_id",)
+    docs: DataFrame, text: str, fn: Callable[..., dict[str, pa.Array]], fields: str, keep: Sequence[str] = ("doc_id",), with_keys: bool = False
 ) -> DataFrame:
     """``keep`` columns and those that ``fn`` computes from an Arrow batch of texts.
 
     Other columns of ``docs`` are not read, so their names cannot clash.
+    ``with_keys`` hands the ``keep`` columns to ``fn`` too.
     """
     added = T._parse_datatype_string(fields)
     names = [f.name for f in added]
@@ -37,7 +38,7 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = fn(batch.column(batch.num_columns - 1))
+                made = fn(batch.column(len(keep)), *(batch.columns[: len(keep)] if with_keys else []))
                 cols = [batch.column(i) for i in range(len(keep))] + [made[n] for n in names]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
