@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     op1_license_templates, op2_contextual_pii, op3_line_dedup, op4_knn_quality, op5_linked_secrets, op6_warc, op7_winnowing, op8_packing,
-    op9_ngram_jaccard, op10_repetition, op11_periodic_runs,
+    op9_ngram_jaccard, op10_repetition, op11_periodic_runs, op12_spelling_variants, op13_minhash_stars,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard.query,
     "op10_repetition": op10_repetition.query,
     "op11_periodic_runs": op11_periodic_runs.query,
+    "op12_spelling_variants": op12_spelling_variants.query,
+    "op13_minhash_stars": op13_minhash_stars.query,
 }
 
 ORACLES: dict[str, str] = {}
