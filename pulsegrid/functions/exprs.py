@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, functions as F, types as T
 
 #: Hex digits of md5 used for a draw: 60 bits always fit a BIGINT.
 DRAW_HEX = 15
@@ -40,6 +42,38 @@ def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(x)))
 
 
+def fingerprint_parts(*key) -> dict[str, tuple[Column, T.DataType]]:
+    """Per row, what a set fingerprint is made of, and the types of the merged parts: two pieces of the key's md5."""
+    digest = F.md5(F.concat_ws(":", *[as_col(k).cast("string") for k in key]))
+    return {
+        "_count": (F.lit(1).cast("bigint"), T.LongType()),
+        "_first": (hex60(digest, 0), T.LongType()),
+        "_second": (hex60(digest, 15), T.LongType()),
+        "_total": (hex60(digest, 0).cast("decimal(38,0)"), T.DecimalType(38, 0)),
+    }
+
+
+def fingerprint_start() -> list:
+    return [0, 0, 0, Decimal(0)]
+
+
+def fingerprint_merge(left: list, right: list) -> list:
+    """Parts of two disjoint sets together."""
+    return [left[0] + right[0], left[1] ^ right[1], left[2] ^ right[2], left[3] + right[3]]
+
+
+def fingerprint_of(count: str, first: str, second: str, total: str) -> Column:
+    """Aggregate: 16 hex digits from parts that were merged before."""
+    payload = F.concat_ws(
+        ":",
+        F.coalesce(F.sum(count), F.lit(0)).cast("string"),
+        F.coalesce(F.bit_xor(first), F.lit(0)).cast("string"),
+        F.coalesce(F.bit_xor(second), F.lit(0)).cast("string"),
+        F.coalesce(F.sum(F.col(total).cast("decimal(38,0)")), F.lit(0)).cast("string"),
+    )
+    return F.substring(F.sha2(payload, 256), 1, 16)
+
+
 def set_fingerprint(*key) -> Column:
     """Aggregate: 16 hex digits that identify a *set* of unique keys.
 

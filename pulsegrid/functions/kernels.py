@@ -20,19 +20,50 @@ def notch_coefficients(f0: float, q: float, fs: float) -> tuple[np.ndarray, np.n
     return b, a
 
 
+#: Samples that one step of the recurrence covers.
+BLOCK = 64
+
+
+def _block_maps(b: np.ndarray, a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of a biquad does, as matrices.
+
+    ``out = own @ x + free @ state`` and ``state' = keep @ state + push @ x`` with the
+    two delay elements of the transposed form as the state.
+    """
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    entry = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    response = np.array([b[0], *[(p @ entry)[0] for p in powers[: size - 1]]])
+    lag = np.arange(size)[:, None] - np.arange(size)
+    own = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    free = np.stack([p[0] for p in powers[:size]])
+    push = np.stack([p @ entry for p in powers[size - 1 :: -1]], axis=1)
+    return own, free, powers[size], push
+
+
 def _biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Run a biquad down axis 0, started in the steady state of the first sample."""
+    """Run a biquad down axis 0, started in the steady state of the first sample.
+
+    A block acts on its two state values as an affine map: all blocks' own parts are
+    matrix products, only the states pass from block to block.
+    """
+    n, rows = x.shape
+    own, free, keep, push = _block_maps(b, a, BLOCK)
+    blocks = -(-n // BLOCK)
+    padded = np.zeros((blocks * BLOCK, rows))
+    padded[:n] = x
+    cut = padded.reshape(blocks, BLOCK, rows)
+    entering = np.empty((blocks, 2, rows))
+    pushed = push @ cut
     dc = b.sum() / a.sum()
     z2 = (b[2] - a[2] * dc) * x[0]
-    z1 = (b[1] - a[1] * dc) * x[0] + z2
-    y = np.empty_like(x)
-    for t in range(len(x)):
-        xt = x[t]
-        yt = b[0] * xt + z1
-        z1 = b[1] * xt - a[1] * yt + z2
-        z2 = b[2] * xt - a[2] * yt
-        y[t] = yt
-    return y
+    state = np.stack([(b[1] - a[1] * dc) * x[0] + z2, z2])
+    for k in range(blocks):
+        entering[k] = state
+        state = keep @ state + pushed[k]
+    return (own @ cut + free @ entering).reshape(-1, rows)[:n]
 
 
 def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:

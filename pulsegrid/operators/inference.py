@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.exprs import hex60, is_finite
-from .prefix import (
-    RANGE, ROWS_PER_RANGE, Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max, with_range,
-)
-from .ranking import accuracy_at, across_ranges, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen, pair_counts
-
-#: Cells, rows of a range times replicates of a block, that a task aims at.
-CHUNK_CELLS = 8_000_000
+from ..session import written
+from .prefix import RANGE, Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max, with_range
+from .ranking import accuracy_at, across_ranges, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen
+
+#: Records of a label and score range that a task holds, and draws it may hold for each of its blocks of records.
+RECORDS_PER_TASK = 32_768
+DRAWS_PER_BLOCK = 1_000_000
+#: Replicates evaluated at once inside a task.
+WIDTH = 128
 #: Draws generated per task.
 DRAWS_PER_TASK = 4_000_000
+#: The replicate that holds every record once.
+POINT = -1
 
 
 # --- L2: one resample for every run and group ----------------------------------------
@@ -55,66 +60,257 @@ def bootstrap_weights(records: DataFrame, n_boot: int, seed: int = 0, key: str =
     return index_weights(records.sparkSession, n, n_boot, seed).join(numbered, "idx").select("rep", key, "w")
 
 
-# --- draws of the rank statistic --------------------------------------------------------
+# --- draws of the rank statistics --------------------------------------------------------
 
-def bootstrap_counts(
-    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None,
-) -> DataFrame:
-    """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate, one form for all sizes.
-
-    Weights travel as short lists, a few replicates per row, not one row each.  A
-    task holds the predictions of one group, label and score range with a block of
-    replicates and counts the pairs inside the range; pairs across ranges are the
-    positives of a range times the negatives of the lower ones.  Nothing passes
-    through the driver.  ``cuts`` steer balance only and come from a sketch of the
-    scores unless given.  A group has at most one row per record; a NULL or NaN
-    score is refused.
+def weight_rows(spark: SparkSession, n: int, n_boot: int, seed: int, chunk: int) -> DataFrame:
+    """``(idx, chunk, w)``: how often a record was drawn in each replicate of a block, two bytes each."""
+    held = max(1, DRAWS_PER_BLOCK // chunk)
+    cell = (F.col("idx") % held * chunk + F.col("rep") % chunk).cast("int")
+    draws = draw_slots(spark, n, n_boot, seed).select(
+        F.expr(f"idx div {held}").cast("int").alias("block"), F.expr(f"rep div {chunk}").cast("int").alias("chunk"), cell.alias("cell")
+    )
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        first = key[0].as_py() * held
+        size = min(held, n - first)
+        w = np.bincount(table["cell"].to_numpy(), minlength=size * chunk)
+        if w.max() > np.iinfo(np.uint16).max:
+            raise OverflowError("a record was drawn more than 65,535 times")
+        body = w.astype("<u2").reshape(size, chunk)
+        return pa.table({
+            "idx": pa.array(np.arange(first, first + size)), "chunk": pa.array([key[1].as_py()] * size, pa.int32()),
+            "w": pa.array([r.tobytes() for r in body], pa.binary()),
+        })
+
+    return draws.groupBy("block", "chunk").applyInArrow(count, "idx long, chunk int, w binary")
+
+
+class Resample(NamedTuple):
+    """Predictions beside the weights of a block of replicates, one row per record, label, score range and block."""
+
+    rows: DataFrame
+    runs: DataFrame
+    by: tuple[str, ...]
+    label: T.StructField
+    n_boot: int
+    chunk: int
+    cuts: tuple[float, ...]
+
+
+def resample(preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None) -> Resample:
+    """The shared resample over ``(by…, record_id, label, y, score)``, one form for all sizes.
+
+    The scores of all runs of a record and label travel as one array, so weights
+    move once per record, label and block of replicates, however many runs there
+    are, and predictions once per block; a block is as wide as leaves every core a
+    task.  Score ranges keep a task to about ``RECORDS_PER_TASK`` records; ``cuts``
+    steer balance only and come from a sketch of the scores unless given.  A NULL or
+    NaN score is refused.  Records may have keys of any orderable type.
     """
-    keys = [*by, "label"]
     spark = preds.sparkSession
-    n = preds.agg(F.count_distinct("record_id")).first()[0]
+    seen = preds.agg(
+        F.count_distinct("record_id").alias("n"), F.count(F.lit(1)).alias("cells"), F.approx_count_distinct("label").alias("labels")
+    ).first()
+    n = seen["n"]
     if not n:
         raise ValueError("no predictions to resample")
-    cuts = range_cuts(preds, "score") if cuts is None else tuple(cuts)
-    # about as many rows as a range holds meet a block of replicates in a task
-    held = min(n, ROWS_PER_RANGE)
-    chunk = max(1, min(CHUNK_CELLS // held, -(-n_boot // (2 * spark.sparkContext.defaultParallelism))))
-    numbered = dense_index(preds.select("record_id").distinct(), "record_id")
+    if cuts is None:
+        ranges = -(-n // RECORDS_PER_TASK)
+        cuts = range_cuts(preds, "score", rows_per_range=max(1, seen["cells"] // ranges)) if ranges > 1 else ()
+    cuts = tuple(cuts)
+    tasks = max(1, seen["labels"]) * (len(cuts) + 1)
+    chunk = max(1, -(-n_boot // max(1, -(-2 * spark.sparkContext.defaultParallelism // tasks))))
+
+    by = tuple(by)
+    # as many rows as there are runs
+    runs = preds.select(*by).distinct().withColumn("_run", F.row_number().over(Window.orderBy(*by or [F.lit(0)])) - 1)
     known = F.when(F.col("score").isNull() | F.isnan("score"), F.raise_error(F.lit("a score is undefined"))).otherwise(F.col("score"))
-    indexed = preds.select("record_id", *keys, "y", known.alias("score")).join(numbered, "record_id").drop("record_id")
-    indexed = with_range(indexed, "score", cuts) if cuts else indexed.withColumn(RANGE, F.lit(0))
-    drawn = draw_slots(spark, n, n_boot, seed).groupBy("idx", F.expr(f"rep div {chunk}").alias("chunk")).agg(
-        F.collect_list((F.col("rep") % chunk).cast("smallint")).alias("draws")
+    left = preds.select("record_id", "label", *by, (F.col("y") > 0).alias("y"), known.cast("double").alias("score"))
+    same = [left[c].eqNullSafe(runs[c]) for c in by]
+    named = (left.join(runs, same) if by else left.crossJoin(runs)).select("record_id", "label", "_run", "y", "score")
+    named = with_range(named, "score", cuts) if cuts else named.withColumn(RANGE, F.lit(0))
+    numbered = dense_index(preds.select("record_id").where("record_id is not null").distinct(), "record_id")
+    packed = named.join(numbered, "record_id").groupBy("idx", "label", RANGE).agg(
+        F.collect_list(F.struct("_run", "y", "score")).alias("c")  # a record's runs
     )
-    rows = drawn.join(indexed, "idx").select(*keys, "chunk", RANGE, "y", "score", "draws")
-    fields = [T.StructField(c, preds.schema[c].dataType) for c in keys]
-    counts = [T.StructField(RANGE, T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("rep", "n_pos", "n_neg", "u2")]]
-
-    def evaluate(key: tuple, table: pa.Table) -> pa.Table:
-        lists = table["draws"].combine_chunks()
-        score = table["score"].to_numpy()
-        order = np.argsort(score, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        cell = np.repeat(rank, lists.value_lengths().to_numpy()) * chunk + lists.flatten().to_numpy()
-        w = np.bincount(cell, minlength=len(order) * chunk).reshape(-1, chunk)
-        ties = np.flatnonzero(np.r_[True, np.diff(score[order]) != 0])
-        flag = (table["y"].to_numpy()[order] > 0)[:, None]
-        pos = np.add.reduceat(w * flag, ties, axis=0)
-        neg = np.add.reduceat(w * ~flag, ties, axis=0)
-        below = np.cumsum(neg, axis=0) - neg
-        first = key[-2].as_py() * chunk
+    cells = packed.select("idx", "label", RANGE, F.col("c._run").alias("run"), F.col("c.y").alias("y"), F.col("c.score").alias("score"))
+    rows = cells.join(weight_rows(spark, n, n_boot, seed, chunk), "idx").drop("idx")
+    return Resample(rows, runs, by, T.StructField("label", preds.schema["label"].dataType), n_boot, chunk, cuts)
+
+
+class _Held:
+    """The rows of one task: a weight per row and replicate, and the cells of each run."""
+
+    def __init__(self, table: pa.Table, chunk: int) -> None:
+        w = table["w"].combine_chunks()
+        start = np.frombuffer(w.buffers()[1], np.int32)[w.offset]
+        self.weights = np.frombuffer(w.buffers()[2], "<u2", count=len(w) * chunk, offset=int(start)).reshape(len(w), chunk)
+        lists = table["run"].combine_chunks()
+        flat = lambda c: table[c].combine_chunks().flatten()
+        run = lists.flatten().to_numpy()
+        order = np.argsort(run, kind="stable")
+        self.row = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())[order]
+        self.positive = flat("y").fill_null(False).to_numpy(zero_copy_only=False)[order]
+        self.score = flat("score").to_numpy()[order]
+        self.cut = np.flatnonzero(np.append(True, np.diff(run[order]) != 0))
+        self.runs = run[order][self.cut]
+
+    def each(self):
+        """``(row, positive, score)`` of every run."""
+        for a, b in zip(self.cut, [*self.cut[1:], len(self.row)]):
+            yield self.row[a:b], self.positive[a:b], self.score[a:b]
+
+    def blocks(self, live: int, point: bool):
+        """``(columns, weights)`` of some replicates at a time, and of the one that holds every record once."""
+        for c in range(0, live, WIDTH):
+            to = slice(c, min(c + WIDTH, live))
+            yield to, self.weights[:, to].astype(np.int64)
+        if point:
+            yield slice(live, live + 1), np.ones((len(self.weights), 1), dtype=np.int64)
+
+
+def _summed(w: np.ndarray) -> np.ndarray:
+    """Running totals of the rows, none first."""
+    out = np.zeros((len(w) + 1, w.shape[1]), dtype=np.int64)
+    np.cumsum(w, axis=0, out=out[1:])
+    return out
+
+
+def _per_task(sample: Resample, columns: Sequence[str], kernel: Callable, with_point: bool, lower: DataFrame | None = None) -> DataFrame:
+    """``(label, range, _run, rep, columns…)`` of every task; ``kernel(w, rows, positive, score, lower)`` gives one array per column."""
+    kinds = {"long": (pa.int64(), T.LongType()), "double": (pa.float64(), T.DoubleType())}
+    named = [c.split() for c in columns]
+    schema = T.StructType([
+        sample.label, T.StructField(RANGE, T.IntegerType()), T.StructField("_run", T.IntegerType()), T.StructField("rep", T.LongType()),
+        *[T.StructField(c, kinds[k][1]) for c, k in named],
+    ])
+    chunk, n_boot = sample.chunk, sample.n_boot
+
+    def evaluate(key: tuple, table: pa.Table, above: pa.Table | None = None) -> pa.Table:
+        first = key[1].as_py() * chunk
         live = min(chunk, n_boot - first)
-        out = {c: pa.array([k.as_py()] * live, type=table.schema.field(c).type) for c, k in zip(keys, key)}
-        out[RANGE] = pa.array([key[-1].as_py()] * live, pa.int32())
-        out["rep"] = pa.array(np.arange(first, first + live))
-        for name, v in (("n_pos", pos.sum(0)), ("n_neg", neg.sum(0)), ("u2", (pos * (2 * below + neg)).sum(0))):
-            out[name] = pa.array(v[:live].astype(np.int64))
-        return pa.table(out)
+        point = with_point and first == 0
+        held = _Held(table, chunk)
+        wide = live + point
+        offsets = None
+        if above is not None:  # positives and negatives of the higher ranges
+            offsets = np.zeros((2, len(held.runs), wide), dtype=np.int64)
+            run, rep = above["_run"].to_numpy(), above["rep"].to_numpy()
+            at = np.minimum(np.searchsorted(held.runs, run), len(held.runs) - 1)
+            ok = held.runs[at] == run
+            col = np.where(rep == POINT, live, rep - first)
+            for i, c in enumerate(("n_pos", "n_neg")):
+                offsets[i, at[ok], col[ok]] = above[c].to_numpy()[ok]
+        out = [np.zeros((len(held.runs), wide), dtype=np.float64 if k == "double" else np.int64) for _, k in named]
+        for to, w in held.blocks(live, point):
+            for i, (rows, positive, score) in enumerate(held.each()):
+                made = kernel(w, rows, positive, score, None if offsets is None else offsets[:, i, to])
+                for o, v in zip(out, made):
+                    o[i, to] = v
+        reps = np.append(np.arange(first, first + live), np.full(int(point), POINT))
+        size = len(held.runs) * len(reps)
+        cols = {
+            "label": pa.array([key[0].as_py()] * size, table.schema.field("label").type), RANGE: pa.array([key[2].as_py()] * size, pa.int32()),
+            "_run": pa.array(np.repeat(held.runs, len(reps)).astype(np.int32)), "rep": pa.array(np.tile(reps, len(held.runs))),
+        }
+        return pa.table(cols | {c: pa.array(o.reshape(-1), kinds[k][0]) for (c, k), o in zip(named, out)})
+
+    scope = ["label", "chunk", RANGE]
+    grouped = sample.rows.groupBy(*scope)
+    if lower is None:
+        return grouped.applyInArrow(lambda key, table: evaluate(key, table), schema)
+    chunk_of = F.when(F.col("rep") == POINT, 0).otherwise(F.expr(f"rep div {chunk}")).cast("int")
+    return grouped.cogroup(lower.withColumn("chunk", chunk_of).groupBy(*scope)).applyInArrow(
+        lambda key, table, above: evaluate(key, table, above), schema
+    )
+
+
+def _named(sample: Resample, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return values.join(sample.runs, "_run").select("rep", *sample.by, *columns)
 
-    per = rows.groupBy(*keys, "chunk", RANGE).applyInArrow(evaluate, T.StructType([*fields, *counts]))
-    named = ["rep", *keys, "n_pos", "n_neg", "u2"]
-    return across_ranges(per, ["rep", *keys]).select(named) if cuts else per.select(named)
+
+def _pairs(w, rows, positive, score, _):
+    """Positives, negatives and twice the Mann-Whitney count in each replicate."""
+    pos, neg = rows[positive], rows[~positive]
+    high, low = score[positive], score[~positive]
+    order = np.argsort(low, kind="stable")
+    below = _summed(w[neg[order]])
+    wp = w[pos]
+    low = low[order]
+    wins = below[np.searchsorted(low, high, "left")] + below[np.searchsorted(low, high, "right")]
+    return wp.sum(axis=0), below[-1], np.einsum("ij,ij->j", wp, wins)
+
+
+def bootstrap_counts(
+    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None, point: bool = False,
+) -> DataFrame:
+    """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate; see :func:`resample`.
+
+    A task counts the pairs inside its score range; pairs across ranges are the
+    positives of a range times the negatives of the lower ones.  With ``point``, a
+    replicate -1 holds every record once.
+    """
+    sample = resample(preds, by, n_boot, seed, cuts)
+    per = _per_task(sample, ("n_pos long", "n_neg long", "u2 long"), _pairs, point)
+    if sample.cuts:
+        per = across_ranges(per, ["rep", "_run", "label"])
+    return _named(sample, per, ["label", "n_pos", "n_neg", "u2"])
+
+
+def _precision(w, rows, positive, score, above):
+    """Sum, over the positives of a range, of weight times precision at their score."""
+    pos, neg = rows[positive], rows[~positive]
+    p_order, n_order = np.argsort(score[positive], kind="stable"), np.argsort(score[~positive], kind="stable")
+    high, low = score[positive][p_order], score[~positive][n_order]
+    wp = w[pos[p_order]]
+    lower_p, lower_n = _summed(wp), _summed(w[neg[n_order]])
+    tp = lower_p[-1] - lower_p[np.searchsorted(high, high, "left")]
+    fp = lower_n[-1] - lower_n[np.searchsorted(low, high, "left")]
+    if above is not None:
+        tp, fp = tp + above[0], fp + above[1]
+    return (np.where(wp > 0, wp * tp / np.maximum(tp + fp, 1), 0.0).sum(axis=0),)
+
+
+def _totals(w, rows, positive, score, _):
+    return w[rows[positive]].sum(axis=0), w[rows[~positive]].sum(axis=0)
+
+
+def bootstrap_precision(
+    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None, point: bool = False,
+) -> DataFrame:
+    """``(rep, by…, label, n_pos, n_neg, auprc)``: average precision of every replicate, NULL unless both classes are drawn.
+
+    Class totals of each range and replicate come first; those of the higher ranges
+    are handed down to a range, whose positives then know their precision.
+    """
+    sample = resample(preds, by, n_boot, seed, cuts)
+    keys = ["label", "_run", "rep"]
+    totals = _per_task(sample, ("n_pos long", "n_neg long"), _totals, point)
+    above = None
+    if sample.cuts:
+        higher = Window.partitionBy(*keys).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+        above = totals.select(*keys, RANGE, *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(c) for c in ("n_pos", "n_neg")])
+    steps = _per_task(sample, ("step double",), _precision, point, above).groupBy(*keys).agg(F.sum("step").alias("step"))
+    sizes = totals.groupBy(*keys).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    scored = sizes.join(steps, keys).withColumn("auprc", F.when(both, F.col("step") / F.col("n_pos")))
+    return _named(sample, scored, ["label", "n_pos", "n_neg", "auprc"])
+
+
+def bootstrap_accuracy(
+    preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None, point: bool = False,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """``(rep, by…, right, total, accuracy)`` over all labels; ranges simply add up."""
+
+    def hits(w, rows, positive, score, _):
+        return w[rows[(score >= threshold) == positive]].sum(axis=0), w[rows].sum(axis=0)
+
+    sample = resample(preds, by, n_boot, seed, cuts)
+    sums = _per_task(sample, ("right long", "total long"), hits, point).groupBy("_run", "rep").agg(
+        F.sum("right").alias("right"), F.sum("total").alias("total")
+    )
+    return _named(sample, sums.withColumn("accuracy", F.when(F.col("total") > 0, F.col("right") / F.col("total"))), ["right", "total", "accuracy"])
 
 
 def macro_draws(counts: DataFrame, by: Sequence[str], frozen: DataFrame | None = None) -> DataFrame:
@@ -240,12 +436,39 @@ def group_pairs(df: DataFrame, by: Sequence[str], group: str = "grp", value: str
     return df.groupBy(*by).agg(g.alias("gs")).select(*by, F.inline(every))
 
 
-def group_values(ens: DataFrame, frozen: DataFrame | None = None, group: str = "grp",
-                 family: Sequence[str] = ()) -> DataFrame:
-    """Point estimates per group from its ensemble ``(family…, grp, endpoint, value)``."""
-    counts = pair_counts(ens, [*family, group, "label"])
-    scored = counts.withColumn("auroc", auroc_from_counts(F.col("u2"), F.col("n_pos"), F.col("n_neg")))
-    return endpoint_values(scored, [*family, group], frozen)
+def group_draws(
+    preds: DataFrame, frozen: DataFrame | None = None, n_boot: int = 10_000, seed: int = 0, group: str = "grp", family: Sequence[str] = (),
+) -> DataFrame:
+    """``(rep, family…, grp, endpoint, value, n_defined)`` on the ensembles of the groups, written once.
+
+    Replicate -1 is the point estimate, from the same pass.
+    """
+    return draws_of(ensemble(preds, group, family), [*family, group], frozen, n_boot, seed)
+
+
+def draws_of(cells: DataFrame, keys: Sequence[str], frozen: DataFrame | None, n_boot: int, seed: int = 0) -> DataFrame:
+    """:func:`group_draws` of ensembles that are already there."""
+    return written(macro_draws(bootstrap_counts(cells, keys, n_boot, seed, point=True), keys, frozen), "draws")
+
+
+def compare_draws(draws: DataFrame, family: Sequence[str] = (), alpha: float = 0.05, group: str = "grp") -> DataFrame:
+    """All pairs of groups from :func:`group_draws`, one row per family, endpoint and pair."""
+    scope = [*family, "endpoint"]
+    diffs = group_pairs(draws, ["rep", *scope], group)
+    points = diffs.where(F.col("rep") == POINT).select(*scope, "a", "b", F.col("value").alias("diff"))
+    summary = simultaneous(draw_summary(diffs.where(F.col("rep") >= 0), [*scope, "a", "b"], alpha=alpha), scope, alpha)
+    adjusted = holm(summary.drop("sorted_draws"), scope, cuts=())
+    return adjusted.join(points, [*scope, "a", "b"]).select(
+        *scope, "a", "b", "diff", "lo", "hi", "p_raw", "p_holm", "lo_simultaneous", "hi_simultaneous",
+        "n_defined", crosses_zero().alias("crosses_zero"), (F.col("p_holm") < 0.05).alias("significant"),
+    )
+
+
+def describe_draws(draws: DataFrame, family: Sequence[str] = (), alpha: float = 0.05, group: str = "grp") -> DataFrame:
+    """Point and interval per group and endpoint from :func:`group_draws`."""
+    keys = [*family, group, "endpoint"]
+    points = draws.where(F.col("rep") == POINT).select(*keys, F.col("value").alias("point"))
+    return percentile_ci(draws.where(F.col("rep") >= 0), keys, alpha=alpha).join(points, keys).select(*keys, "point", "lo", "hi", "n_defined")
 
 
 def compare_groups(
@@ -258,19 +481,7 @@ def compare_groups(
     raw and Holm p, simultaneous interval, and the two flags.  Several families
     over the same records go through in one pass; corrections stay inside each.
     """
-    family = list(family)
-    scope = [*family, "endpoint"]
-    ens = ensemble(preds, group, family)
-    points = group_pairs(group_values(ens, frozen, group, family), scope, group).withColumnRenamed("value", "diff")
-    keys = [*family, group]
-    draws = macro_draws(bootstrap_counts(ens, keys, n_boot, seed), keys, frozen)
-    diffs = group_pairs(draws, ["rep", *scope], group)
-    summary = simultaneous(draw_summary(diffs, [*scope, "a", "b"], alpha=alpha), scope, alpha)
-    adjusted = holm(summary.drop("sorted_draws"), scope, cuts=())
-    return adjusted.join(points, [*scope, "a", "b"]).select(
-        *scope, "a", "b", "diff", "lo", "hi", "p_raw", "p_holm", "lo_simultaneous", "hi_simultaneous",
-        "n_defined", crosses_zero().alias("crosses_zero"), (F.col("p_holm") < 0.05).alias("significant"),
-    )
+    return compare_draws(group_draws(preds, frozen, n_boot, seed, group, family), family, alpha, group)
 
 
 def crosses_zero() -> Column:
@@ -282,12 +493,7 @@ def group_results(
     group: str = "grp", family: Sequence[str] = (),
 ) -> DataFrame:
     """Ensemble point and interval per group and endpoint."""
-    keys = [*family, group, "endpoint"]
-    ens = ensemble(preds, group, family)
-    points = group_values(ens, frozen, group, family).select(*keys, F.col("value").alias("point"))
-    counts = bootstrap_counts(ens, [*family, group], n_boot, seed)
-    draws = macro_draws(counts, [*family, group], frozen)
-    return percentile_ci(draws, keys, alpha=alpha).join(points, keys).select(*keys, "point", "lo", "hi", "n_defined")
+    return describe_draws(group_draws(preds, frozen, n_boot, seed, group, family), family, alpha, group)
 
 
 #: ``metric(df, keys, weight, layout) -> (keys…, value)``.
@@ -296,36 +502,40 @@ Metric = Callable[[DataFrame, Sequence[str], str | None, Layout], DataFrame]
 
 def bootstrap_metric(preds: DataFrame, metric: Metric, by: Sequence[str], n_boot: int, seed: int = 0,
                      layout: Layout | None = None) -> DataFrame:
-    """Draws of any metric on the shared resample.
+    """``(rep, by…, value)``: draws of any metric on the shared resample; replicate -1 is the point estimate.
 
-    A replicate reweights the same scores, so the layout of the plain predictions
-    serves every replicate.
+    Macro AUROC, macro average precision and accuracy come from states per score
+    range.  Any other metric sees one row per prediction and replicate; a replicate reweights
+    the same scores, so the layout of the plain predictions serves all of them.
     """
+    by = list(by)
+    cuts = None if layout is None else layout.cuts
+    if metric is macro_auroc_metric:
+        return macro_draws(bootstrap_counts(preds, by, n_boot, seed, cuts, point=True), by).select("rep", *by, "value")
+    if metric is macro_auprc_metric:
+        return bootstrap_precision(preds, by, n_boot, seed, cuts, point=True).groupBy("rep", *by).agg(F.avg("auprc").alias("value"))
+    if metric is accuracy_metric:
+        return bootstrap_accuracy(preds, by, n_boot, seed, cuts, point=True).select("rep", *by, F.col("accuracy").alias("value"))
     layout = range_layout(preds, "score") if layout is None else layout
-    if metric is macro_auroc_metric:  # rank counts need no row per prediction and replicate
-        return macro_draws(bootstrap_counts(preds, by, n_boot, seed, layout.cuts), by).select("rep", *by, "value")
     weighted = bootstrap_weights(preds, n_boot, seed).join(preds, "record_id")
-    return metric(weighted, ["rep", *by], "w", layout)
+    point = metric(preds, by, None, layout).select(F.lit(POINT).cast("long").alias("rep"), *by, "value")
+    return metric(weighted, ["rep", *by], "w", layout).select("rep", *by, "value").unionByName(point)
 
 
 def bootstrap_ci(preds: DataFrame, metric: Metric, by: Sequence[str], n_boot: int = 2_000, seed: int = 0,
-                 alpha: float = 0.05) -> DataFrame:
+                 alpha: float = 0.05, layout: Layout | None = None) -> DataFrame:
     """Point and percentile interval of one metric per model."""
-    layout = range_layout(preds, "score")
-    point = metric(preds, list(by), None, layout).withColumnRenamed("value", "point")
-    spread = percentile_ci(bootstrap_metric(preds, metric, by, n_boot, seed, layout), by, alpha=alpha)
-    return point.join(spread, list(by))
+    draws = written(bootstrap_metric(preds, metric, by, n_boot, seed, layout), "draws")
+    point = draws.where(F.col("rep") == POINT).select(*by, F.col("value").alias("point"))
+    return point.join(percentile_ci(draws.where(F.col("rep") >= 0), by, alpha=alpha), list(by))
 
 
 def paired_bootstrap(preds: DataFrame, metric: Metric, n_boot: int = 2_000, seed: int = 0, alpha: float = 0.05,
-                     group: str = "grp") -> DataFrame:
+                     group: str = "grp", layout: Layout | None = None) -> DataFrame:
     """Paired differences of one metric between models scored on the same records."""
-    layout = range_layout(preds, "score")
-    point = group_pairs(metric(preds, [group], None, layout).withColumn("_k", F.lit(0)), ["_k"], group).select(
-        "a", "b", F.col("value").alias("diff")
-    )
-    draws = group_pairs(bootstrap_metric(preds, metric, [group], n_boot, seed, layout), ["rep"], group)
-    summary = draw_summary(draws, ["a", "b"], alpha=alpha)
+    diffs = group_pairs(written(bootstrap_metric(preds, metric, [group], n_boot, seed, layout), "draws"), ["rep"], group)
+    point = diffs.where(F.col("rep") == POINT).select("a", "b", F.col("value").alias("diff"))
+    summary = draw_summary(diffs.where(F.col("rep") >= 0), ["a", "b"], alpha=alpha)
     return summary.join(point, ["a", "b"]).select(
         "a", "b", "diff", "lo", "hi", F.col("p_raw").alias("p_value"), crosses_zero().alias("crosses_zero")
     )
@@ -354,15 +564,12 @@ def seed_mean(
     The spread between seeds is reported beside the interval, never inside it.
     """
     keys = [group, "run_id"]
-    counts = pair_counts(preds, [*keys, "label"])
-    scored = counts.withColumn("auroc", auroc_from_counts(F.col("u2"), F.col("n_pos"), F.col("n_neg")))
-    per_run = endpoint_values(scored, keys, frozen)
-    points = per_run.groupBy(group, "endpoint").agg(
+    draws = written(macro_draws(bootstrap_counts(preds, keys, n_boot, seed, point=True), keys, frozen), "draws")
+    points = draws.where(F.col("rep") == POINT).groupBy(group, "endpoint").agg(
         F.avg("value").alias("point"),
         F.count("value").alias("n_seeds"),
         (F.max("value") - F.min("value")).alias("seed_spread"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("seed_std"),
     )
-    draws = macro_draws(bootstrap_counts(preds, keys, n_boot, seed), keys, frozen)
-    means = draws.groupBy("rep", group, "endpoint").agg(F.avg("value").alias("value"))
+    means = draws.where(F.col("rep") >= 0).groupBy("rep", group, "endpoint").agg(F.avg("value").alias("value"))
     return points.join(percentile_ci(means, [group, "endpoint"], alpha=alpha), [group, "endpoint"])

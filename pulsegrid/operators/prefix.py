@@ -16,9 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.exprs import as_col
+from ..session import written
 
 RANGE = "_range"
 ROWS_PER_RANGE = 500_000
@@ -150,7 +151,14 @@ def running(
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx", cuts: Sequence[float] | None = None) -> DataFrame:
-    """Number the rows 0..n-1 in the order of a unique ``key``."""
+    """Number the rows 0..n-1 in the order of a unique ``key`` of any orderable type.
+
+    Numbers go by score ranges where ``key`` is a number, else by range partitions:
+    those are written, since a recomputed sample could draw other borders, and the
+    counts of the partitions give the offsets.
+    """
+    if cuts is None and not isinstance(df.schema[key].dataType, T.NumericType):
+        return _index_by_partition(df, key, name)
     cuts = range_cuts(df, key) if cuts is None else cuts
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
     return (
@@ -160,6 +168,24 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", cuts: Sequence[float
     )
 
 
+#: ``monotonically_increasing_id`` holds the partition above this bit, the row's place in it below.
+_PLACE_BITS = 33
+
+
+def _index_by_partition(df: DataFrame, key: str, name: str) -> DataFrame:
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(
+        df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "numbered"
+    ).withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    )
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return placed.join(offsets, "_part").withColumn(name, F.col("_off") + place).drop("_at", "_part", "_off")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

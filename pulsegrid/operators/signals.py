@@ -10,10 +10,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
-from ..functions.exprs import hash_draw, samples_finite, set_fingerprint, whole_samples
+from ..functions.exprs import (
+    fingerprint_merge, fingerprint_of, fingerprint_parts, fingerprint_start, hash_draw, samples_finite, set_fingerprint, whole_samples,
+)
+from ..session import written
 from .prefix import exact_quantiles
 from .records import TRAIN_FOLDS, check_rows
 
@@ -155,24 +160,67 @@ def seeded_crop(signals: DataFrame, seed: int, epoch: int, record_ds: int = RECO
 
 # --- scaler ---------------------------------------------------------------------------------------
 
+def _merged(left: Column, right: Column) -> Column:
+    """Moments ``(n, mean, m2)`` of two sets of values together."""
+    n = left["n"] + right["n"]
+    step = right["mean"] - left["mean"]
+    share = right["n"].cast("double") / n
+    whole = F.struct(
+        n.alias("n"), (left["mean"] + step * share).alias("mean"), (left["m2"] + right["m2"] + step * step * left["n"] * share).alias("m2")
+    )
+    return F.when(left["n"] == 0, right).when(right["n"] == 0, left).otherwise(whole)
+
+
 def fit_scaler(signals: DataFrame, by: Sequence[str] = ("fs", "notch", "source")) -> DataFrame:
     """One mean and one standard deviation over all samples of the training folds.
 
-    Moments merge exactly between tasks; provenance, including the fingerprint of
-    the records used, goes along.
+    Every row gives its count, mean and sum of squared deviations, a task merges
+    those of its rows pairwise, and so do the tasks' results: no sample leaves its
+    row, and a large common offset cancels nowhere.  The fingerprint of the records
+    used is part of the same aggregate.  NULL samples do not count.
     """
+    by = list(by)
     train = signals.where(F.col("fold").between(*TRAIN_FOLDS))
-    moments = train.select(*by, F.explode("samples").alias("v")).groupBy(*by).agg(
-        F.avg(F.col("v").cast("double")).alias("mean"),
-        F.stddev_pop(F.col("v").cast("double")).alias("std"),
-        F.count("v").alias("n_values"),
+    kinds = [train.schema[c] for c in by]
+    fields = [T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType())]
+    prints = fingerprint_parts("record_id", "lead")
+    schema = T.StructType([*kinds, *fields, *[T.StructField(c, t) for c, (_, t) in prints.items()]])
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * batch.num_rows
+            lists = batch.column(len(by))
+            marks = [batch.column(len(by) + 1 + i).to_pylist() for i in range(len(prints))]
+            for row, key in enumerate(keys):
+                values = lists[row].values
+                x = np.zeros(0) if values is None else values.drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+                n, mean = len(x), float(x.mean()) if len(x) else 0.0
+                m2 = float(((x - mean) ** 2).sum())
+                at = held.setdefault(key, [0, 0.0, 0.0, *fingerprint_start()])
+                if n:
+                    whole, step = at[0] + n, mean - at[1]
+                    at[2] += m2 + step * step * at[0] * n / whole
+                    at[1] += step * n / whole
+                    at[0] = whole
+                at[3:] = fingerprint_merge(at[3:], [m[row] for m in marks])
+        if held:
+            columns = [pa.array([k[i] for k in held], f.type) for i, f in enumerate(to_arrow_schema(T.StructType(kinds)))]
+            rest = to_arrow_schema(T.StructType(list(schema)[len(by):]))
+            columns += [pa.array([v[i] for v in held.values()], f.type) for i, f in enumerate(rest)]
+            yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
+
+    parts = train.select(*by, "samples", *[c.alias(name) for name, (c, _) in prints.items()]).mapInArrow(per_task, schema)
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    merged = parts.groupBy(*by).agg(
+        F.aggregate(F.collect_list(F.struct("n", "mean", "m2")), zero, _merged).alias("k"),  # one entry per task
+        fingerprint_of(*prints).alias("record_fingerprint"),
     )
-    used = train.select(*by, "record_id", "lead").groupBy(*by).agg(
-        set_fingerprint("record_id", "lead").alias("record_fingerprint")
+    return merged.select(
+        *by, F.when(F.col("k.n") > 0, F.col("k.mean")).alias("mean"), F.when(F.col("k.n") > 0, F.sqrt(F.col("k.m2") / F.col("k.n"))).alias("std"),
+        F.col("k.n").alias("n_values"), "record_fingerprint", F.lit("full_record").alias("window"),
+        F.lit(f"{TRAIN_FOLDS[0]}-{TRAIN_FOLDS[1]}").alias("folds"), F.lit(1).alias("version"),
     )
-    return moments.join(used, list(by)).withColumns({
-        "window": F.lit("full_record"), "folds": F.lit(f"{TRAIN_FOLDS[0]}-{TRAIN_FOLDS[1]}"), "version": F.lit(1),
-    })
 
 
 def standardise(signals: DataFrame, scaler: DataFrame, on: Sequence[str] = ("fs", "notch", "source")) -> DataFrame:
@@ -247,18 +295,45 @@ def training_view(signals: DataFrame, labels: DataFrame, scaler: DataFrame, seed
 def _mean_spectrum(signals: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], hz_per_bin: float) -> DataFrame:
     """Mean over leads, then over records; a record with a non-finite lead is left out.
 
-    Rows carry ``1 / leads`` of their record as a weight, so one map-side-combined
-    sum per bin gives the mean of means.
+    A task adds up the spectra of its rows, one vector per number of leads; only
+    those vectors move.  What rows cannot know, whether another lead of their record is
+    bad or missing, comes from the list of records that are not like most, written first, so
+    that Spark sees its size and joins accordingly.
     """
-    leads = signals.groupBy("record_id").agg(
-        F.count(F.lit(1)).alias("_leads"), F.min(samples_finite("samples")).alias("_ok")
-    ).where("_ok").drop("_ok")
-    clean = signals.select("record_id", "samples").where(samples_finite("samples"))
-    spectra = map_samples(clean, kernel, "double").join(leads, "record_id")
-    sums = spectra.select("_leads", F.posexplode("samples").alias("bin", "p")).groupBy("bin").agg(
-        F.sum(F.col("p") / F.col("_leads")).alias("s"), F.sum(F.lit(1.0) / F.col("_leads")).alias("n")
+    finite = samples_finite("samples")
+    leads = written(signals.groupBy("record_id").agg(F.count(F.lit(1)).alias("_leads"), F.min(finite).alias("_ok")), "leads")
+    usual = leads.where("_ok").groupBy("_leads").count().orderBy(F.desc("count"), "_leads").first()
+    most = usual["_leads"] if usual else 1
+    odd = written(leads.where(f"not _ok or _leads <> {most}"), "odd")
+    rows = signals.select("record_id", "samples").join(odd, "record_id", "left").where("_ok is null or _ok").select(
+        F.coalesce("_leads", F.lit(most)).cast("long").alias("leads"), F.col("samples").cast("array<double>").alias("samples")
+    )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            count = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            length = lists.value_lengths().to_numpy()
+            for n in np.unique(count):
+                for m in np.unique(length[count == n]):
+                    where = np.flatnonzero((count == n) & (length == m))
+                    for lo in range(0, len(where), KERNEL_ROWS):
+                        part = lists.take(pa.array(where[lo : lo + KERNEL_ROWS])).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+                        power = kernel(part)
+                        at = held.setdefault((int(n), power.shape[1]), [0, np.zeros(power.shape[1])])
+                        at[0] += len(power)
+                        at[1] += power.sum(axis=0)
+        for (n, _), (rows_, total) in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int64()), pa.array([rows_], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["leads", "rows", "total"]
+            )
+
+    sums = rows.mapInArrow(add_up, "leads long, rows long, total array<double>")
+    per_bin = sums.select("leads", "rows", F.posexplode("total").alias("bin", "p")).groupBy("bin").agg(
+        F.sum(F.col("p") / F.col("leads")).alias("s"), F.sum(F.col("rows") / F.col("leads")).alias("n")
     )
-    return sums.select("bin", (F.col("bin") * hz_per_bin).alias("freq"), (F.col("s") / F.col("n")).alias("power"))
+    return per_bin.select("bin", (F.col("bin") * hz_per_bin).alias("freq"), (F.col("s") / F.col("n")).alias("power"))
 
 
 def welch_psd(signals: DataFrame, fs: float = SOURCE_FS, nperseg: int = 1000) -> DataFrame:

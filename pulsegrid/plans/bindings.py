@@ -104,6 +104,50 @@ pred_s AS (
   FROM small_rows)"""
 
 
+#: The runs of a whole design: block, rate, arm, notch, source, seeds, shift of the positive class.
+DESIGN = (
+    (0, 100, "A", 0, "hr", 3, 384),
+    *((1, fs, "A", 1, "hr", 5, STRENGTH[str(fs)]) for fs in RUN_RATES),
+    *((2, fs, "B", 1, "hr", 5, STRENGTH[str(fs)] + 24) for fs in (240, 250, 500)),
+    (3, 100, "A", 0, "hr", 5, 382),
+    (4, 100, "A", 0, "lr", 5, 381),
+)
+
+
+def design_runs(spark, sf) -> DataFrame:
+    """The run matrix of the design; every run is declared, whatever the predictions hold."""
+    rows = spark.createDataFrame(list(DESIGN), "block int, fs int, arm string, notch int, source string, seeds int, strength int")
+    seeded = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.col("seeds") - 1))).withColumn("notch", F.col("notch") == 1)
+    return seeded.withColumn("run_id", run_label("block", "fs", "arm", "notch", "seed"))
+
+
+def pred_d(spark, sf) -> DataFrame:
+    """``labels`` scored by every run of the design; one label is never positive."""
+    labels = F.array(
+        F.struct(F.lit("quality").alias("label"), F.col("quality").cast("int").alias("y")),
+        F.struct(F.lit("toxic").alias("label"), F.col("toxic").cast("int").alias("y")),
+        F.struct(F.lit("never").alias("label"), F.lit(0).alias("y")),
+    )
+    cells = spread(table(spark, sf, "labels")).select(F.col("doc_id").alias("record_id"), F.inline(labels))
+    noise = hash_draw(1024, "record_id", "label", "run_id")
+    return cells.crossJoin(F.broadcast(design_runs(spark, sf).select("run_id", "strength"))).select(  # one row per run of the design
+        "run_id", "record_id", "label", "y", ((F.col("strength") * F.col("y") + noise) / F.lit(2048.0)).alias("score")
+    )
+
+
+DESIGN_RUNS = f"""
+design AS (
+  SELECT block, fs, arm, notch = 1 AS notch, source, strength, seed,
+         'b' || block || '-fs' || fs || '-' || arm || '-n' || notch || '-s' || seed AS run_id
+  FROM (SELECT *, unnest(range(seeds)) AS seed FROM (VALUES {', '.join(map(str, DESIGN))}) t(block, fs, arm, notch, source, seeds, strength)))"""
+
+PRED_D = """
+pred_d AS (
+  SELECT run_id, block, record_id, label, y, (strength * y + ('0x' || substr(md5(record_id || ':' || label || ':' || run_id), 1, 15))::BIGINT % 1024)
+           / 2048.0::DOUBLE AS score
+  FROM (SELECT doc_id AS record_id, unnest(['quality','toxic','never']) AS label, unnest([quality::INT, toxic::INT, 0]) AS y FROM labels), design)"""
+
+
 def crop_s(spark, sf) -> DataFrame:
     """Four crop-level logits per prediction on a grid of 1/256."""
     noise = hash_draw(1024, "record_id", "label", "grp", "seed", "crop")

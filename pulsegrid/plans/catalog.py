@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import comparison, dataset, metrics, runs, waveforms  # noqa: F401
+from . import analysis, comparison, dataset, metrics, runs, waveforms  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

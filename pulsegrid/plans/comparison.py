@@ -269,9 +269,8 @@ def null_contrast(spark, sf):
     return decisions.null_medians(both, ["grp", "endpoint"]).select("grp", "endpoint", "n_contrasts", rnd("null_median"))
 
 
-def _delta(spark, sf):
+def _delta(spark, sf, pairs):
     preds, frozen = b.pred_s(spark, sf), b.frozen_s(spark, sf)
-    pairs = inference.compare_groups(preds, frozen, N_BOOT)
     pooled = decisions.null_medians(decisions.null_contrasts(preds, b.SEEDS, frozen), ["endpoint"])
     scored = ranking.auroc(preds, ["grp", "run_id", "label"])
     per_run = inference.endpoint_values(scored, ["grp", "run_id"], frozen)
@@ -306,7 +305,7 @@ SELECT endpoint, a, b, round(diff, 8) AS delta, round(lo, 8) AS lo, round(hi, 8)
             WHEN abs(diff) < 0.019 THEN 'comparable_to_reported_gaps' ELSE 'exceeds_any_gap' END AS verdict
 FROM top JOIN pool USING (endpoint) JOIN sp USING (endpoint)""")
 def interpret_delta(spark, sf):
-    out = _delta(spark, sf)
+    out = _delta(spark, sf, inference.compare_groups(b.pred_s(spark, sf), b.frozen_s(spark, sf), N_BOOT))
     return out.select(
         "endpoint", "a", "b", rnd("delta"), rnd("lo"), rnd("hi"), rnd("p_holm"), "crosses_zero", "comparator",
         rnd("comparator_value"), rnd("null_contrast_matched"), rnd("max_seed_spread"), rnd("max_seed_std"), "verdict",
@@ -314,17 +313,30 @@ def interpret_delta(spark, sf):
 
 
 @query("write_reports", _GRP_DRAWS + f"""
-SELECT 'rates' AS analysis, endpoint, a, b, {', '.join(f'round({c}, 6) AS {c}' for c in _CMP_COLS)} FROM cmp""")
+, best AS (SELECT endpoint, a AS top_a, b AS top_b FROM (
+    SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY abs(diff) DESC, a, b) AS rn FROM cmp) WHERE rn = 1)
+SELECT 'rates' AS analysis, endpoint, a, b, {', '.join(f'round({c}, 6) AS {c}' for c in _CMP_COLS)},
+       a = '240' AND b = '250' AS negative_control, (SELECT count(DISTINCT grp) FROM ens) AS report_groups,
+       a = top_a AND b = top_b AS reported_top
+FROM cmp JOIN best USING (endpoint)""")
 def write_reports(spark, sf):
-    pairs = inference.compare_groups(b.pred_s(spark, sf), b.frozen_s(spark, sf), N_BOOT)
+    """One bootstrap for both files; the flags come back out of the nested one."""
+    draws = inference.group_draws(b.pred_s(spark, sf), b.frozen_s(spark, sf), N_BOOT)
+    pairs = inference.compare_draws(draws)
     rows = pairs.select(
         F.lit("rates").alias("analysis"), "endpoint", "a", "b", *[F.format_string("%.6f", F.col(c)).alias(c) for c in _CMP_COLS]
     )
     path = scratch_dir(spark, "report")
     tables.write_csv(rows, f"{path}/pairs")
-    groups = inference.group_results(b.pred_s(spark, sf), b.frozen_s(spark, sf), N_BOOT)
     control = decisions.tag_negative_control(pairs)
-    tables.write_nested_report(control, groups, _delta(spark, sf), f"{path}/report")
+    tables.write_nested_report(control, inference.describe_draws(draws), _delta(spark, sf, pairs), f"{path}/report")
     schema = "analysis string, endpoint string, a string, b string, " + ", ".join(f"{c} double" for c in _CMP_COLS)
     back = spark.read.schema(schema).option("header", True).csv(f"{path}/pairs")
-    return back.withColumns({c: rnd(c, 6) for c in _CMP_COLS})
+    nested = spark.read.schema(
+        "endpoint string, groups array<struct<grp: string, point: double>>, pairs array<struct<a: string, b: string, negative_control: boolean>>, "
+        "delta struct<a: string, b: string, verdict: string>"
+    ).json(f"{path}/report")
+    flags = nested.select("endpoint", F.size("groups").cast("long").alias("report_groups"), "delta", F.inline("pairs")).select(
+        "endpoint", "a", "b", "negative_control", "report_groups", ((F.col("delta.a") == F.col("a")) & (F.col("delta.b") == F.col("b"))).alias("reported_top")
+    )
+    return back.withColumns({c: rnd(c, 6) for c in _CMP_COLS}).join(flags, ["endpoint", "a", "b"])

@@ -11,8 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Replicates in the registered bootstrap queries; the bench uses more.
-N_BOOT = 200
+#: Replicates in the registered bootstrap queries and their SQL.
+N_BOOT = 2_000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -81,6 +81,18 @@ def ap_cte(src: str, keys: str, name: str = "ap") -> str:
          THEN sum(pos * tp::DOUBLE / seen) / sum(pos) END AS auprc FROM {name}_s GROUP BY {keys})"""
 
 
+def weighted_ap_cte(src: str, keys: str, name: str = "wap") -> str:
+    return f"""
+{name}_c AS (
+  SELECT {keys}, score, sum(CASE WHEN y > 0 THEN w ELSE 0 END)::BIGINT AS pos, sum(w)::BIGINT AS n FROM {src} GROUP BY {keys}, score),
+{name}_s AS (
+  SELECT *, sum(pos) OVER v AS tp, sum(n) OVER v AS seen FROM {name}_c
+  WINDOW v AS (PARTITION BY {keys} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+{name} AS (
+  SELECT {keys}, CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0
+         THEN sum(pos * tp::DOUBLE / seen) / sum(pos) END AS auprc FROM {name}_s GROUP BY {keys})"""
+
+
 def weights_cte(src: str, n_boot: int = N_BOOT, seed: int = 0) -> str:
     return f"""
 ids AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS idx FROM (SELECT DISTINCT record_id FROM {src})),

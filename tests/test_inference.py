@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import decisions, inference, ranking
+from pulsegrid.operators import decisions, inference, prefix, ranking
 
 N_BOOT = 40
 
@@ -58,6 +58,40 @@ def test_counts_do_not_depend_on_ranges(preds):
     assert all(g == got[0] for g in got)
 
 
+def test_records_may_have_keys_of_any_orderable_type(spark, preds, frozen):
+    """String ids in the order of the numbers draw the same records."""
+    text = preds.withColumn("record_id", F.format_string("r-%05d", "record_id"))
+    a = inference.compare_groups(preds, frozen, N_BOOT).orderBy("endpoint", "a", "b").collect()
+    z = inference.compare_groups(text, frozen, N_BOOT).orderBy("endpoint", "a", "b").collect()
+    assert a == z and len(a) == 6
+    days = spark.range(0, 40).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    got = prefix.dense_index(days, "d").orderBy("d").collect()
+    assert [r["idx"] for r in got] == list(range(40))
+
+
+@pytest.mark.parametrize("cuts", [(), (0.2, 0.3, 0.31, 0.5)])
+def test_replicates_of_precision_and_accuracy(spark, cuts):
+    """States per range against the weighted scans over one row per prediction and replicate; the point is the plain metric."""
+    ens = spark.createDataFrame(seeded(groups=("100", "500"), seeds=1, strength={"500": 700}))
+    weighted = inference.bootstrap_weights(ens, N_BOOT).join(ens, "record_id")
+    label = lambda df, *k: {tuple(r[c] for c in (*k, "label")): r["auprc"] for r in df.collect()}
+    got = inference.bootstrap_precision(ens, ["grp"], N_BOOT, cuts=cuts, point=True)
+    plain, drawn = label(got.where("rep < 0"), "grp"), label(got.where("rep >= 0"), "rep", "grp")
+    assert plain == pytest.approx(label(ranking.label_scores(ens, ["grp", "label"], cuts=()), "grp"))
+    assert drawn == pytest.approx(label(ranking.label_scores(weighted, ["rep", "grp", "label"], "w", cuts=()), "rep", "grp"))
+    assert len(drawn) == N_BOOT * 6 and plain["100", "never"] is None
+    got = inference.bootstrap_accuracy(ens, ["grp"], N_BOOT, cuts=cuts, point=True)
+    want = ranking.accuracy_at(weighted, ["rep", "grp"], "w").union(ranking.accuracy_at(ens, ["grp"]).select(F.lit(-1), "grp", "accuracy"))
+    assert {(r["rep"], r["grp"]): r["accuracy"] for r in got.collect()} == pytest.approx({(r[0], r[1]): r[2] for r in want.collect()})
+
+
+def test_point_replicate_is_the_plain_figure(preds):
+    got = inference.bootstrap_counts(preds, ["run_id"], 3, point=True).where("rep < 0")
+    want = ranking.pair_counts(preds, ["run_id", "label"], cuts=())
+    key = lambda df: sorted((r["run_id"], r["label"], int(r["n_pos"]), int(r["n_neg"]), int(r["u2"])) for r in df.collect())
+    assert key(got) == key(want)
+
+
 @pytest.mark.parametrize("cuts", [(), (0.5,)])
 def test_counts_refuse_undefined_scores(spark, cuts):
     for bad in (None, float("nan")):
