@@ -12,6 +12,16 @@ magic, takes a candidate as a member only if it inflates to a WARC header, owns
 records that start inside the range, and reads past its end to finish the last
 one.  From a valid member it goes on at that member's end.
 
+*Damage.*  Bytes between the end of a record and the next valid one, or before a
+file's first, belong to no record.  The task of the record before them (of the
+file's start) finds how far they reach, past its range if need be, so each stretch is
+met once: it is an error, or one row of type ``damaged`` with its place and length.
+A file shorter than its index says is an error.
+
+*Foreign records.*  Any record type and id is read.  ``page_id`` is null unless the
+id is one of the writer's; payloads of types other than response and revisit are
+their blocks, and a missing digest is computed.
+
 Archives lie in the shared folder and are opened by URI through Arrow's file
 systems, in tasks only.
 
@@ -26,13 +36,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_dir
 from .rows import table, written
@@ -141,7 +154,10 @@ class Window:
         if at >= self.size:
             return False
         self.file.seek(at)
-        self.data += self.file.read(min(CHUNK, self.size - at))
+        got = self.file.read(min(CHUNK, self.size - at))
+        if not got:
+            raise ValueError(f"the archive ends at {at}, its index says {self.size}")
+        self.data += got
         return True
 
     def drop(self, upto: int) -> None:
@@ -177,56 +193,103 @@ class Window:
         return b"".join(parts), pos - len(inflate.unused_data)
 
 
-def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """WARC headers, HTTP headers and payload of a record."""
+    def next_member(self, at: int, stop: int) -> tuple[int, bytes, int] | None:
+        """Start, content and end of the first valid member from ``at`` that begins before ``stop``."""
+        while (hit := self.find_magic(at, stop)) is not None:
+            found = self.member(hit)
+            if found is not None:
+                return hit, *found
+            at = hit + 1
+        return None
+
+
+class Record(NamedTuple):
+    fields: dict[str, str]
+    payload: bytes
+    full: int  # bytes of the payload, also where a revisit leaves it out
+
+
+def parse(member: bytes) -> Record:
+    """Lower-cased WARC headers and the payload of a record."""
     head, _, rest = member.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:] if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    if fields.get("warc-type") not in ("response", "revisit") or not fields.get("content-type", "").startswith("application/http"):
+        return Record(fields, block, len(block))
     http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, http, payload
+    named = re.search(rb"(?mi)^content-length:\s*([0-9]+)\s*$", http)
+    return Record(fields, payload, int(named.group(1)) if named else len(payload))
+
 
+def read_archives(index: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False, damaged: str = "fail") -> DataFrame:
+    """One row per record: ids, type, payload length and digest, what it refers to, its place[, the payload].
 
-def read_archives(index: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
-    """One row per record: id, type, payload length and digest, what it refers to[, the payload]."""
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (
-        ", payload binary" if payloads else ""
+    ``damaged``: ``"fail"`` raises on bytes that belong to no record, ``"rows"``
+    reports each stretch as a row of type ``damaged``, whose length is ``payload_bytes``.
+    """
+    if damaged not in ("fail", "rows"):
+        raise ValueError(f"damaged is 'fail' or 'rows', not {damaged!r}")
+    schema = (
+        "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, path string, at long"
+        + (", payload binary" if payloads else "")
     )
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def number(name: str | None) -> int | None:
-        found = (name or "").strip("<>").removeprefix(NAME)
-        return int(found) if found else None
+        own = (name or "").strip("<>")
+        found = own.removeprefix(NAME) if own.startswith(NAME) else ""
+        return int(found) if found.removeprefix("-").isdigit() else None
+
+    def row(path: str, at: int, content: bytes) -> tuple:
+        r = parse(content)
+        digest, kind = r.fields.get("warc-payload-digest", "").removeprefix("sha1:"), r.fields.get("warc-type", "")
+        own = r.fields.get("warc-record-id", "").strip("<>").startswith(NAME)
+        if own and kind == "response" and (len(r.payload) != r.full or payload_digest(r.payload) != digest):
+            raise ValueError(f"{path} at {at}: payload differs from its digest")
+        full = r.full if kind == "revisit" else len(r.payload)
+        return (
+            number(r.fields.get("warc-record-id")), r.fields.get("warc-target-uri"), kind, full, digest or payload_digest(r.payload),
+            number(r.fields.get("warc-refers-to")), r.fields.get("warc-record-id"), path, at, r.payload,
+        )
+
+    def gap(path: str, at: int, end: int) -> tuple:
+        if damaged == "fail":
+            raise ValueError(f"{path}: {end - at} bytes at {at} belong to no record")
+        return None, None, "damaged", end - at, None, None, None, path, at, None
+
+    def rows_of(path: str, size: int, start: int, stop: int) -> Iterator[tuple]:
+        fs, name = located(path)
+        with fs.open_input_file(name) as file:
+            window = Window(file, start, size)
+            after = 0 if start == 0 else None  # where the next record must begin, once that is known
+            at = start
+            while (found := window.next_member(at, stop)) is not None:
+                hit, content, end = found
+                if after is not None and hit > after:
+                    yield gap(path, after, hit)
+                yield row(path, hit, content)
+                at = after = end
+                window.drop(at)
+            # the next record begins right there, in this range or behind it, or else the stretch is damaged
+            if after is not None and after < size and (after < stop or window.member(after) is None):
+                beyond = window.next_member(max(after, stop), size)
+                if beyond is None or beyond[0] > after:
+                    yield gap(path, after, beyond[0] if beyond else size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, start, stop in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                fs, name = located(path)
+            for source in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 rows: list[tuple] = []
                 held = 0
-                with fs.open_input_file(name) as file:
-                    window, at = Window(file, start, size), start
-                    while (hit := window.find_magic(at, stop)) is not None:
-                        found = window.member(hit)
-                        if found is None:
-                            at = hit + 1
-                            continue
-                        fields, http, payload = parse(found[0])
-                        full = int(http.rpartition(b"Content-Length: ")[2] or 0)
-                        if fields["WARC-Type"] == "response" and (len(payload) != full or f"sha1:{payload_digest(payload)}" != fields["WARC-Payload-Digest"]):
-                            raise ValueError(f"{path} at {hit}: payload differs from its digest")
-                        rows.append((
-                            number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], full,
-                            fields["WARC-Payload-Digest"].removeprefix("sha1:"), number(fields.get("WARC-Refers-To")), payload,
-                        )[: len(names)])
-                        held += len(payload) if payloads else 0
-                        at = found[1]
-                        window.drop(at)
-                        if len(rows) >= 4096 or held > CHUNK * 16:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                            rows, held = [], 0
+                for r in rows_of(*source):
+                    rows.append(r[: len(arrow)])
+                    held += len(r[-1] or b"") if payloads else 0
+                    if len(rows) >= 4096 or held > CHUNK * 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     ranges = byte_ranges(index, range_bytes)
     tasks = max(1, ranges.count())
@@ -234,6 +297,12 @@ def read_archives(index: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
     return spread.mapInArrow(run, schema)
 
 
+def record_counts(index: DataFrame, records: DataFrame) -> DataFrame:
+    """``(path, records, found)`` of the archives whose index says another number of records than were read."""
+    found = records.where("record_type <> 'damaged'").groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    return index.join(found, "path", "left").select("path", "records", F.coalesce("found", F.lit(0)).alias("found")).where("records <> found")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
     return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

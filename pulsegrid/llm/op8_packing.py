@@ -43,22 +43,26 @@ BATCH_PIECES = 2048
 Bins = list[tuple[int, tuple[tuple[int, int], ...]]]  # (number of sequences, ((length, pieces of it), …))
 
 
-def vocabulary(path: str) -> dict[bytes, int]:
-    """Byte strings and ids of a byte-level BPE tokenizer file."""
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Byte strings and ids of a byte-level BPE tokenizer file, and the strings of its special tokens."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
-    return {bytes(shown[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+    if any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match as they stand are supported")
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    return {bytes(shown[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}, special
 
 
 def encoder(path: str):
-    """Text to ids, the ids of the tokenizer file; strings of special tokens are ordinary text."""
+    """Text to the ids that the tokenizer file gives without adding special tokens; their strings in a text have their own ids."""
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path), special_tokens={}).encode_ordinary
+    ranks, special = vocabulary(path)
+    encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
