@@ -37,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.prefix import lookup_join
 from . import kernels
 from .bitmaps import PIECE, has_bits, slot_bitmap
 from .graph import components
@@ -47,8 +46,6 @@ K = 5
 PERCENT = 85
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Rows of one key from which they are spread over several tasks.
-HOT_ROWS = 200_000
 #: Bits per wanted text in the bitmap that spares a shuffle of texts, and its largest size.
 BITS_PER_TEXT, MAX_BITS = 16, 1 << 27
 
@@ -146,7 +143,7 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame, k: int) -> DataFram
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` that link on their full sets."""
+    """``(lx, ly)``, the labels of the pairs ``(x, y, lx, ly)`` that link on their full sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,49 +155,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((long_[at] == short).sum())
                 ok[i] = 100 * both >= percent * (len(a) + len(b) - both)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["lx", "ly"])
 
     a = sets.select(F.col("node").alias("x"), F.col("body").alias("xb"))
     b = sets.select(F.col("node").alias("y"), F.col("body").alias("yb"))
-    return pairs.join(b, "y").join(a, "x").select("x", "y", "xb", "yb").mapInArrow(compare, "x long, y long")
+    return pairs.join(b, "y").join(a, "x").select("lx", "ly", "xb", "yb").mapInArrow(compare, "lx long, ly long")
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
-    """``(key, node, n, mass, leader, fits)``: each member of a bucket but its leader, and whether their sizes allow a link."""
-    lead = members.groupBy("key").agg(F.max(F.struct("mass", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("c"))
-    lead = lead.select("key", "c", F.col("lead.node").alias("leader"), F.col("lead.n").alias("m"))
-    low, high = F.least("n", "m"), F.greatest("n", "m")
-    return lookup_join(members, lead, ["key"], "c", HOT_ROWS).where("node <> leader").select(
-        "key", "node", "n", "mass", "leader", (100 * low >= percent * high).alias("fits")
+    """Each member of a bucket but its leader: ``(key, node, n, mass, label, leader, leader_label, fits)``.
+
+    ``fits``: the sizes allow a link.  A bucket that many share is a join with one row per key, which Spark splits.
+    """
+    lead = members.groupBy("key").agg(F.max(F.struct("mass", "node", "n", "label")).alias("lead"))
+    low, high = F.least(F.col("n"), F.col("lead.n")), F.greatest(F.col("n"), F.col("lead.n"))
+    return members.join(lead, "key").where("node <> lead.node").select(
+        "key", "node", "n", "mass", "label", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label"),
+        (100 * low >= percent * high).alias("fits"),
     )
 
 
 def links(docs: DataFrame, text: str, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(node, label)`` of every node with a link; ``rows`` is the written :func:`signed` table."""
+    """``(node, label)`` of every node that shares a bucket; ``rows`` is the written :func:`signed` table."""
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_key").alias("text_key"))
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "text_key")
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = written(lookup_join(keyed, size, ["key"], "c", HOT_ROWS), "buckets")
+    met = written(keyed.join(size, "key"), "buckets")
     per_node = written(met.groupBy("node").agg(F.sum("c").alias("mass"), F.first("text_key").alias("text_key")), "masses")
     sets = written(full_sets(docs, text, per_node.select("text_key"), k), "sets")
-    members = met.select("key", "node", "n").join(per_node.select("node", "mass"), "node")
+    members = met.select("key", "node", "n").join(per_node.select("node", "mass"), "node").withColumn("label", F.col("node"))
+    labels = per_node.select("node", F.col("node").alias("label"))
 
-    edges = labels = None
     while True:
         star = written(stars(members, percent), "stars")
-        pairs = star.where("fits").select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
-        if labels is not None:  # inside a component there is nothing to find out
-            a, b = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-            pairs = pairs.join(a, "x", "left").join(b, "y", "left").where("not coalesce(lx, x) <=> coalesce(ly, y)").select("x", "y")
-        fresh = written(confirmed(pairs, sets, percent), "links")
-        if labels is not None and not fresh.take(1):
+        x_first = F.col("node") < F.col("leader")
+        pairs = star.where("fits and label <> leader_label").select(
+            F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"),
+            F.when(x_first, F.col("label")).otherwise(F.col("leader_label")).alias("lx"),
+            F.when(x_first, F.col("leader_label")).otherwise(F.col("label")).alias("ly"),
+        ).distinct()
+        fresh = written(confirmed(pairs, sets, percent).distinct(), "links")
+        if not fresh.take(1):
             return labels
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        labels = written(components(edges), "labels")
-        # the leaders are gone from the buckets; those of one component have nothing left to find
-        left = star.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-        members = lookup_join(left, open_, ["key"], "c", HOT_ROWS).select("key", "node", "n", "mass")
+        # components of components: the graph of a later round has only what that round joined
+        moved = written(components(fresh, "lx", "ly").select(F.col("node").alias("label"), F.col("label").alias("to")), "moved")
+        relabel = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        labels = written(relabel(labels), "labels")
+        # the leaders are gone from the buckets; buckets of one component have nothing left to find
+        left = relabel(star.select("key", "node", "n", "mass", "label"))
+        open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        members = left.join(open_, "key")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -208,8 +212,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = written(signed(docs, text, id_col, k), "signed")
     labels = links(docs, text, rows, k, percent)
     found = rows.where("n > 0").select("doc_id", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = found.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
-    linked = lookup_join(found, named, ["label"], "c", HOT_ROWS).select("doc_id", "n", "component_id")
+    named = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = found.join(named, "label").select("doc_id", "n", "component_id")
     every = linked.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
