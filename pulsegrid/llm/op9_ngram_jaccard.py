@@ -11,14 +11,20 @@ The set of a text is its distinct ``k``-word shingles; two texts link when
 2. *Prefix.*  Similar texts share a shingle among their first
    ``n - ceil(t n) + 1``.  Only these are shuffled, as ``(shingle, text, n)``, and
    only those met in two texts are kept.
-3. *Groups.*  Texts are partitioned into groups: every text is compared with a
-   few random leaders among those that share its shingles, two per draw; the components of what
-   proves similar to such leaders are the groups.  Links inside a group need no more search.
+3. *Groups.*  Texts are partitioned into groups: every text is compared with two
+   leaders among those that share a shingle with it, the one that holds it earliest
+   in its order, so that has the least shingles of its own and is mostly what others
+   were copied from, and a random one; the components of what proves similar to
+   such leaders are the groups.  Links inside a group need no more search.
 4. *Token-group matrix.*  The union of the members' prefix shingles of a group,
-   one row per ``(shingle, group)``.  The overlap of two groups in it bounds the
-   overlap of any two members; only pairs of groups whose bound reaches what the
-   sizes require are opened, and the same bound is then applied to their members.
-5. *Verification.*  Full sets are built for the texts that are left in a pair,
+   one row per ``(shingle, group)``, with the most shingles that any member has from
+   there on.  If a shingle is the first that two texts share, their overlap is at most
+   what either has from there on; only rows of two groups that allow the overlap
+   which their sizes require are opened, and the same bound is then applied to
+   their members.
+5. *Verification.*  Every text has a parity sketch of ``SKETCH`` bits; the bits in
+   which two differ are a lower bound of the shingles they do not share, which drops
+   most pairs.  Full sets are built for the texts that are left in a pair,
    and compared exactly.  Components of all links follow.
 
 Nodes are distinct texts (64-bit hash of the text), so copies of one text cost
@@ -48,12 +54,14 @@ PERCENT = 75
 
 #: Shingles per counter of the sketch, its smallest and largest number of counters.
 NOISE = 64
-MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 27
+MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 24
 #: A shingle is common when its counter exceeds the mean by this many deviations, and this much.
 DEVIATIONS, SURPLUS = 8, 8
 EMIT_ROWS = 1 << 17
-#: Draws of leaders: a text among many similar ones meets about twice as many of them.
+#: Draws of random leaders: a text among many similar ones meets about as many of them.
 DRAWS = 8
+#: Bits of the parity sketch of a text, and texts sketched at once.
+SKETCH, SKETCHED = 512, 4096
 SIGN = np.int64(-(1 << 63))
 #: Bits per wanted node in the bitmap that spares the cluster a shuffle of texts, and its largest size.
 BITS_PER_NODE, MAX_BITS = 16, 1 << 27
@@ -77,17 +85,15 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def fold() -> None:
-            nonlocal total
             if held:
-                total += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
+                np.add.at(total, np.concatenate(held), 1)
                 held.clear()
 
         for batch in batches:
             for _, _, data, offs in kernels.slices(batch.column(0)):
                 h, _ = kernels.text_shingles(data, offs, k)
                 held.append((h & np.uint64(counters - 1)).astype(np.int64))
-                if sum(map(len, held)) >= counters:
-                    fold()
+                fold()
         fold()
         if total.any():
             for piece in range(0, counters, PIECE):
@@ -128,15 +134,29 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     return bitmap
 
 
+def parity_sketches(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """``(n_docs, SKETCH / 64)`` words: whether an odd number of a text's shingles falls on each bit."""
+    out = np.zeros((n_docs, SKETCH // 8), dtype=np.uint8)
+    for at in range(0, n_docs, SKETCHED):
+        a, b = np.searchsorted(doc, (at, at + SKETCHED))
+        rows = min(SKETCHED, n_docs - at)
+        cell = (doc[a:b] - at) * SKETCH + (h[a:b] & np.uint64(SKETCH - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=rows * SKETCH).reshape(rows, SKETCH) & 1
+        out[at : at + rows] = np.packbits(odd.astype(bool), axis=1, bitorder="little")
+    return out.view("<i8")
+
+
 def prefixes(texts: DataFrame, late, k: int, percent: int) -> DataFrame:
-    """``(token, node, n)``: the prefix shingles of each distinct text of a task.
+    """``(token, node, n, i, sketch)``: the prefix shingles of each distinct text of a task and their places in its order.
 
-    A row with a negative token, the node with its sign bit set, only carries the size.
+    A row with a negative token, the node with its sign bit set, carries the size and the sketch; others have no sketch.
     """
+    words = pa.list_(pa.int64())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bitmap = late.value
+        names = ["token", "node", "n", "i", "sketch"]
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             for i, j, data, offs in kernels.slices(batch.column(1)):
@@ -148,18 +168,23 @@ def prefixes(texts: DataFrame, late, k: int, percent: int) -> DataFrame:
                     if node not in seen:
                         seen.add(node)
                         fresh[at] = True
-                first = np.concatenate([[0], np.cumsum(n)])[:-1]
+                place = np.arange(len(h)) - (np.cumsum(n) - n)[d]
                 size = n - -(-percent * n // 100) + 1
-                take = fresh[d] & (np.arange(len(h)) - first[d] < size[d])
-                token = np.concatenate([h[take].astype(np.int64), own[fresh] | SIGN])
-                who = np.concatenate([d[take], np.flatnonzero(fresh)])
+                take = fresh[d] & (place < size[d])
+                token, who, place = h[take].astype(np.int64), d[take], place[take]
                 for s in range(0, len(token), EMIT_ROWS):
-                    t, w = token[s : s + EMIT_ROWS], who[s : s + EMIT_ROWS]
+                    t, w, q = token[s : s + EMIT_ROWS], who[s : s + EMIT_ROWS], place[s : s + EMIT_ROWS]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t), pa.array(own[w]), pa.array(n[w].astype(np.int32))], names=["token", "node", "n"]
+                        [pa.array(t), pa.array(own[w]), pa.array(n[w].astype(np.int32)), pa.array(q.astype(np.int32)), pa.nulls(len(t), words)], names=names
                     )
+                w = np.flatnonzero(fresh)
+                sketch = parity_sketches(h, d, j - i)[w]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[w] | SIGN), pa.array(own[w]), pa.array(n[w].astype(np.int32)), pa.array(np.zeros(len(w), np.int32)), lists], names=names
+                )
 
-    return texts.mapInArrow(emit, "token long, node long, n int")
+    return texts.mapInArrow(emit, "token long, node long, n int, i int, sketch array<long>")
 
 
 def full_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -215,15 +240,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "y").join(a, "x").select("x", "y", "xb", "yb").mapInArrow(compare, "x long, y long")
 
 
-def required(percent: int, a: str, b: str) -> str:
-    """Fewest shared prefix shingles of two similar texts with at least ``a`` and at most ``b`` shingles.
+def overlap(percent: int, a: str, b: str) -> str:
+    """Fewest shared shingles of two similar texts with ``a`` and ``b`` shingles."""
+    return _ceil_div(f"{percent} * ({a} + {b})", 100 + percent)
 
-    The overlap must reach ``ceil(p (na + nb) / (100 + p))``; behind a prefix lie
-    ``ceil(p n / 100) - 1`` shingles of the text whose prefix ends first, at most
-    that many of the longer one.
-    """
-    behind = _ceil_div(f"{percent} * {b}", 100)
-    return f"greatest(1, {_ceil_div(f'{percent} * ({a} + {b})', 100 + percent)} - {behind} + 1)"
+
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(x, y)`` whose sketches do not rule a link out."""
+    a = sketches.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    b = sketches.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    apart = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    return pairs.join(b, "y").join(a, "x").where(apart <= F.expr(f"nx + ny - 2 * {overlap(percent, 'nx', 'ny')}")).select("x", "y")
 
 
 def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -236,58 +263,54 @@ def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFra
     late = spark.sparkContext.broadcast(common_shingles(texts, k))
     # one shuffle brings the rows of a shingle together; those met in one text only are not kept
     one = Window.partitionBy("token")
-    chance = F.struct("h", "node", "n")
+    chance = F.struct("h", "node", "n", "i")
     shared = written(
         prefixes(texts, late, k, percent)
         .withColumn("h", F.xxhash64("node", F.expr(f"token % {DRAWS}")))
-        .withColumns({"lo": F.min(chance).over(one), "hi": F.max(chance).over(one)})
-        .where("token < 0 or lo.node <> hi.node"), "shared",
+        .withColumns({"early": F.min(F.struct("i", "h", "node", "n")).over(one), "drawn": F.min(chance).over(one), "last": F.max("node").over(one), "first": F.min("node").over(one)})
+        .where("token < 0 or first <> last").drop("first", "last"), "shared",
     )
-    sizes = shared.where("token < 0").select("node", "n").distinct()
-    s = shared.where("token >= 0").distinct()
+    sketches = written(shared.where("token < 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    s = shared.where("token >= 0").drop("sketch").distinct()
 
     a, b = "least(n, m)", "greatest(n, m)"
+    alike = f"100 * {a} >= {percent} * {b}"
+    met = f"least(n - i, m - j) >= {overlap(percent, 'n', 'm')}"  # if the shingle is the first that both have
+    leader = F.explode(F.array(F.struct("early.node", "early.n", "early.i"), F.struct("drawn.node", "drawn.n", "drawn.i")))
     stars = (
-        s.select("node", "n", F.explode(F.array("lo", "hi")).alias("l"))
-        .select("node", "n", F.col("l.node").alias("o"), F.col("l.n").alias("m")).where("node <> o")
-        .where(f"100 * {a} >= {percent} * {b}")
-        .groupBy(F.least("node", "o").alias("x"), F.greatest("node", "o").alias("y"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.expr(a)).alias("a"), F.max(F.expr(b)).alias("b"))
-        # a leader leads only its share of the shingles, so only that share of the bound; the rest is met below
-        .where(f"{2 * DRAWS} * c >= {required(percent, 'a', 'b')}").select("x", "y")
+        s.select("node", "n", "i", leader.alias("l"))
+        .select("node", "n", "i", F.col("l.node").alias("o"), F.col("l.n").alias("m"), F.col("l.i").alias("j"))
+        .where("node <> o").where(alike).where(met)
+        .select(F.least("node", "o").alias("x"), F.greatest("node", "o").alias("y")).distinct()
     )
-    stars = written(stars, "stars")
+    stars = written(likely(stars, sketches, percent), "stars")
     first = written(verify(stars, full_sets(texts, stars, k), percent), "links")
     groups = components(first)
 
-    # the token-group matrix and the sizes found in each group
-    member = s.select("token", "node", "n").join(groups, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
-    matrix = member.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    crowded = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    # the token-group matrix: the sizes found in each group, and the most that a member has from the shingle on
+    member = s.select("token", "node", "n", "i").join(groups, "node", "left").withColumn("g", F.coalesce("label", "node")).drop("label")
+    crowded = member.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     member = written(member.join(crowded, "token", "left_semi"), "members")
-    matrix = member.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    p = matrix.select("token", F.col("g").alias("g1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    q = matrix.select("token", F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    matrix = member.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - i")).alias("rest"))
+    p = matrix.select("token", F.col("g").alias("g1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rest").alias("rest1"))
+    q = matrix.select("token", F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
     opened = written(
         p.join(q, "token").where("g1 < g2")
-        .where(f"100 * hi2 >= {percent} * lo1 and 100 * hi1 >= {percent} * lo2")
-        .groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), *[F.min(c).alias(c) for c in ("lo1", "lo2")], *[F.max(c).alias(c) for c in ("hi1", "hi2")])
-        .where(f"c >= least({required(percent, 'lo1', 'greatest(lo1, hi2)')}, {required(percent, 'lo2', 'greatest(lo2, hi1)')})")
-        .select("g1", "g2"), "opened",
+        .where(f"100 * hi2 >= {percent} * lo1 and 100 * hi1 >= {percent} * lo2 and least(rest1, rest2) >= {overlap(percent, 'lo1', 'lo2')}")
+        .select("token", "g1", "g2", "lo2", "hi2", "rest2"), "opened",
     )
-    left = member.select("token", F.col("g").alias("g1"), F.col("node").alias("x0"), F.col("n"))
-    right = member.select("token", F.col("g").alias("g2"), F.col("node").alias("y0"), F.col("n").alias("m"))
+    left = member.select("token", F.col("g").alias("g1"), F.col("node").alias("x0"), "n", "i")
+    right = member.select("token", F.col("g").alias("g2"), F.col("node").alias("y0"), F.col("n").alias("m"), F.col("i").alias("j"))
+    against = f"100 * hi2 >= {percent} * n and 100 * n >= {percent} * lo2 and least(n - i, rest2) >= {overlap(percent, 'n', 'lo2')}"
     pairs = (
-        opened.join(left, "g1").join(right, ["g2", "token"])
-        .where(f"100 * {a} >= {percent} * {b}")
-        .groupBy(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.expr(a)).alias("a"), F.max(F.expr(b)).alias("b"))
-        .where(f"c >= {required(percent, 'a', 'b')}").select("x", "y")
+        opened.join(left, ["token", "g1"]).where(against).select("token", "g2", "x0", "n", "i")
+        .join(right, ["token", "g2"]).where(alike).where(met)
+        .select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).distinct()
         .join(stars, ["x", "y"], "left_anti")
     )
-    pairs = written(pairs, "pairs")
+    pairs = written(likely(pairs, sketches, percent), "pairs")
     second = written(verify(pairs, full_sets(texts, pairs, k), percent), "links")
-    return sizes, first.unionByName(second)
+    return sketches.select("node", "n"), first.unionByName(second)
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -10,6 +10,9 @@ from . import (
     op1_license_templates, op2_contextual_pii, op3_line_dedup, op4_knn_quality, op5_linked_secrets, op6_warc, op7_winnowing, op8_packing,
     op9_ngram_jaccard, op10_repetition, op11_periodic_runs, op12_spelling_variants, op13_minhash_stars,
 )
+from .oracles import ORACLES
+
+__all__ = ["QUERIES", "ORACLES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_templates": op1_license_templates.query,
@@ -26,5 +29,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling_variants": op12_spelling_variants.query,
     "op13_minhash_stars": op13_minhash_stars.query,
 }
-
-ORACLES: dict[str, str] = {}
