@@ -15,7 +15,7 @@ VAL_FOLD = 9
 TEST_FOLD = 10
 MIN_TEST_POSITIVES = 10
 
-#: A label dictionary is a list of names; longer ones stay sparse.
+#: Names that :func:`dictionary` hands to the driver as a list; a table of names has no such limit.
 MAX_DICTIONARY = 10_000
 
 
@@ -35,7 +35,7 @@ def code_rows(records: DataFrame) -> DataFrame:
 
 
 def dictionary(statements: DataFrame, labels: Sequence[str] | None = None, limit: int = MAX_DICTIONARY) -> list[str]:
-    """Label names for a dense expansion; refuses a dictionary longer than ``limit``."""
+    """Label names as a list, for few of them; refuses more than ``limit``, which stay a table."""
     if labels is not None:
         return list(labels)
     names = [r[0] for r in statements.select("label").distinct().take(limit + 1)]
@@ -44,15 +44,27 @@ def dictionary(statements: DataFrame, labels: Sequence[str] | None = None, limit
     return sorted(names)
 
 
-def label_presence(records: DataFrame, labels: Sequence[str]) -> DataFrame:
+def _named(records: DataFrame, labels: DataFrame | Sequence[str]) -> DataFrame:
+    """The records with the label names as one array column ``_names``.
+
+    A table of names of any length becomes one row, sorted, that joins every record;
+    a list keeps its order.
+    """
+    if not isinstance(labels, DataFrame):
+        return records.withColumn("_names", F.array(*[F.lit(n) for n in labels]).cast("array<string>"))
+    names = labels.where("label is not null").agg(F.sort_array(F.collect_set("label")).alias("_names"))
+    return records.crossJoin(F.broadcast(names))  # one row, always
+
+
+def label_presence(records: DataFrame, labels: DataFrame | Sequence[str]) -> DataFrame:
     """Dense ``(record_id, label, y)``: absent labels are explicit zeros.
 
-    Presence is a key test on the record's own map, so nothing is shuffled;
-    unknown codes drop out.
+    ``labels`` is a table with a column ``label`` or a list of names; ordinals follow
+    its sorted names or the list.  Presence is a key test on the record's own map, so
+    no record is shuffled; unknown codes drop out.
     """
-    names = F.array(*[F.lit(n) for n in labels])
     keep = [c for c in records.columns if c != "codes"]
-    return records.select(*keep, "codes", F.posexplode(names).alias("ordinal", "label")).select(
+    return _named(records, labels).select(*keep, "codes", F.posexplode("_names").alias("ordinal", "label")).select(
         *keep, "ordinal", "label", F.map_contains_key("codes", F.col("label")).cast("int").alias("y")
     )
 
@@ -64,10 +76,10 @@ def label_positives(records: DataFrame, statements: DataFrame) -> DataFrame:
     return pairs.join(statements.select("label").distinct(), "label", "left_semi")
 
 
-def unlabelled(records: DataFrame, labels: Sequence[str]) -> DataFrame:
+def unlabelled(records: DataFrame, labels: DataFrame | Sequence[str]) -> DataFrame:
     """Records that carry no known label."""
-    names = F.array(*[F.lit(n) for n in labels])
-    return records.where(~F.coalesce(F.arrays_overlap(F.map_keys("codes"), names), F.lit(False)))
+    none = ~F.coalesce(F.arrays_overlap(F.map_keys("codes"), F.col("_names")), F.lit(False))
+    return _named(records, labels).where(none).drop("_names")
 
 
 def split_of(fold: str = "fold") -> Column:
@@ -267,13 +279,12 @@ def label_checks(
     min_positives: int = MIN_TEST_POSITIVES,
 ) -> DataFrame:
     """Dictionary size, labelled records, support and agreement with the frozen set."""
-    names = dictionary(statements)
     support = label_support(records, statements, min_positives)
     sizes = support.agg(
         F.count(F.lit(1)).alias("labels"), F.count(F.when(F.col("in_macro_clean"), 1)).alias("clean"),
         F.sort_array(F.collect_list(F.when(F.col("in_macro_clean"), F.col("label")))).alias("derived"),
     )
-    bare = unlabelled(records, names).agg(F.count(F.lit(1)).alias("bare"))
+    bare = unlabelled(records, statements).agg(F.count(F.lit(1)).alias("bare"))
     one = sizes.join(F.broadcast(bare)).join(F.broadcast(frozen))  # one row each
     return check_rows(one, {
         "dictionary_size": (F.col("labels") == n_labels, F.col("labels")),

@@ -16,7 +16,6 @@ GROUPS = ("100", "240", "250", "500")
 STRENGTH = {"100": 380, "240": 390, "250": 392, "500": 440}
 SEEDS = 5
 RUN_RATES = (100, 240, 250, 500)
-HOURS = 720
 CROPS = 4
 FILES_SKIP, FILES_ALTER = 17, 13
 
@@ -275,19 +274,21 @@ sig AS (
 def sig_t(spark, sf) -> DataFrame:
     """``events`` as hourly signals: record = user, lead = event type, gaps 0.
 
-    Each day becomes a fixed 24-slot array on the map side, and a signal joins a
-    fixed number of days, so no step gathers the events of a key.
+    The span is that of the table, whole days.  Each day becomes a 24-slot array on
+    the map side, and a signal joins its days, so no step gathers the events of a key.
     """
-    e = table(spark, sf, "events")
-    day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01")))
+    e = table(spark, sf, "events").where("ts is not null")
+    span = e.agg(F.to_date(F.min("ts")).alias("first"), F.datediff(F.max("ts"), F.min("ts")).alias("days")).first()
+    last = span["days"] or 0
+    day = F.datediff(F.to_date("ts"), F.lit(span["first"]))
     slots = [F.avg(F.when(F.hour("ts") == h, F.col("value"))) for h in range(24)]
     daily = (
-        e.withColumn("day", day).where(F.col("day").between(0, HOURS // 24 - 1))
+        e.withColumn("day", day)
         .groupBy("user_id", "event_type", "day")
         .agg(F.array(*[F.coalesce(s, F.lit(0.0)).cast("float") for s in slots]).alias("v"))
     )
     empty = F.array(*[F.lit(0.0).cast("float")] * 24)
-    days = F.transform(F.sequence(F.lit(0), F.lit(HOURS // 24 - 1)), lambda d: F.coalesce(F.col("m")[d], empty))
+    days = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda d: F.coalesce(F.col("m")[d], empty))
     return (
         daily.groupBy("user_id", "event_type")
         .agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
@@ -300,13 +301,14 @@ def sig_t(spark, sf) -> DataFrame:
     )
 
 
-SIG_T = f"""
+SIG_T = """
+span AS (SELECT min(ts)::DATE AS first, (datediff('day', min(ts)::DATE, max(ts)::DATE) + 1) * 24 AS hours FROM events),
 hourly AS (
-  SELECT user_id AS record_id, event_type AS lead, datediff('day', DATE '2024-01-01', ts::DATE) * 24 + hour(ts) AS h, avg(value) AS v
-  FROM events GROUP BY ALL),
+  SELECT user_id AS record_id, event_type AS lead, datediff('day', first, ts::DATE) * 24 + hour(ts) AS h, avg(value) AS v
+  FROM events, span WHERE ts IS NOT NULL GROUP BY ALL),
 sig_t AS (
   SELECT k.record_id, k.lead, list(coalesce(v, 0)::FLOAT::DOUBLE ORDER BY k.h) AS s
-  FROM (SELECT record_id, lead, unnest(range({HOURS})) AS h FROM (SELECT DISTINCT record_id, lead FROM hourly WHERE h BETWEEN 0 AND {HOURS - 1})) k
+  FROM (SELECT record_id, lead, unnest(range(hours)) AS h FROM (SELECT DISTINCT record_id, lead FROM hourly), span) k
   LEFT JOIN hourly USING (record_id, lead, h) GROUP BY k.record_id, k.lead)"""
 
 

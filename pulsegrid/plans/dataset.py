@@ -56,8 +56,7 @@ dense AS (
 
 @query("label_presence", with_(b.CODES, b.STATEMENTS, _DENSE) + "SELECT record_id, label, y FROM dense")
 def label_presence(spark, sf):
-    names = records.dictionary(b.statements(spark, sf))
-    return records.label_presence(_coded(spark, sf), names).select("record_id", "label", "y")
+    return records.label_presence(_coded(spark, sf), b.statements(spark, sf)).select("record_id", "label", "y")
 
 
 @query("label_restrict", with_(b.CODES, b.STATEMENTS, _DENSE) + """
@@ -75,8 +74,7 @@ def label_positives(spark, sf):
 @query("unlabelled_records", with_(b.CODES, b.STATEMENTS, _DENSE) + """
 SELECT record_id FROM dense GROUP BY record_id HAVING sum(y) = 0""")
 def unlabelled_records(spark, sf):
-    names = records.dictionary(b.statements(spark, sf))
-    return records.unlabelled(_coded(spark, sf), names).select("record_id")
+    return records.unlabelled(_coded(spark, sf), b.statements(spark, sf)).select("record_id")
 
 
 _SUPPORT = """

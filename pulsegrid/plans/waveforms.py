@@ -52,6 +52,24 @@ def ingest_signals(spark, sf):
     return _values(got.withColumn("stem", F.regexp_replace("stem", "^raw/", "")), "stem", "lead", "fs")
 
 
+@query("read_signal_files", with_(b.SIG) + """
+SELECT record_id, source, lead, 'L' || lead AS lead_name, fs, m::INT AS m, round(round(x * 1000) / 1000, 6) AS value FROM (
+  SELECT record_id, 'hr' AS source, lead, 40 AS fs, unnest(samples)::DOUBLE AS x, generate_subscripts(samples, 1) - 1 AS m FROM sig
+  UNION ALL
+  SELECT record_id, 'lr', lead, 20, unnest(samples[1:64:2])::DOUBLE AS x, generate_subscripts(samples[1:64:2], 1) - 1 FROM sig)""")
+def read_signal_files(spark, sf):
+    """Both sources of every record, each found by the path column of the record table."""
+    root = scratch_dir(spark, "files")
+    sig = b.sig(spark, sf, FS)
+    path = lambda kind: F.concat(F.lit(f"records{kind}/"), F.format_string("%05d_", "record_id"), F.lit(kind))
+    half = F.filter("samples", lambda x, i: i % 2 == 0)
+    store.write_signal_files(sig.withColumn("name", path("hr")), root)
+    store.write_signal_files(sig.withColumns({"name": path("lr"), "samples": half, "fs": F.lit(LOW_FS)}), root)
+    records = sig.select("record_id").distinct().withColumns({"filename_hr": path("hr"), "filename_lr": path("lr")})
+    got = [store.read_signal_files(records, root, s, n_leads=4, n_samples=n) for s, n in (("hr", N), ("lr", N // 2))]
+    return _values(got[0].unionByName(got[1]), "record_id", "source", "lead", "lead_name", "fs")
+
+
 def _stored(spark, sf):
     root = scratch_dir(spark, "store")
     sig = b.sig(spark, sf, FS)
@@ -228,7 +246,6 @@ def _notch_cte() -> str:
     """The notch as two plain recurrences over an odd extension of nine samples."""
     b_, a_ = kernels.notch_coefficients(50.0, 30.0, 500.0)
     (b0, b1, b2), (_, a1, a2) = ((f"({float(v)!r})::DOUBLE" for v in c) for c in (b_, a_))
-    n, last = b.HOURS, b.HOURS + 17
 
     def sweep(name: str, src: str) -> str:
         return f"""
@@ -240,15 +257,15 @@ def _notch_cte() -> str:
   FROM {name} p JOIN {src} e ON e.id = p.id AND e.t = p.t + 1)"""
 
     return f"""
-sid AS (SELECT *, row_number() OVER (ORDER BY record_id, lead) AS id FROM sig_t),
+sid AS (SELECT *, len(s) AS n, len(s) + 17 AS last, row_number() OVER (ORDER BY record_id, lead) AS id FROM sig_t),
 ext AS (
   SELECT id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS t FROM (
     SELECT id, list_concat(list_concat([2 * s[1] - s[i + 1] FOR i IN [9, 8, 7, 6, 5, 4, 3, 2, 1]], s),
-                           [2 * s[{n}] - s[{n} - i] FOR i IN [1, 2, 3, 4, 5, 6, 7, 8, 9]]) AS e FROM sid)),
+                           [2 * s[n] - s[n - i] FOR i IN [1, 2, 3, 4, 5, 6, 7, 8, 9]]) AS e FROM sid)),
 {sweep("fwd", "ext").strip()},
-rev AS (SELECT id, {last} - t AS t, y AS x FROM fwd),
+rev AS (SELECT id, last - t AS t, y AS x FROM fwd JOIN sid USING (id)),
 {sweep("bwd", "rev").strip()},
-notched AS (SELECT record_id, lead, {last} - t - 9 AS m, y AS value FROM bwd JOIN sid USING (id) WHERE {last} - t BETWEEN 9 AND {last} - 9)"""
+notched AS (SELECT record_id, lead, last - t - 9 AS m, y AS value FROM bwd JOIN sid USING (id) WHERE last - t BETWEEN 9 AND last - 9)"""
 
 
 _SUMMARY = """
@@ -275,7 +292,7 @@ def _resampled_cte() -> str:
     rows = ", ".join(f"({k - half}, {float(h)!r}::DOUBLE)" for k, h in enumerate(taps))
     return f"""
 taps AS (SELECT * FROM (VALUES {rows}) t(k, h)),
-uses AS (SELECT r.m, (r.m * {down} - k) // {up} AS n, h FROM range({-(-b.HOURS * up // down)}) r(m), taps WHERE (r.m * {down} - k) % {up} = 0),
+uses AS (SELECT r.m, (r.m * {down} - k) // {up} AS n, h FROM (SELECT unnest(range((hours * {up} + {down - 1}) // {down})) AS m FROM span) r, taps WHERE (r.m * {down} - k) % {up} = 0),
 low AS (
   SELECT record_id, lead, u.m, sum(value * h)::FLOAT::DOUBLE AS value FROM notched x JOIN uses u ON u.n = x.m GROUP BY record_id, lead, u.m)"""
 

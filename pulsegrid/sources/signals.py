@@ -7,11 +7,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import format16
 from ..functions.exprs import set_fingerprint
+from ..session import written
+from .tables import list_files
 
 STORE_VERSION = 1
 KEYS = ("source", "fs", "notch")
@@ -47,6 +52,109 @@ def ingest_signals(files: DataFrame, n_leads: int | None = 12, n_samples: int |
     )
 
 
+#: Column of the record table that holds a record's path, by signal source.
+PATH_COLUMNS = {"hr": "filename_hr", "lr": "filename_lr"}
+#: Bytes of signal files that one task reads.
+BYTES_PER_TASK = 64 << 20
+SIGNAL_ROWS = "record_id {id}, source string, lead int, lead_name string, fs int, samples array<double>"
+
+
+def _opened(root: str, name: str) -> tuple[pafs.FileSystem, str]:
+    uri = f"{root.rstrip('/')}/{name}"
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def signal_rows(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of decoded records ``(id, source, header, samples by lead)``, built from the arrays as they are."""
+    ids, sources, leads, names, rates, parts, length = [], [], [], [], [], [], []
+    for key, source, head, x in records:
+        n = len(x)
+        ids += [key] * n
+        sources += [source] * n
+        leads += range(n)
+        names += head["lead"]
+        rates += [round(head["fs"])] * n
+        parts.append(x.reshape(-1))
+        length += [x.shape[1]] * n
+    offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+    samples = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
+    columns = [pa.array(c, f.type) for c, f in zip((ids, sources, leads, names, rates), schema)]
+    return pa.RecordBatch.from_arrays([*columns, samples.cast(schema.field(5).type)], schema=schema)
+
+
+def read_signal_files(
+    records: DataFrame, root: str, source: str = "hr", id_col: str = "record_id", n_leads: int | None = 12, n_samples: int | None = None,
+    bytes_per_task: int = BYTES_PER_TASK, columns: dict[str, str] = PATH_COLUMNS,
+) -> DataFrame:
+    """Signals of the records, from the files that ``source`` names in each record's own row.
+
+    Only ids and paths move; every task opens the header and data files of its
+    records, whose number follows from the files' bytes.  A missing file, a record
+    without a path, and wrong lead or sample counts fail.  Other columns of
+    ``records`` are not read.
+    """
+    if source not in columns:
+        raise ValueError(f"unknown signal source {source!r}")
+    spark = records.sparkSession
+    name = F.col(columns[source])
+    known = F.when(name.isNull() | (name == ""), F.raise_error(F.concat(F.lit("no path of source "), F.lit(source)))).otherwise(name)
+    pairs = records.select(F.col(id_col).alias("record_id"), known.alias("name"))
+    held = list_files(spark, root, "*.dat").agg(F.sum("length"), F.count(F.lit(1))).first()
+    mean = (held[0] or 0) / max(1, held[1])
+    tasks = max(spark.sparkContext.defaultParallelism, int(pairs.count() * mean // bytes_per_task) + 1)
+    kind = T._parse_datatype_string(SIGNAL_ROWS.format(id=records.schema[id_col].dataType.simpleString()))
+    schema = to_arrow_schema(kind)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        cells = 0
+        for batch in batches:
+            for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, at = _opened(root, path)
+                with fs.open_input_file(f"{at}.hea") as f:
+                    head = format16.parse_header(f.read().decode())
+                with fs.open_input_file(f"{at}.dat") as f:
+                    x = format16.decode(head, f.read())
+                if n_leads is not None and len(x) != n_leads:
+                    raise ValueError(f"{path}: {len(x)} leads instead of {n_leads}")
+                if n_samples is not None and x.shape[1] != n_samples:
+                    raise ValueError(f"{path}: {x.shape[1]} samples instead of {n_samples}")
+                rows.append((key, source, head, np.ascontiguousarray(x)))
+                cells += x.size
+                if cells >= 1 << 20:
+                    yield signal_rows(rows, schema)
+                    rows, cells = [], 0
+        if rows:
+            yield signal_rows(rows, schema)
+
+    return pairs.repartition(tasks, "name").mapInArrow(read, kind)
+
+
+def write_signal_files(signals: DataFrame, root: str, name: str = "name", gain: float = 1000.0) -> DataFrame:
+    """Header and data files of records, for fixtures and exports; ``(name, bytes)`` of each.
+
+    ``signals`` has ``name`` (path below ``root``), lead, fs and samples.  A record
+    has a fixed number of leads, so gathering them is bounded.
+    """
+    leads = F.transform(F.sort_array(F.collect_list(F.struct("lead", "samples"))), lambda s: s["samples"])
+    per = signals.groupBy(F.col(name).alias("name")).agg(F.max("fs").alias("fs"), leads.alias("x"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for path, rate, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                head, blob = format16.encode(path.rpartition("/")[2], int(rate), np.array(x, dtype=float), gain)
+                fs, at = _opened(root, path)
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                for suffix, body in (("hea", head.encode()), ("dat", blob)):
+                    with fs.open_output_stream(f"{at}.{suffix}") as f:
+                        f.write(body)
+                sizes.append(len(blob))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return written(per.mapInArrow(write, "name string, bytes long"), "signal-files")
+
+
 def encode_signals(signals: DataFrame, gain: float = 1000.0, path: str = "record") -> DataFrame:
     """The inverse of ingest for fixtures: rows ``(path, content)`` of header and data files.
 

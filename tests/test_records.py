@@ -37,6 +37,20 @@ def test_restricted_labels_keep_their_order(recs):
     assert [(r["label"], r["y"]) for r in got] == [("STTC", 0), ("NORM", 1)]
 
 
+def test_dictionary_table_of_any_length(spark, recs, statements):
+    """Names stay a table: far more than a list may hold, with repeats and a NULL."""
+    many = statements.select("label").unionByName(spark.range(0, 20_000).select(F.concat(F.lit("L"), "id").alias("label")))
+    many = many.unionByName(many.limit(50)).unionByName(spark.createDataFrame([(None,)], "label string"))
+    dense = records.label_presence(recs.where("record_id < 2"), many)
+    got = dense.agg(F.count(F.lit(1)), F.sum("y"), F.max("ordinal"), F.count_distinct("label")).first()
+    assert tuple(got) == (2 * 20_007, 3, 20_006, 20_007)
+    listed = records.label_presence(recs, NAMES).select("record_id", "ordinal", "label", "y")
+    tabled = records.label_presence(recs, statements).select("record_id", "ordinal", "label", "y")
+    assert sorted(listed.collect()) == sorted(tabled.collect())
+    assert records.unlabelled(recs, statements.where("label in ('PVC', 'NORM')")).count() == 8
+    assert records.unlabelled(recs, statements.limit(0)).count() == 12
+
+
 def test_dictionary_limit(statements):
     with pytest.raises(ValueError, match="label_positives"):
         records.dictionary(statements, limit=3)
