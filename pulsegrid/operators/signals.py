@@ -185,13 +185,14 @@ def fit_scaler(signals: DataFrame, by: Sequence[str] = ("fs", "notch", "source")
     fields = [T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType())]
     prints = fingerprint_parts("record_id", "lead")
     schema = T.StructType([*kinds, *fields, *[T.StructField(c, t) for c, (_, t) in prints.items()]])
+    n_keys, n_prints = len(by), len(prints)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         for batch in batches:
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * batch.num_rows
-            lists = batch.column(len(by))
-            marks = [batch.column(len(by) + 1 + i).to_pylist() for i in range(len(prints))]
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)])) if n_keys else [()] * batch.num_rows
+            lists = batch.column(n_keys)
+            marks = [batch.column(n_keys + 1 + i).to_pylist() for i in range(n_prints)]
             for row, key in enumerate(keys):
                 values = lists[row].values
                 x = np.zeros(0) if values is None else values.drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -206,7 +207,7 @@ def fit_scaler(signals: DataFrame, by: Sequence[str] = ("fs", "notch", "source")
                 at[3:] = fingerprint_merge(at[3:], [m[row] for m in marks])
         if held:
             columns = [pa.array([k[i] for k in held], f.type) for i, f in enumerate(to_arrow_schema(T.StructType(kinds)))]
-            rest = to_arrow_schema(T.StructType(list(schema)[len(by):]))
+            rest = to_arrow_schema(T.StructType(list(schema)[n_keys:]))
             columns += [pa.array([v[i] for v in held.values()], f.type) for i, f in enumerate(rest)]
             yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
 
