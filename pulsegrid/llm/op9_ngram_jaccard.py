@@ -60,6 +60,8 @@ DEVIATIONS, SURPLUS = 8, 8
 EMIT_ROWS = 1 << 17
 #: Draws of random leaders: a text among many similar ones meets about as many of them.
 DRAWS = 8
+#: Bits of a place in a text's order, and of the number of a row that a text has once.
+PLACE_BITS, SLOT_BITS = 32, 4
 #: Bits of the parity sketch of a text, and texts sketched at once.
 SKETCH, SKETCHED = 512, 4096
 SIGN = np.int64(-(1 << 63))
@@ -147,16 +149,19 @@ def parity_sketches(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, late, k: int, percent: int) -> DataFrame:
-    """``(token, node, n, i, sketch)``: the prefix shingles of each distinct text of a task and their places in its order.
+    """``(token, node, held)``: the prefix shingles of each distinct text of a task; ``held`` is its size and the shingle's place.
 
-    A row with a negative token, the node with its sign bit set, carries the size and the sketch; others have no sketch.
+    Rows with a negative token carry what a text has once: its low bits say which,
+    0 the size, the others a word of the sketch.  Three numbers per row, since this is the largest shuffle.
     """
-    words = pa.list_(pa.int64())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bitmap = late.value
-        names = ["token", "node", "n", "i", "sketch"]
+
+        def rows(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "held"])
+
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             for i, j, data, offs in kernels.slices(batch.column(1)):
@@ -173,18 +178,14 @@ def prefixes(texts: DataFrame, late, k: int, percent: int) -> DataFrame:
                 take = fresh[d] & (place < size[d])
                 token, who, place = h[take].astype(np.int64), d[take], place[take]
                 for s in range(0, len(token), EMIT_ROWS):
-                    t, w, q = token[s : s + EMIT_ROWS], who[s : s + EMIT_ROWS], place[s : s + EMIT_ROWS]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(t), pa.array(own[w]), pa.array(n[w].astype(np.int32)), pa.array(q.astype(np.int32)), pa.nulls(len(t), words)], names=names
-                    )
+                    w = who[s : s + EMIT_ROWS]
+                    yield rows(token[s : s + EMIT_ROWS], own[w], (n[w] << PLACE_BITS) | place[s : s + EMIT_ROWS])
                 w = np.flatnonzero(fresh)
-                sketch = parity_sketches(h, d, j - i)[w]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[w] | SIGN), pa.array(own[w]), pa.array(n[w].astype(np.int32)), pa.array(np.zeros(len(w), np.int32)), lists], names=names
-                )
+                once = np.concatenate([n[w][:, None], parity_sketches(h, d, j - i)[w]], axis=1)
+                slot = np.arange(once.shape[1])
+                yield rows(((own[w] << SLOT_BITS)[:, None] | slot | SIGN).reshape(-1), np.repeat(own[w], len(slot)), once.reshape(-1))
 
-    return texts.mapInArrow(emit, "token long, node long, n int, i int, sketch array<long>")
+    return texts.mapInArrow(emit, "token long, node long, held long")
 
 
 def full_sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -261,22 +262,36 @@ def links(texts: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFra
     """
     spark = texts.sparkSession
     late = spark.sparkContext.broadcast(common_shingles(texts, k))
-    # one shuffle brings the rows of a shingle together; those met in one text only are not kept
+    # one shuffle brings the rows of a shingle together; those met in one text only are not kept.
+    # It is stated, so that it moves the rows as they are and not what the window computes from them.
     one = Window.partitionBy("token")
-    chance = F.struct("h", "node", "n", "i")
+    place = f"held % {1 << PLACE_BITS}"
+    early = F.min(F.expr(f"struct({place} as i, xxhash64(node, token % {DRAWS}) as h, node, held)")).over(one)
+    drawn = F.min(F.expr(f"struct(xxhash64(node, token % {DRAWS}) as h, node, held)")).over(one)
     shared = written(
-        prefixes(texts, late, k, percent)
-        .withColumn("h", F.xxhash64("node", F.expr(f"token % {DRAWS}")))
-        .withColumns({"early": F.min(F.struct("i", "h", "node", "n")).over(one), "drawn": F.min(chance).over(one), "last": F.max("node").over(one), "first": F.min("node").over(one)})
-        .where("token < 0 or first <> last").drop("first", "last"), "shared",
+        prefixes(texts, late, k, percent).repartition("token")
+        .withColumns({"early": early, "drawn": drawn, "first": F.min("node").over(one), "last": F.max("node").over(one)})
+        .where("token < 0 or first <> last")
+        .select("token", "node", "held", *[F.when(F.col("token") >= 0, F.col(f"{c}.{f}")).alias(f"{c}_{f}") for c in ("early", "drawn") for f in ("node", "held")]),
+        "shared",
+    )
+    slot = F.expr(f"cast(token & {(1 << SLOT_BITS) - 1} as int)")
+    words = [F.max(F.when(F.col("slot") == c, F.col("held"))) for c in range(SKETCH // 64 + 1)]
+    sketches = written(
+        shared.where("token < 0").select("node", "held", slot.alias("slot")).groupBy("node").agg(words[0].cast("int").alias("n"), F.array(*words[1:]).alias("sketch")),
+        "sketches",
+    )
+    held = lambda c, n, i: [F.shiftright(c, PLACE_BITS).cast("int").alias(n), F.expr(f"cast({c} % {1 << PLACE_BITS} as int)").alias(i)]
+    s = shared.where("token >= 0").distinct().select(
+        "token", "node", *held("held", "n", "i"), "early_node", *held("early_held", "early_n", "early_i"), "drawn_node", *held("drawn_held", "drawn_n", "drawn_i")
     )
-    sketches = written(shared.where("token < 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-    s = shared.where("token >= 0").drop("sketch").distinct()
 
     a, b = "least(n, m)", "greatest(n, m)"
     alike = f"100 * {a} >= {percent} * {b}"
     met = f"least(n - i, m - j) >= {overlap(percent, 'n', 'm')}"  # if the shingle is the first that both have
-    leader = F.explode(F.array(F.struct("early.node", "early.n", "early.i"), F.struct("drawn.node", "drawn.n", "drawn.i")))
+    leader = F.explode(F.array(*[
+        F.struct(F.col(f"{c}_node").alias("node"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_i").alias("i")) for c in ("early", "drawn")
+    ]))
     stars = (
         s.select("node", "n", "i", leader.alias("l"))
         .select("node", "n", "i", F.col("l.node").alias("o"), F.col("l.n").alias("m"), F.col("l.i").alias("j"))
