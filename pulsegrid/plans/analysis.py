@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis, inference, ranking
+from ..functions.exprs import set_fingerprint
 from ..operators.prefix import Layout
+from ..session import scratch_dir
+from ..sources import manifests
 from . import bindings as b
 from .registry import ENSEMBLE, N_BOOT, ap_cte, auroc_cte, query, rnd, weighted_ap_cte, weighted_auroc_cte, weights_cte, with_
+from .runs import _fp_sql
 
 GATE_POINT = 0.8
 _SCOPE = "analysis, family, endpoint"
@@ -130,6 +134,33 @@ def stage0_gate(spark, sf):
     )
 
 
+@query("scan_run_manifests", with_(
+    b.DESIGN_RUNS, f"recs AS (SELECT {_fp_sql('doc_id::VARCHAR')} AS fp, count(*) FILTER (doc_id % 10 < 8) AS n_train, count(*) FILTER (doc_id % 10 = 8) AS n_val FROM labels)",
+) + """
+SELECT run_id, block, fs, arm, notch, source, seed::INT AS seed, CASE WHEN block = 0 THEN 'macro_all' ELSE 'macro_clean' END AS selection,
+       1 AS version, 100 AS epochs, CASE WHEN block = 0 THEN fs ELSE 500 END AS scaler_fs, fp AS fingerprint, n_train AS n_train_records, n_val AS n_val_records,
+       false AS reduced_run FROM design, recs""")
+def scan_run_manifests(spark, sf):
+    path = scratch_dir(spark, "runs")
+    ids = b.table(spark, sf, "labels").select("doc_id")
+    recs = ids.agg(
+        set_fingerprint("doc_id").alias("fingerprint"), F.count_if(F.col("doc_id") % 10 < 8).alias("n_train_records"),
+        F.count_if(F.col("doc_id") % 10 == 8).alias("n_val_records"),
+    )
+    selection = F.when(F.col("block") == 0, "macro_all").otherwise("macro_clean")
+    run = F.struct("run_id", "block", "fs", "arm", "notch", "source", "seed", selection.alias("selection"))
+    train = F.struct(F.lit(100).alias("epochs"), F.lit(64).alias("batch_size"), F.lit(0.001).alias("lr"), F.lit(0.001).alias("weight_decay"))
+    scaler = F.struct(F.when(F.col("block") == 0, F.col("fs")).otherwise(500).alias("fs"), F.lit(True).alias("notch"), F.lit("hr").alias("source"))
+    rows = b.design_runs(spark, sf).crossJoin(F.broadcast(recs))  # one row
+    manifests.write_run_manifests(rows.select(
+        run.alias("run"), train.alias("train"), scaler.alias("scaler"), "fingerprint", "n_train_records", "n_val_records", F.lit(False).alias("reduced_run")
+    ), path)
+    return manifests.read_run_manifests(spark, path).select(
+        "run_id", "block", "fs", "arm", "notch", "source", "seed", "selection", "version", "train.epochs", F.col("scaler.fs").alias("scaler_fs"),
+        "fingerprint", "n_train_records", "n_val_records", "reduced_run",
+    )
+
+
 # --- other metrics under the shared resample ---------------------------------------------
 
 _OTHER = with_(

@@ -12,7 +12,7 @@ from ..functions import kernels
 from ..functions.exprs import grid_status, set_fingerprint
 from ..operators import signals as S
 from ..session import scratch_dir
-from ..sources import signals as store, tables
+from ..sources import manifests, signals as store, tables
 from . import bindings as b
 from .registry import query, rnd, with_
 from .runs import _fp_sql
@@ -98,6 +98,23 @@ def signal_store_read(spark, sf):
     return _values(got.withColumn("samples", F.col("samples").cast("array<double>")), "record_id", "lead")
 
 
+@query("store_environment", """
+SELECT 'hr_fs' || fs || '_notch0' AS store, 4::BIGINT AS n_packages, CASE WHEN fs = 20 THEN 1 ELSE 0 END::BIGINT AS n_changed,
+       CASE WHEN fs = 20 THEN DATE '2020-01-02' END AS built_on FROM (SELECT unnest([20, 40]) AS fs)""")
+def store_environment(spark, sf):
+    """One of the two sidecars is replaced by that of an older build."""
+    root, _ = _stored(spark, sf)
+    older = manifests.current_environment(spark) | {"numpy": "1.0.0"}
+    spark.createDataFrame([older]).withColumn("built_at", F.lit("2020-01-02 03:04:05").cast("timestamp")).coalesce(1).write.mode("overwrite").json(
+        f"{root}/environment/hr_fs{LOW_FS}_notch0"
+    )
+    report = manifests.environment_report(spark, root)
+    return report.groupBy("store").agg(
+        F.count(F.lit(1)).alias("n_packages"), F.count_if(~F.col("same")).alias("n_changed"),
+        F.min(F.when(F.col("built_on") < F.current_date(), F.col("built_on"))).alias("built_on"),
+    )
+
+
 @query("store_recompute", with_(b.SIG) + "SELECT count(*) AS n_rows, 0::BIGINT AS n_incomparable, 0.0::DOUBLE AS max_abs_diff FROM sig")
 def store_recompute(spark, sf):
     root, ids = _stored(spark, sf)

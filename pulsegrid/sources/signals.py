@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import platform
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import format16
 from ..functions.exprs import set_fingerprint
 from ..session import written
+from .manifests import current_environment
 from .tables import list_files
 
 STORE_VERSION = 1
@@ -216,9 +216,7 @@ def write_signals(signals: DataFrame, root: str, *, source: str, fs: int, notch:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{root}/signals")
     name = f"{source}_fs{fs}_notch{int(notch)}"
     spark.createDataFrame([want], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{name}")
-    versions = {
-        "python": platform.python_version(), "numpy": np.__version__, "pandas": pd.__version__, "spark": spark.version,
-    }
+    versions = current_environment(spark)
     spark.createDataFrame([versions]).withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode(
         "overwrite"
     ).json(f"{root}/environment/{name}")
