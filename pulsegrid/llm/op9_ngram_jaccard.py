@@ -63,7 +63,7 @@ DRAWS = 8
 #: Bits of a place in a text's order, and of the number of a row that a text has once.
 PLACE_BITS, SLOT_BITS = 32, 4
 #: Bits of the parity sketch of a text, and texts sketched at once.
-SKETCH, SKETCHED = 512, 4096
+SKETCH, SKETCHED = 512, 512
 SIGN = np.int64(-(1 << 63))
 #: Bits per wanted node in the bitmap that spares the cluster a shuffle of texts, and its largest size.
 BITS_PER_NODE, MAX_BITS = 16, 1 << 27
