@@ -103,6 +103,7 @@ def resample(signals: DataFrame, target_fs: int, source_fs: int = SOURCE_FS, rat
     """Rational resampling from the source rate; identity is a cast."""
     if target_fs not in rates:
         raise ValueError(f"rate not in the protocol: {target_fs}")
+    check_rates(rates, source_fs)
     up, down = kernels.rate_factors(source_fs, target_fs)
     return map_samples(signals, lambda x: kernels.resample(x, up, down), element)
 
@@ -112,6 +113,7 @@ def preprocess(signals: DataFrame, target_fs: int, notch: bool = True, source_fs
     """Notch, then resampling, float64 inside and float32 out, in one pass over the rows."""
     if target_fs not in rates:
         raise ValueError(f"rate not in the protocol: {target_fs}")
+    check_rates(rates, source_fs)
     up, down = kernels.rate_factors(source_fs, target_fs)
 
     def both(x: np.ndarray) -> np.ndarray:

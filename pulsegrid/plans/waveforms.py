@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.exprs import grid_status, set_fingerprint
+from ..functions.exprs import epoch_seed, grid_status, set_fingerprint
 from ..operators import signals as S
 from ..session import scratch_dir
 from ..sources import manifests, signals as store, tables
@@ -181,6 +181,12 @@ def seeded_crop(spark, sf):
     return _window_rows(S.seeded_crop(b.sig(spark, sf, FS), 7, 3, RECORD_DS, WINDOW_DS))
 
 
+@query("epoch_seed", """
+SELECT event_id, ('0x' || substr(md5(user_id || ':' || event_id % 100), 1, 15))::BIGINT % 2147483646 + 1 AS seed FROM events""")
+def epoch_seeds(spark, sf):
+    return b.table(spark, sf, "events").select("event_id", epoch_seed("user_id", F.col("event_id") % 100).alias("seed"))
+
+
 # --- scaler -------------------------------------------------------------------------------------------
 
 _SCALER = f"""
