@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,34 @@ def test_op9_thresholds_are_exact(spark):
     assert got[2] == 1 and got[6] == 5
 
 
+def test_op9_one_large_cluster_around_the_threshold(spark):
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = {i: c for i, _, c in classes_of(rows)}
+    assert 20 < len(set(want.values())) < 100
+    assert {r.doc_id: r.component_id for r in op9.classes(frame(spark, rows)).collect()} == want
+
+
+def test_op9_sketches_bound_what_two_sets_do_not_share():
+    rnd = random.Random(12)
+    sets = [sorted(rnd.sample(range(1 << 40), rnd.randrange(0, 300))) for _ in range(40)]
+    sets += [sorted(set(s[: len(s) // 2]) | set(rnd.sample(range(1 << 40), 9))) for s in sets]
+    h = np.array([x for s in sets for x in s], dtype=np.uint64)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    words = op9.parity_sketches(h, doc, len(sets))
+    assert words.shape == (len(sets), op9.SKETCH // 64)
+    for i in range(len(sets)):
+        for j in range(i):
+            apart = sum(int(a ^ b).bit_count() for a, b in zip(words[i].view("<u8"), words[j].view("<u8")))
+            assert apart <= len(set(sets[i]) ^ set(sets[j])) and (apart == 0) == (set(sets[i]) == set(sets[j]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 450)], "x long, y long")
     got = {r.node: r.label for r in components(edges).collect()}
