@@ -2,171 +2,172 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.exprs import hex60, is_finite
+from ..functions.exprs import is_finite
 from ..session import written
 from .prefix import RANGE, Layout, dense_index, lookup_join, range_cuts, range_layout, running, running_max, with_range
-from .ranking import accuracy_at, across_ranges, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen
-
-#: Records of a label and score range that a task holds, and draws it may hold for each of its blocks of records.
-RECORDS_PER_TASK = 32_768
-DRAWS_PER_BLOCK = 1_000_000
-#: Replicates evaluated at once inside a task.
-WIDTH = 128
-#: Draws generated per task.
-DRAWS_PER_TASK = 4_000_000
+from .ranking import accuracy_at, auroc, auroc_from_counts, ensemble, label_scores, mark_frozen
+
+#: Cells of a run, label and score range that travel as one row.
+CELLS_PER_PIECE = 32_768
+#: Bytes of weights a task may hold: one per record and replicate of its block.
+WEIGHTS_PER_TASK = 1 << 27
+#: Weights evaluated at once inside a task.
+WEIGHTS_AT_ONCE = 1 << 21
+#: Digests made at once; each gives two draws.
+DIGESTS_AT_ONCE = 1 << 18
+#: Partitions per block of replicates, so that few blocks meet in one.
+PARTITIONS_PER_BLOCK = 8
+#: Records whose weights travel as one row.
+RECORDS_PER_ROW = 4_096
 #: The replicate that holds every record once.
 POINT = -1
 
 
 # --- L2: one resample for every run and group ----------------------------------------
 
-def draw_slots(spark: SparkSession, n: int, n_boot: int, seed: int = 0) -> DataFrame:
-    """``(rep, idx)``: ``n`` draws with replacement from ``0..n-1`` per replicate.
+def replicate_weights(n: int, reps: Sequence[int], seed: int = 0) -> np.ndarray:
+    """``(record, replicate)``: how often each of ``n`` positions is drawn in ``n`` draws with replacement.
 
-    A draw is a function of ``(seed, rep, slot)`` alone; one md5 gives two.
+    A draw is a function of ``(seed, rep, slot)`` alone, so a task that owns a
+    replicate makes its draws by itself; one md5 gives two.
     """
+    weights = np.zeros((n, len(reps)), dtype=np.uint8)
+    md5 = partial(hashlib.md5, usedforsecurity=False)
     half = (n + 1) // 2
-    total = n_boot * half
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK))
-    base = spark.range(0, total, 1, tasks).select(
-        F.expr(f"id div {half}").alias("rep"), (F.col("id") % half).alias("h")
-    )
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("h").cast("string")))
-    return (
-        base.select("rep", "h", digest.alias("d"))
-        .select("rep", "h", F.posexplode(F.array(hex60(F.col("d"), 0), hex60(F.col("d"), 15))).alias("k", "draw"))
-        .where(F.col("h") * 2 + F.col("k") < n)
-        .select("rep", F.pmod("draw", F.lit(n)).alias("idx"))
-    )
+    for lo in range(0, half, DIGESTS_AT_ONCE):
+        slots = [b"%d" % h for h in range(lo, min(lo + DIGESTS_AT_ONCE, half))]
+        for j, rep in enumerate(reps):
+            name = b"%d:%d:" % (seed, rep)
+            high, low = np.frombuffer(b"".join([md5(name + s).digest() for s in slots]), ">u8").astype(np.uint64).reshape(-1, 2).T
+            # hex digits 0-14 and 15-29
+            pair = np.stack([high >> 4, (high & 15) << 56 | low >> 8], axis=1).reshape(-1)[: n - 2 * lo]
+            at, times = np.unique((pair % np.uint64(n)).astype(np.int64), return_counts=True)
+            weights[at, j] += times.astype(np.uint8)
+    if n and (weights.sum(axis=0, dtype=np.int64) != n).any():
+        raise OverflowError("a record was drawn more than 255 times")
+    return weights
 
 
-def index_weights(spark: SparkSession, n: int, n_boot: int, seed: int = 0) -> DataFrame:
-    """``(rep, idx, w)``: how often each record position was drawn."""
-    return draw_slots(spark, n, n_boot, seed).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
+def block_width(spark: SparkSession, n: int, n_boot: int) -> int:
+    """Replicates of a block: every core gets a task, and the weights of a block fit one."""
+    return max(1, min(-(-n_boot // (2 * spark.sparkContext.defaultParallelism)), WEIGHTS_PER_TASK // max(1, n)))
 
 
 def bootstrap_weights(records: DataFrame, n_boot: int, seed: int = 0, key: str = "record_id") -> DataFrame:
-    """``(rep, key, w)`` over the distinct records; positions follow the order of the key."""
-    ids = records.select(key).distinct()
+    """``(rep, key, w)`` over the distinct records; positions follow the order of the key.
+
+    Weights meet the keys as rows of ``RECORDS_PER_ROW`` records and a block of
+    replicates, one byte each, and are opened after that.
+    """
+    spark = records.sparkSession
+    ids = written(records.select(key).distinct(), "records")
     n = ids.count()
-    numbered = dense_index(ids, key)
-    return index_weights(records.sparkSession, n, n_boot, seed).join(numbered, "idx").select("rep", key, "w")
+    width = block_width(spark, n, n_boot)
+    n_blocks = -(-n_boot // width)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                first = block * width
+                weights = replicate_weights(n, range(first, min(first + width, n_boot)), seed)
+                for lo in range(0, n, RECORDS_PER_ROW):
+                    body = np.ascontiguousarray(weights[lo : lo + RECORDS_PER_ROW].T)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lo // RECORDS_PER_ROW], pa.int64()), pa.array([first], pa.int64()), pa.array([body.tobytes()], pa.binary())],
+                        names=["place", "first", "w"],
+                    )
+
+    weights = spark.range(0, n_blocks, 1, n_blocks).mapInArrow(made, "place long, first long, w binary")
+    keys = dense_index(ids, key).groupBy(F.expr(f"idx div {RECORDS_PER_ROW}").alias("place")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", F.col(key).alias("k")))).alias("held")  # RECORDS_PER_ROW at most
+    ).select("place", F.col("held.k").alias("k"))
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField(key, ids.schema[key].dataType), T.StructField("w", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, body, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                w = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, len(held.values))
+                rep, at = np.nonzero(w)
+                columns = [pa.array(first + rep), held.values.take(pa.array(at)), pa.array(w[rep, at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return weights.join(keys, "place").select("first", "w", "k").mapInArrow(opened, schema)
 
 
 # --- draws of the rank statistics --------------------------------------------------------
 
-def weight_rows(spark: SparkSession, n: int, n_boot: int, seed: int, chunk: int) -> DataFrame:
-    """``(idx, chunk, w)``: how often a record was drawn in each replicate of a block, two bytes each."""
-    held = max(1, DRAWS_PER_BLOCK // chunk)
-    cell = (F.col("idx") % held * chunk + F.col("rep") % chunk).cast("int")
-    draws = draw_slots(spark, n, n_boot, seed).select(
-        F.expr(f"idx div {held}").cast("int").alias("block"), F.expr(f"rep div {chunk}").cast("int").alias("chunk"), cell.alias("cell")
-    )
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        first = key[0].as_py() * held
-        size = min(held, n - first)
-        w = np.bincount(table["cell"].to_numpy(), minlength=size * chunk)
-        if w.max() > np.iinfo(np.uint16).max:
-            raise OverflowError("a record was drawn more than 65,535 times")
-        body = w.astype("<u2").reshape(size, chunk)
-        return pa.table({
-            "idx": pa.array(np.arange(first, first + size)), "chunk": pa.array([key[1].as_py()] * size, pa.int32()),
-            "w": pa.array([r.tobytes() for r in body], pa.binary()),
-        })
-
-    return draws.groupBy("block", "chunk").applyInArrow(count, "idx long, chunk int, w binary")
-
-
 class Resample(NamedTuple):
-    """Predictions beside the weights of a block of replicates, one row per record, label, score range and block."""
+    """Predictions in pieces: the cells of a run and label in one score range, in the order of their scores."""
 
-    rows: DataFrame
+    pieces: DataFrame
     runs: DataFrame
     by: tuple[str, ...]
     label: T.StructField
+    n: int
     n_boot: int
-    chunk: int
-    cuts: tuple[float, ...]
+    seed: int
+    width: int
+
+
+def _pack(key: tuple, table: pa.Table) -> pa.Table:
+    """One row of a group: record numbers by score, four bytes each, then a bit for the positives and one for each new score."""
+    score = table["score"].to_numpy()
+    order = np.argsort(score, kind="stable")
+    score = score[order]
+    positive = table["y"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)[order]
+    body = {"idx": table["idx"].to_numpy()[order].astype(np.int32), "positive": np.packbits(positive), "new": np.packbits(np.append(True, np.diff(score) != 0))}
+    return pa.table(
+        {c: pa.array([k.as_py()], k.type) for c, k in zip(("label", "_run", RANGE), key)}
+        | {c: pa.array([v.tobytes()], pa.binary()) for c, v in body.items()}
+    )
 
 
 def resample(preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None) -> Resample:
     """The shared resample over ``(by…, record_id, label, y, score)``, one form for all sizes.
 
-    The scores of all runs of a record and label travel as one array, so weights
-    move once per record, label and block of replicates, however many runs there
-    are, and predictions once per block; a block is as wide as leaves every core a
-    task.  Score ranges keep a task to about ``RECORDS_PER_TASK`` records; ``cuts``
-    steer balance only and come from a sketch of the scores unless given.  A NULL or
-    NaN score is refused.  Records may have keys of any orderable type.
+    Draws need no table, so weights never move: a task makes those of its block of
+    replicates and reads the predictions past them.  What moves is a little over
+    four bytes per prediction and block, and there are twice as many blocks as
+    cores unless a block's weights outgrow ``WEIGHTS_PER_TASK``.  Score ranges keep a
+    piece to about ``CELLS_PER_PIECE`` cells; ``cuts`` steer balance only and come from
+    a sketch of the scores unless given.  A NULL or NaN score is refused.  Records may
+    have keys of any orderable type.
     """
     spark = preds.sparkSession
-    seen = preds.agg(
-        F.count_distinct("record_id").alias("n"), F.count(F.lit(1)).alias("cells"), F.approx_count_distinct("label").alias("labels")
-    ).first()
-    n = seen["n"]
+    by = tuple(by)
+    known = F.when(F.col("score").isNull() | F.isnan("score"), F.raise_error(F.lit("a score is undefined"))).otherwise(F.col("score"))
+    cells = written(preds.select("record_id", "label", *by, (F.col("y") > 0).alias("y"), known.cast("double").alias("score")), "cells")
+    ids = cells.select("record_id").where("record_id is not null").distinct()
+    n = ids.count()
     if not n:
         raise ValueError("no predictions to resample")
     if cuts is None:
-        ranges = -(-n // RECORDS_PER_TASK)
-        cuts = range_cuts(preds, "score", rows_per_range=max(1, seen["cells"] // ranges)) if ranges > 1 else ()
-    cuts = tuple(cuts)
-    tasks = max(1, seen["labels"]) * (len(cuts) + 1)
-    chunk = max(1, -(-n_boot // max(1, -(-2 * spark.sparkContext.defaultParallelism // tasks))))
-
-    by = tuple(by)
+        ranges = -(-n // CELLS_PER_PIECE)
+        cuts = range_cuts(cells, "score", rows_per_range=max(1, cells.count() // ranges)) if ranges > 1 else ()
     # as many rows as there are runs
-    runs = preds.select(*by).distinct().withColumn("_run", F.row_number().over(Window.orderBy(*by or [F.lit(0)])) - 1)
-    known = F.when(F.col("score").isNull() | F.isnan("score"), F.raise_error(F.lit("a score is undefined"))).otherwise(F.col("score"))
-    left = preds.select("record_id", "label", *by, (F.col("y") > 0).alias("y"), known.cast("double").alias("score"))
-    same = [left[c].eqNullSafe(runs[c]) for c in by]
-    named = (left.join(runs, same) if by else left.crossJoin(runs)).select("record_id", "label", "_run", "y", "score")
+    runs = cells.select(*by).distinct().withColumn("_run", F.row_number().over(Window.orderBy(*by or [F.lit(0)])) - 1)
+    same = [cells[c].eqNullSafe(runs[c]) for c in by]
+    named = (cells.join(runs, same) if by else cells.crossJoin(runs)).select("record_id", "label", "_run", "y", "score")
     named = with_range(named, "score", cuts) if cuts else named.withColumn(RANGE, F.lit(0))
-    numbered = dense_index(preds.select("record_id").where("record_id is not null").distinct(), "record_id")
-    packed = named.join(numbered, "record_id").groupBy("idx", "label", RANGE).agg(
-        F.collect_list(F.struct("_run", "y", "score")).alias("c")  # a record's runs
-    )
-    cells = packed.select("idx", "label", RANGE, F.col("c._run").alias("run"), F.col("c.y").alias("y"), F.col("c.score").alias("score"))
-    rows = cells.join(weight_rows(spark, n, n_boot, seed, chunk), "idx").drop("idx")
-    return Resample(rows, runs, by, T.StructField("label", preds.schema["label"].dataType), n_boot, chunk, cuts)
-
-
-class _Held:
-    """The rows of one task: a weight per row and replicate, and the cells of each run."""
-
-    def __init__(self, table: pa.Table, chunk: int) -> None:
-        w = table["w"].combine_chunks()
-        start = np.frombuffer(w.buffers()[1], np.int32)[w.offset]
-        self.weights = np.frombuffer(w.buffers()[2], "<u2", count=len(w) * chunk, offset=int(start)).reshape(len(w), chunk)
-        lists = table["run"].combine_chunks()
-        flat = lambda c: table[c].combine_chunks().flatten()
-        run = lists.flatten().to_numpy()
-        order = np.argsort(run, kind="stable")
-        self.row = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())[order]
-        self.positive = flat("y").fill_null(False).to_numpy(zero_copy_only=False)[order]
-        self.score = flat("score").to_numpy()[order]
-        self.cut = np.flatnonzero(np.append(True, np.diff(run[order]) != 0))
-        self.runs = run[order][self.cut]
-
-    def each(self):
-        """``(row, positive, score)`` of every run."""
-        for a, b in zip(self.cut, [*self.cut[1:], len(self.row)]):
-            yield self.row[a:b], self.positive[a:b], self.score[a:b]
-
-    def blocks(self, live: int, point: bool):
-        """``(columns, weights)`` of some replicates at a time, and of the one that holds every record once."""
-        for c in range(0, live, WIDTH):
-            to = slice(c, min(c + WIDTH, live))
-            yield to, self.weights[:, to].astype(np.int64)
-        if point:
-            yield slice(live, live + 1), np.ones((len(self.weights), 1), dtype=np.int64)
+    numbered = dense_index(ids, "record_id").select("record_id", F.col("idx").cast("int").alias("idx"))
+    label = T.StructField("label", preds.schema["label"].dataType)
+    schema = T.StructType([
+        label, T.StructField("_run", T.IntegerType()), T.StructField(RANGE, T.IntegerType()),
+        *[T.StructField(c, T.BinaryType()) for c in ("idx", "positive", "new")],
+    ])
+    pieces = named.join(numbered, "record_id").select("label", "_run", RANGE, "idx", "y", "score").groupBy("label", "_run", RANGE).applyInArrow(_pack, schema)
+    return Resample(pieces, runs, by, label, n, n_boot, seed, block_width(spark, n, n_boot))
 
 
 def _summed(w: np.ndarray) -> np.ndarray:
@@ -176,69 +177,79 @@ def _summed(w: np.ndarray) -> np.ndarray:
     return out
 
 
-def _per_task(sample: Resample, columns: Sequence[str], kernel: Callable, with_point: bool, lower: DataFrame | None = None) -> DataFrame:
-    """``(label, range, _run, rep, columns…)`` of every task; ``kernel(w, rows, positive, score, lower)`` gives one array per column."""
-    kinds = {"long": (pa.int64(), T.LongType()), "double": (pa.float64(), T.DoubleType())}
-    named = [c.split() for c in columns]
+def _replicates(sample: Resample, columns: Sequence[str], kernel: Callable, point: bool) -> DataFrame:
+    """``(label, _run, rep, n_pos, n_neg, columns…)``: sums over the pieces of each run and label, highest scores first.
+
+    ``kernel(w, positive, rank, n_pos, n_neg)`` gives one array of replicates per
+    column, class totals first; ``n_pos`` and ``n_neg`` are the totals of the higher pieces.
+    """
+    kinds = {"long": (np.int64, T.LongType()), "double": (np.float64, T.DoubleType())}
+    named = [c.split() for c in ("n_pos long", "n_neg long", *columns)]
     schema = T.StructType([
-        sample.label, T.StructField(RANGE, T.IntegerType()), T.StructField("_run", T.IntegerType()), T.StructField("rep", T.LongType()),
+        sample.label, T.StructField("_run", T.IntegerType()), T.StructField("rep", T.LongType()),
         *[T.StructField(c, kinds[k][1]) for c, k in named],
     ])
-    chunk, n_boot = sample.chunk, sample.n_boot
-
-    def evaluate(key: tuple, table: pa.Table, above: pa.Table | None = None) -> pa.Table:
-        first = key[1].as_py() * chunk
-        live = min(chunk, n_boot - first)
-        point = with_point and first == 0
-        held = _Held(table, chunk)
-        wide = live + point
-        offsets = None
-        if above is not None:  # positives and negatives of the higher ranges
-            offsets = np.zeros((2, len(held.runs), wide), dtype=np.int64)
-            run, rep = above["_run"].to_numpy(), above["rep"].to_numpy()
-            at = np.minimum(np.searchsorted(held.runs, run), len(held.runs) - 1)
-            ok = held.runs[at] == run
-            col = np.where(rep == POINT, live, rep - first)
-            for i, c in enumerate(("n_pos", "n_neg")):
-                offsets[i, at[ok], col[ok]] = above[c].to_numpy()[ok]
-        out = [np.zeros((len(held.runs), wide), dtype=np.float64 if k == "double" else np.int64) for _, k in named]
-        for to, w in held.blocks(live, point):
-            for i, (rows, positive, score) in enumerate(held.each()):
-                made = kernel(w, rows, positive, score, None if offsets is None else offsets[:, i, to])
-                for o, v in zip(out, made):
-                    o[i, to] = v
-        reps = np.append(np.arange(first, first + live), np.full(int(point), POINT))
-        size = len(held.runs) * len(reps)
-        cols = {
-            "label": pa.array([key[0].as_py()] * size, table.schema.field("label").type), RANGE: pa.array([key[2].as_py()] * size, pa.int32()),
-            "_run": pa.array(np.repeat(held.runs, len(reps)).astype(np.int32)), "rep": pa.array(np.tile(reps, len(held.runs))),
-        }
-        return pa.table(cols | {c: pa.array(o.reshape(-1), kinds[k][0]) for (c, k), o in zip(named, out)})
-
-    scope = ["label", "chunk", RANGE]
-    grouped = sample.rows.groupBy(*scope)
-    if lower is None:
-        return grouped.applyInArrow(lambda key, table: evaluate(key, table), schema)
-    chunk_of = F.when(F.col("rep") == POINT, 0).otherwise(F.expr(f"rep div {chunk}")).cast("int")
-    return grouped.cogroup(lower.withColumn("chunk", chunk_of).groupBy(*scope)).applyInArrow(
-        lambda key, table, above: evaluate(key, table, above), schema
-    )
+    arrow = to_arrow_schema(schema)
+    n, n_boot, seed, width = sample.n, sample.n_boot, sample.seed, sample.width
+    n_blocks = -(-n_boot // width)
+
+    def block(number: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's replicates and their weights, in the first one also the one that holds every record once."""
+        reps = np.arange(number * width, min((number + 1) * width, n_boot))
+        weights = replicate_weights(n, reps.tolist(), seed)
+        if point and number == 0:
+            return np.append(reps, POINT), np.append(weights, np.ones((n, 1), np.uint8), axis=1)
+        return reps, weights
+
+    def rows(key: tuple, reps: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        _, label, run = key
+        values = [[label] * len(reps), [run] * len(reps), reps, *sums]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = reps = weights = sums = None
+        for batch in batches:
+            body = {c: batch.column(c) for c in ("idx", "positive", "new")}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "label", "_run")))):
+                if key != at:
+                    if at is not None:
+                        yield rows(at, reps, sums)
+                    if at is None or at[0] != key[0]:
+                        weights = None  # the last block's go first
+                        reps, weights = block(key[0])
+                    at, sums = key, [np.zeros(len(reps), dtype=kinds[k][0]) for _, k in named]
+                idx = np.frombuffer(body["idx"][i].as_buffer(), np.int32)
+                bits = lambda c: np.unpackbits(np.frombuffer(body[c][i].as_buffer(), np.uint8), count=len(idx))  # noqa: B023, E731
+                positive, rank = bits("positive").astype(bool), np.cumsum(bits("new"))
+                drawn = weights[idx]
+                step = max(1, WEIGHTS_AT_ONCE // len(idx))
+                for lo in range(0, len(reps), step):
+                    to = slice(lo, lo + step)
+                    for total, made in zip(sums, kernel(drawn[:, to].astype(np.int64), positive, rank, sums[0][to].copy(), sums[1][to].copy())):
+                        total[to] += made
+        if at is not None:
+            yield rows(at, reps, sums)
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    dealt = sample.pieces.withColumn("block", blocks).repartition(n_blocks * PARTITIONS_PER_BLOCK, "block")
+    return dealt.sortWithinPartitions("block", "label", "_run", F.desc(RANGE)).mapInArrow(evaluate, schema)
 
 
 def _named(sample: Resample, values: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.join(sample.runs, "_run").select("rep", *sample.by, *columns)
 
 
-def _pairs(w, rows, positive, score, _):
+def _totals(w, positive, rank, above_pos, above_neg):
+    return w[positive].sum(axis=0), w[~positive].sum(axis=0)
+
+
+def _pairs(w, positive, rank, above_pos, above_neg):
     """Positives, negatives and twice the Mann-Whitney count in each replicate."""
-    pos, neg = rows[positive], rows[~positive]
-    high, low = score[positive], score[~positive]
-    order = np.argsort(low, kind="stable")
-    below = _summed(w[neg[order]])
-    wp = w[pos]
-    low = low[order]
+    below = _summed(w[~positive])
+    wp = w[positive]
+    high, low = rank[positive], rank[~positive]
     wins = below[np.searchsorted(low, high, "left")] + below[np.searchsorted(low, high, "right")]
-    return wp.sum(axis=0), below[-1], np.einsum("ij,ij->j", wp, wins)
+    return wp.sum(axis=0), below[-1], np.einsum("ij,ij->j", wp, wins) + 2 * above_pos * below[-1]
 
 
 def bootstrap_counts(
@@ -246,54 +257,31 @@ def bootstrap_counts(
 ) -> DataFrame:
     """``(rep, by…, label, n_pos, n_neg, u2)`` for every replicate; see :func:`resample`.
 
-    A task counts the pairs inside its score range; pairs across ranges are the
-    positives of a range times the negatives of the lower ones.  With ``point``, a
-    replicate -1 holds every record once.
+    Pairs inside a piece are counted there; pairs across pieces are the negatives of
+    a piece times the positives of the higher ones.  With ``point``, a replicate -1
+    holds every record once.
     """
     sample = resample(preds, by, n_boot, seed, cuts)
-    per = _per_task(sample, ("n_pos long", "n_neg long", "u2 long"), _pairs, point)
-    if sample.cuts:
-        per = across_ranges(per, ["rep", "_run", "label"])
-    return _named(sample, per, ["label", "n_pos", "n_neg", "u2"])
+    return _named(sample, _replicates(sample, ("u2 long",), _pairs, point), ["label", "n_pos", "n_neg", "u2"])
 
 
-def _precision(w, rows, positive, score, above):
-    """Sum, over the positives of a range, of weight times precision at their score."""
-    pos, neg = rows[positive], rows[~positive]
-    p_order, n_order = np.argsort(score[positive], kind="stable"), np.argsort(score[~positive], kind="stable")
-    high, low = score[positive][p_order], score[~positive][n_order]
-    wp = w[pos[p_order]]
-    lower_p, lower_n = _summed(wp), _summed(w[neg[n_order]])
-    tp = lower_p[-1] - lower_p[np.searchsorted(high, high, "left")]
-    fp = lower_n[-1] - lower_n[np.searchsorted(low, high, "left")]
-    if above is not None:
-        tp, fp = tp + above[0], fp + above[1]
-    return (np.where(wp > 0, wp * tp / np.maximum(tp + fp, 1), 0.0).sum(axis=0),)
-
-
-def _totals(w, rows, positive, score, _):
-    return w[rows[positive]].sum(axis=0), w[rows[~positive]].sum(axis=0)
+def _precision(w, positive, rank, above_pos, above_neg):
+    """Class totals, and the sum over the positives of a piece of weight times precision at their score."""
+    high, low = rank[positive], rank[~positive]
+    wp = w[positive]
+    lower_p, lower_n = _summed(wp), _summed(w[~positive])
+    tp = above_pos + lower_p[-1] - lower_p[np.searchsorted(high, high, "left")]
+    fp = above_neg + lower_n[-1] - lower_n[np.searchsorted(low, high, "left")]
+    return lower_p[-1], lower_n[-1], np.where(wp > 0, wp * tp / np.maximum(tp + fp, 1), 0.0).sum(axis=0)
 
 
 def bootstrap_precision(
     preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None, point: bool = False,
 ) -> DataFrame:
-    """``(rep, by…, label, n_pos, n_neg, auprc)``: average precision of every replicate, NULL unless both classes are drawn.
-
-    Class totals of each range and replicate come first; those of the higher ranges
-    are handed down to a range, whose positives then know their precision.
-    """
+    """``(rep, by…, label, n_pos, n_neg, auprc)``: average precision of every replicate, NULL unless both classes are drawn."""
     sample = resample(preds, by, n_boot, seed, cuts)
-    keys = ["label", "_run", "rep"]
-    totals = _per_task(sample, ("n_pos long", "n_neg long"), _totals, point)
-    above = None
-    if sample.cuts:
-        higher = Window.partitionBy(*keys).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
-        above = totals.select(*keys, RANGE, *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(c) for c in ("n_pos", "n_neg")])
-    steps = _per_task(sample, ("step double",), _precision, point, above).groupBy(*keys).agg(F.sum("step").alias("step"))
-    sizes = totals.groupBy(*keys).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    scored = sizes.join(steps, keys).withColumn("auprc", F.when(both, F.col("step") / F.col("n_pos")))
+    scored = _replicates(sample, ("step double",), _precision, point).withColumn("auprc", F.when(both, F.col("step") / F.col("n_pos")))
     return _named(sample, scored, ["label", "n_pos", "n_neg", "auprc"])
 
 
@@ -301,14 +289,11 @@ def bootstrap_accuracy(
     preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cuts: Sequence[float] | None = None, point: bool = False,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """``(rep, by…, right, total, accuracy)`` over all labels; ranges simply add up."""
-
-    def hits(w, rows, positive, score, _):
-        return w[rows[(score >= threshold) == positive]].sum(axis=0), w[rows].sum(axis=0)
-
-    sample = resample(preds, by, n_boot, seed, cuts)
-    sums = _per_task(sample, ("right long", "total long"), hits, point).groupBy("_run", "rep").agg(
-        F.sum("right").alias("right"), F.sum("total").alias("total")
+    """``(rep, by…, right, total, accuracy)`` over all labels: the drawn share of the cells that are right."""
+    right = (F.col("score").cast("double") >= threshold) == F.coalesce(F.col("y") > 0, F.lit(False))
+    sample = resample(preds.withColumn("y", right.cast("int")), by, n_boot, seed, cuts)
+    sums = _replicates(sample, (), _totals, point).groupBy("_run", "rep").agg(
+        F.sum("n_pos").alias("right"), F.sum(F.col("n_pos") + F.col("n_neg")).alias("total")
     )
     return _named(sample, sums.withColumn("accuracy", F.when(F.col("total") > 0, F.col("right") / F.col("total"))), ["right", "total", "accuracy"])
 

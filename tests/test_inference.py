@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -47,6 +49,47 @@ def test_weights_are_one_multinomial_per_replicate(spark):
     assert w.sort_values(key).values.tolist() == again.sort_values(key).values.tolist()
 
 
+def test_weights_are_counts_of_the_md5_draws(monkeypatch):
+    """Whatever is digested at once; the SQL's definition, one draw at a time."""
+    for n in (1, 2, 37, 300):
+        want = np.zeros((n, 3), dtype=int)
+        for j, rep in enumerate((0, 5, 11)):
+            for slot in range(n):
+                digest = hashlib.md5(f"7:{rep}:{slot // 2}".encode()).hexdigest()
+                want[int(digest[15 * (slot % 2) : 15 * (slot % 2) + 15], 16) % n, j] += 1
+        for at_once in (1, 16, 1 << 18):
+            monkeypatch.setattr(inference, "DIGESTS_AT_ONCE", at_once)
+            assert (inference.replicate_weights(n, (0, 5, 11), 7) == want).all()
+
+
+def test_no_draw_or_weight_is_shuffled(spark, preds, monkeypatch):
+    """What moves to a task are packed predictions; narrower blocks give the same counts."""
+    ens = ranking.ensemble(preds)
+    got = inference.bootstrap_counts(ens, ["grp"], N_BOOT, cuts=(0.3,))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and "md5" not in plan
+    key = lambda df: sorted(map(tuple, df.select("rep", "grp", "label", "n_pos", "n_neg", "u2").collect()))
+    whole = key(got)
+    monkeypatch.setattr(inference, "WEIGHTS_PER_TASK", 120)  # two replicates of 60 records
+    assert inference.block_width(spark, 60, N_BOOT) == 2
+    assert key(inference.bootstrap_counts(ens, ["grp"], N_BOOT, cuts=(0.3,))) == whole
+
+
+def test_weights_meet_their_records_across_rows_of_any_size(spark, monkeypatch):
+    """Blocks of records and replicates end anywhere; keys of any type keep their order."""
+    records = spark.range(0, 51).select(F.format_string("r%03d", F.col("id")).alias("k"))
+    want = inference.replicate_weights(51, range(9), 3)
+    want = sorted((r, f"r{i:03d}", int(want[i, r])) for i, r in np.ndindex(51, 9) if want[i, r])
+    plans = []
+    for per_row, held in ((4_096, 1 << 27), (7, 102)):
+        monkeypatch.setattr(inference, "RECORDS_PER_ROW", per_row)
+        monkeypatch.setattr(inference, "WEIGHTS_PER_TASK", held)
+        got = inference.bootstrap_weights(records, 9, 3, "k")
+        assert got.columns == ["rep", "k", "w"] and sorted(map(tuple, got.collect())) == want
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert all("md5" not in p for p in plans)  # no row per draw
+
+
 def test_counts_do_not_depend_on_ranges(preds):
     """Ranges give the integers of one range, and those of the weighted scan over one row per replicate."""
     ens = ranking.ensemble(preds)
