@@ -23,23 +23,25 @@ KEYS = ("source", "fs", "notch")
 MANIFEST = "version int, source string, fs int, notch boolean, n_records bigint, n_samples int, record_fingerprint string"
 
 
-def ingest_signals(files: DataFrame, n_leads: int | None = 12, n_samples: int | None = None) -> DataFrame:
+def ingest_signals(files: DataFrame, n_leads: int | DataFrame | None = 12, n_samples: int | None = None) -> DataFrame:
     """``(path, content)`` of header and data files to ``(stem, lead, lead_name, fs, samples)``.
 
     Headers and data meet on the path stem; decoding is row-local.  Wrong lead or
-    sample counts fail.
+    sample counts fail.  Records with different numbers of leads have theirs in a
+    table ``(stem, n_leads)``; a record that it lacks fails.
     """
+    own = isinstance(n_leads, DataFrame)
     stem = F.regexp_replace("path", r"\.(hea|dat)$", "")
     headers = files.where(F.col("path").endswith(".hea")).select(stem.alias("stem"), F.col("content").cast("string").alias("header"))
     data = files.where(F.col("path").endswith(".dat")).select(stem.alias("stem"), F.col("content").alias("data"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s, text, blob in zip(batch["stem"], batch["header"], batch["data"]):
+            for s, text, blob, want in zip(batch["stem"], batch["header"], batch["data"], batch["want"]):
                 head = format16.parse_header(text)
                 x = format16.decode(head, blob)
-                if n_leads is not None and len(x) != n_leads:
-                    raise ValueError(f"{s}: {len(x)} leads instead of {n_leads}")
+                if want >= 0 and len(x) != want:
+                    raise ValueError(f"{s}: {len(x)} leads instead of {want}")
                 if n_samples is not None and x.shape[1] != n_samples:
                     raise ValueError(f"{s}: {x.shape[1]} samples instead of {n_samples}")
                 yield pd.DataFrame({
@@ -47,7 +49,12 @@ def ingest_signals(files: DataFrame, n_leads: int | None = 12, n_samples: int |
                     "fs": np.int32(round(head["fs"])), "samples": list(x),
                 })
 
-    return headers.join(data, "stem").mapInPandas(
+    both = headers.join(data, "stem")
+    if own:
+        both = both.join(n_leads.select("stem", F.col("n_leads").cast("int").alias("want")), "stem", "left").withColumn("want", F.coalesce("want", F.lit(0)))
+    else:
+        both = both.withColumn("want", F.lit(-1 if n_leads is None else n_leads))
+    return both.mapInPandas(
         decode, "stem string, lead int, lead_name string, fs int, samples array<double>"
     )
 
@@ -84,21 +91,23 @@ def signal_rows(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def read_signal_files(
     records: DataFrame, root: str, source: str = "hr", id_col: str = "record_id", n_leads: int | None = 12, n_samples: int | None = None,
-    bytes_per_task: int = BYTES_PER_TASK, columns: dict[str, str] = PATH_COLUMNS,
+    bytes_per_task: int = BYTES_PER_TASK, columns: dict[str, str] = PATH_COLUMNS, leads: str | None = None,
 ) -> DataFrame:
     """Signals of the records, from the files that ``source`` names in each record's own row.
 
     Only ids and paths move; every task opens the header and data files of its
     records, whose number follows from the files' bytes.  A missing file, a record
-    without a path, and wrong lead or sample counts fail.  Other columns of
-    ``records`` are not read.
+    without a path, and wrong lead or sample counts fail.  ``leads`` names the column
+    that holds a record's own number of leads, instead of ``n_leads`` for all.  Other
+    columns of ``records`` are not read.
     """
     if source not in columns:
         raise ValueError(f"unknown signal source {source!r}")
     spark = records.sparkSession
     name = F.col(columns[source])
     known = F.when(name.isNull() | (name == ""), F.raise_error(F.concat(F.lit("no path of source "), F.lit(source)))).otherwise(name)
-    pairs = records.select(F.col(id_col).alias("record_id"), known.alias("name"))
+    want = F.lit(n_leads) if leads is None else F.coalesce(F.col(leads), F.lit(0))
+    pairs = records.select(F.col(id_col).alias("record_id"), known.alias("name"), want.cast("int").alias("leads"))
     held = list_files(spark, root, "*.dat").agg(F.sum("length"), F.count(F.lit(1))).first()
     mean = (held[0] or 0) / max(1, held[1])
     tasks = max(spark.sparkContext.defaultParallelism, int(pairs.count() * mean // bytes_per_task) + 1)
@@ -109,14 +118,14 @@ def read_signal_files(
         rows: list[tuple] = []
         cells = 0
         for batch in batches:
-            for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, path, expected in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 fs, at = _opened(root, path)
                 with fs.open_input_file(f"{at}.hea") as f:
                     head = format16.parse_header(f.read().decode())
                 with fs.open_input_file(f"{at}.dat") as f:
                     x = format16.decode(head, f.read())
-                if n_leads is not None and len(x) != n_leads:
-                    raise ValueError(f"{path}: {len(x)} leads instead of {n_leads}")
+                if expected is not None and len(x) != expected:
+                    raise ValueError(f"{path}: {len(x)} leads instead of {expected}")
                 if n_samples is not None and x.shape[1] != n_samples:
                     raise ValueError(f"{path}: {x.shape[1]} samples instead of {n_samples}")
                 rows.append((key, source, head, np.ascontiguousarray(x)))
@@ -134,16 +143,18 @@ def write_signal_files(signals: DataFrame, root: str, name: str = "name", gain:
     """Header and data files of records, for fixtures and exports; ``(name, bytes)`` of each.
 
     ``signals`` has ``name`` (path below ``root``), lead, fs and samples.  A record
-    has a fixed number of leads, so gathering them is bounded.
+    has few leads, so gathering them is bounded; a lead is named after its number.
     """
-    leads = F.transform(F.sort_array(F.collect_list(F.struct("lead", "samples"))), lambda s: s["samples"])
-    per = signals.groupBy(F.col(name).alias("name")).agg(F.max("fs").alias("fs"), leads.alias("x"))
+    held = F.sort_array(F.collect_list(F.struct("lead", "samples")))
+    per = signals.groupBy(F.col(name).alias("name")).agg(F.max("fs").alias("fs"), held.alias("held")).select(
+        "name", "fs", "held.samples", "held.lead"
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for path, rate, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                head, blob = format16.encode(path.rpartition("/")[2], int(rate), np.array(x, dtype=float), gain)
+            for path, rate, x, lead in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                head, blob = format16.encode(path.rpartition("/")[2], int(rate), np.array(x, dtype=float), gain, lead)
                 fs, at = _opened(root, path)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 for suffix, body in (("hea", head.encode()), ("dat", blob)):
@@ -158,17 +169,19 @@ def write_signal_files(signals: DataFrame, root: str, name: str = "name", gain:
 def encode_signals(signals: DataFrame, gain: float = 1000.0, path: str = "record") -> DataFrame:
     """The inverse of ingest for fixtures: rows ``(path, content)`` of header and data files.
 
-    A record has a fixed number of leads, so gathering them is bounded.
+    A record has few leads, so gathering them is bounded; a lead is named after its number.
     """
-    leads = F.transform(F.sort_array(F.collect_list(F.struct("lead", "samples"))), lambda s: s["samples"])
-    per = signals.groupBy("record_id").agg(F.max("fs").alias("fs"), leads.alias("x"))
+    held = F.sort_array(F.collect_list(F.struct("lead", "samples")))
+    per = signals.groupBy("record_id").agg(F.max("fs").alias("fs"), held.alias("held")).select(
+        "record_id", "fs", F.col("held.samples").alias("x"), F.col("held.lead").alias("lead")
+    )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for rid, fs, x in zip(batch["record_id"], batch["fs"], batch["x"]):
+            for rid, fs, x, lead in zip(batch["record_id"], batch["fs"], batch["x"], batch["lead"]):
                 name = f"{rid:05d}"
-                head, blob = format16.encode(name, int(fs), np.stack([np.asarray(v, dtype=float) for v in x]), gain)
+                head, blob = format16.encode(name, int(fs), np.stack([np.asarray(v, dtype=float) for v in x]), gain, lead)
                 rows += [(f"{path}/{name}.hea", head.encode()), (f"{path}/{name}.dat", blob)]
             yield pd.DataFrame(rows, columns=["path", "content"])
 

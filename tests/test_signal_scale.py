@@ -80,3 +80,22 @@ def test_files_are_found_by_the_path_of_the_chosen_source(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown signal source"):
         store.read_signal_files(records, str(tmp_path), "xr")
     assert format16.parse_header("r 1 500 2\nr.dat 16\n")["gain"] == [200.0]
+
+
+def test_records_are_held_to_their_own_leads(spark, tmp_path):
+    """Records with fewer leads than others, and with a gap between them, come back whole under their numbers."""
+    from pulsegrid.plans.catalog import QUERIES
+
+    # the last record of a table that ends inside it, and one without its lead 1
+    rows = [(i, [float(i % 50)] * 64, i % 10) for i in range(10) if i != 5]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted((i // 4, i % 4) for i, _, _ in rows)
+    got = QUERIES["ingest_signals"](spark, str(tmp_path)).where("m = 63").collect()
+    assert sorted((int(r["stem"]), r["lead"]) for r in got) == want and all(r["value"] == 4 * int(r["stem"]) + r["lead"] for r in got)
+    got = QUERIES["read_signal_files"](spark, str(tmp_path)).where("m = 31").collect()
+    assert sorted((r["record_id"], r["lead"]) for r in got if r["source"] == "lr") == want
+    assert all(r["value"] == 4 * r["record_id"] + r["lead"] and r["lead_name"] == f"L{r['lead']}" for r in got)
+    held = store.encode_signals(spark.createDataFrame([(0, 0, 40, [1.0, 2.0])], "record_id long, lead int, fs int, samples array<float>"))
+    for leads in ([("record/00000", 2)], [("record/00001", 1)]):  # a lead is lost; no record of that name is declared
+        with pytest.raises(Exception, match="1 leads instead of"):
+            store.ingest_signals(held, spark.createDataFrame(leads, "stem string, n_leads long")).collect()
