@@ -99,3 +99,19 @@ def test_records_are_held_to_their_own_leads(spark, tmp_path):
     for leads in ([("record/00000", 2)], [("record/00001", 1)]):  # a lead is lost; no record of that name is declared
         with pytest.raises(Exception, match="1 leads instead of"):
             store.ingest_signals(held, spark.createDataFrame(leads, "stem string, n_leads long")).collect()
+
+
+def test_samples_go_on_before_the_next_are_read(spark, monkeypatch):
+    """A slice of rows leaves a kernel at a time, in order, whatever the lengths; the plan has no frame of a whole batch."""
+    rows = [(i, "a" if i % 2 else None, [float(i)] * (5 + i % 3) + [None]) for i in range(700)]
+    df = spark.createDataFrame(rows, "record_id long, note string, samples array<double>").coalesce(1)
+    for element in ("float", "double"):
+        got = S.map_samples(df, lambda x: np.append(x[:, :3] * 2, np.full((len(x), 1), len(x)), axis=1), element)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        kept = got.collect()
+        assert [(r["record_id"], r["note"], r["samples"][:3]) for r in kept] == [(i, n, [2.0 * i] * 3) for i, n, _ in rows]
+        assert max(r["samples"][3] for r in kept) <= S.KERNEL_ROWS / 2 and len(kept[0]["samples"]) == 4
+    back = S.map_samples(df, lambda x: x, "double").orderBy("record_id").collect()
+    assert [len(r["samples"]) for r in back] == [6 + i % 3 for i in range(700)] and np.isnan(back[0]["samples"][-1])
+    with pytest.raises(Exception, match="a row without samples"):
+        S.map_samples(spark.createDataFrame([(1, None)], "record_id long, samples array<double>"), lambda x: x).collect()
