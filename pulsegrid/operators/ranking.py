@@ -10,11 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
 from .prefix import RANGE, lookup_join, range_cuts, range_layout, running, with_range
 
 WIDE = "decimal(38,0)"
-#: Below this many ranges (about a billion rows) pair counts of a group fit a BIGINT.
+#: Below this many ranges (about a billion distinct scores) and up to this many cells pair counts of a group fit a BIGINT.
 BIGINT_RANGES = 2_000
+BIGINT_CELLS = 1 << 32
 DEFAULT_KEYS = ("run_id", "label")
 
 
@@ -37,6 +39,20 @@ def collapse(preds: DataFrame, keys: Sequence[str], weight: str | None = None) -
     )
 
 
+def collapse_wide(wide: DataFrame, scores: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """:func:`collapse` of a wide table ``(labels…, scores…)`` by ``(run_id, label)``: one run per score column.
+
+    The labels of a row share its scores, so equal scores are counted once for all of them.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = wide.unpivot(list(labels), list(scores), "run_id", "score").withColumn("score", known_score())
+    counts = rows.groupBy("run_id", "score").agg(
+        F.sum(one).alias("_n"), *[F.sum(F.when(F.col(c) > 0, one).otherwise(zero)).alias(c) for c in labels]
+    )
+    each = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("pos"), (F.col("_n") - F.col(c)).alias("neg")) for c in labels])
+    return counts.select("run_id", "score", F.inline(each)).select("run_id", "label", "score", "pos", "neg")
+
+
 def auroc_from_counts(u2: Column, n_pos: Column, n_neg: Column) -> Column:
     """``U / (n+ n-)`` from twice the Mann-Whitney count; NULL with one class."""
     return F.when(
@@ -144,14 +160,28 @@ def label_scores(
 
     Both are NULL unless both classes are present, also when every row is positive.
     """
+    return scores_of_counts(collapse(preds, keys, weight), keys, cuts)
+
+
+def scores_of_counts(table: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, cuts: Sequence[float] | None = None) -> DataFrame:
+    """:func:`label_scores` from the class totals per distinct score that :func:`collapse` or :func:`collapse_wide` gives.
+
+    With ranges the totals are written: the sketch and both sides of the scan read
+    them, and an exchange above an unpivot is not reused.  ``cuts=()`` is one scan
+    for groups that fit a task.
+    """
     keys = list(keys)
-    cuts = range_cuts(preds, "score") if cuts is None else cuts
-    scan = running(collapse(preds, keys, weight), keys, "score", ["pos", "neg"], cuts, descending=True)
+    few = True
+    if cuts is None or cuts:
+        table = written(table, "totals")
+        few = (table.agg(F.sum(F.col("pos").cast("decimal(18,0)") + F.col("neg"))).first()[0] or 0) <= BIGINT_CELLS
+        cuts = range_cuts(table, "score") if cuts is None else cuts
+    scan = running(table, keys, "score", ["pos", "neg"], cuts, descending=True)
     tp = F.col("before_pos") + F.col("pos")
     fp = F.col("before_neg") + F.col("neg")
     step = F.col("pos") * tp.cast("double") / (tp + fp)
     wins = 2 * F.col("before_pos") + F.col("pos")
-    if len(cuts) < BIGINT_RANGES:
+    if few and len(cuts) < BIGINT_RANGES:
         pairs = F.col("neg") * wins
     else:
         pairs = F.col("neg").cast("decimal(18,0)") * wins.cast("decimal(19,0)")

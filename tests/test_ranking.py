@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.operators import ranking
 
@@ -147,3 +148,32 @@ def test_seed_dispersion_of_one_seed_is_zero(spark):
 def test_accuracy(spark):
     df = spark.createDataFrame([("r", "l", 1, 0.7), ("r", "l", 0, 0.6), ("r", "l", 0, 0.1)], "run_id string, label string, y int, score double")
     assert ranking.accuracy_at(df).first()["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_totals_of_an_unpivot_are_made_once(spark):
+    """No exchange above an unpivot is reused, so the scan reads totals that are written."""
+    pdf = predictions(labels=2, runs=1)
+    wide = pdf.pivot_table(index="record_id", columns="label", values=["y", "score"])
+    wide.columns = [f"{a}_{b}" for a, b in wide.columns]
+    wide = spark.createDataFrame(wide).withColumns({c: F.col(c).cast("int") for c in ("y_l0", "y_l1")})
+    scores, labels = ["score_l0", "score_l1"], ["y_l0", "y_l1"]
+    long = wide.unpivot(labels, scores, "run_id", "score").unpivot(["run_id", "score"], labels, "label", "y")
+    want = sorted(map(tuple, ranking.label_scores(long, cuts=()).collect()))
+    assert len(want) == 4
+    for cuts in (None, (0.3, 0.8)):
+        got = ranking.label_scores(long, cuts=cuts)
+        assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+        both = ranking.scores_of_counts(ranking.collapse_wide(wide, scores, labels), cuts=cuts)
+        for df in (got, both):
+            assert [tuple(map(pytest.approx, r)) for r in sorted(map(tuple, df.collect()))] == want
+    with pytest.raises(Exception, match="a score is undefined"):
+        ranking.scores_of_counts(ranking.collapse_wide(wide.withColumn("score_l0", F.lit(None).cast("double")), scores, labels)).collect()
+
+
+@pytest.mark.parametrize("cuts", [None, (0.5,)])
+def test_pairs_of_few_scores_and_many_cells(spark, cuts):
+    """Few distinct scores are few ranges, but their pairs need not fit a BIGINT."""
+    rows = [(s, y, 4_000_000_000 + y) for s in (0.2, 0.8) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "score double, y int, w long").withColumn("label", F.lit("a"))
+    got = ranking.label_scores(df, ["label"], "w", cuts).first()
+    assert (got["n_pos"], got["n_neg"], got["auroc"]) == (8_000_000_002, 8_000_000_000, 0.5)
