@@ -25,8 +25,6 @@ WEIGHTS_PER_TASK = 1 << 27
 WEIGHTS_AT_ONCE = 1 << 21
 #: Digests made at once; each gives two draws.
 DIGESTS_AT_ONCE = 1 << 18
-#: Partitions per block of replicates, so that few blocks meet in one.
-PARTITIONS_PER_BLOCK = 8
 #: Records whose weights travel as one row.
 RECORDS_PER_ROW = 4_096
 #: The replicate that holds every record once.
@@ -108,7 +106,7 @@ def bootstrap_weights(records: DataFrame, n_boot: int, seed: int = 0, key: str =
 # --- draws of the rank statistics --------------------------------------------------------
 
 class Resample(NamedTuple):
-    """Predictions in pieces: the cells of a run and label in one score range, in the order of their scores."""
+    """Predictions in written pieces: the cells of a run and label in one score range, in the order of their scores."""
 
     pieces: DataFrame
     runs: DataFrame
@@ -137,8 +135,9 @@ def resample(preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cu
     """The shared resample over ``(by…, record_id, label, y, score)``, one form for all sizes.
 
     Draws need no table, so weights never move: a task makes those of its block of
-    replicates and reads the predictions past them.  What moves is a little over
-    four bytes per prediction and block, and there are twice as many blocks as
+    replicates and reads the predictions past them.  Predictions are written once,
+    at a little over four bytes each, and every block reads that one table, so
+    what is on disk does not depend on the number of blocks.  There are twice as many of them as
     cores unless a block's weights outgrow ``WEIGHTS_PER_TASK``.  Score ranges keep a
     piece to about ``CELLS_PER_PIECE`` cells; ``cuts`` steer balance only and come from
     a sketch of the scores unless given.  A NULL or NaN score is refused.  Records may
@@ -167,7 +166,7 @@ def resample(preds: DataFrame, by: Sequence[str], n_boot: int, seed: int = 0, cu
         *[T.StructField(c, T.BinaryType()) for c in ("idx", "positive", "new")],
     ])
     pieces = named.join(numbered, "record_id").select("label", "_run", RANGE, "idx", "y", "score").groupBy("label", "_run", RANGE).applyInArrow(_pack, schema)
-    return Resample(pieces, runs, by, label, n, n_boot, seed, block_width(spark, n, n_boot))
+    return Resample(written(pieces, "pieces"), runs, by, label, n, n_boot, seed, block_width(spark, n, n_boot))
 
 
 def _summed(w: np.ndarray) -> np.ndarray:
@@ -180,6 +179,7 @@ def _summed(w: np.ndarray) -> np.ndarray:
 def _replicates(sample: Resample, columns: Sequence[str], kernel: Callable, point: bool) -> DataFrame:
     """``(label, _run, rep, n_pos, n_neg, columns…)``: sums over the pieces of each run and label, highest scores first.
 
+    One task per block, which reads all pieces from where they are written; no copy of them is shuffled.
     ``kernel(w, positive, rank, n_pos, n_neg)`` gives one array of replicates per
     column, class totals first; ``n_pos`` and ``n_neg`` are the totals of the higher pieces.
     """
@@ -230,8 +230,10 @@ def _replicates(sample: Resample, columns: Sequence[str], kernel: Callable, poin
         if at is not None:
             yield rows(at, reps, sums)
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    dealt = sample.pieces.withColumn("block", blocks).repartition(n_blocks * PARTITIONS_PER_BLOCK, "block")
+    spark = sample.pieces.sparkSession
+    numbers = spark.sparkContext.parallelize(range(n_blocks), n_blocks).map(lambda number: (number,))
+    blocks = spark.createDataFrame(numbers, "block int")
+    dealt = sample.pieces.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))
     return dealt.sortWithinPartitions("block", "label", "_run", F.desc(RANGE)).mapInArrow(evaluate, schema)
 
 

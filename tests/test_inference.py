@@ -75,6 +75,20 @@ def test_no_draw_or_weight_is_shuffled(spark, preds, monkeypatch):
     assert key(inference.bootstrap_counts(ens, ["grp"], N_BOOT, cuts=(0.3,))) == whole
 
 
+def test_no_copy_of_the_predictions_is_shuffled(spark, preds, monkeypatch):
+    """Pieces are written once, whatever the number of blocks; each block is one task that reads them there."""
+    sizes = []
+    for held in (1 << 27, 60):  # few blocks, and one for each replicate of 60 records
+        monkeypatch.setattr(inference, "WEIGHTS_PER_TASK", held)
+        sample = inference.resample(ranking.ensemble(preds), ["grp"], N_BOOT, cuts=(0.3,))
+        draws = inference._replicates(sample, ("u2 long",), inference._pairs, True)
+        assert "Exchange" not in draws._jdf.queryExecution().executedPlan().toString()
+        assert draws.rdd.getNumPartitions() == -(-N_BOOT // sample.width)
+        assert draws.count() == 9 * (N_BOOT + 1)
+        sizes.append((sample.pieces.count(), sample.pieces.agg(F.sum(F.length("idx"))).first()[0]))
+    assert sizes == [(18, 4 * 9 * 60)] * 2
+
+
 def test_weights_meet_their_records_across_rows_of_any_size(spark, monkeypatch):
     """Blocks of records and replicates end anywhere; keys of any type keep their order."""
     records = spark.range(0, 51).select(F.format_string("r%03d", F.col("id")).alias("k"))
