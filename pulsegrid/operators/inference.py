@@ -21,11 +21,11 @@ from .ranking import accuracy_at, auroc, auroc_from_counts, ensemble, label_scor
 CELLS_PER_PIECE = 32_768
 #: Bytes of weights a task may hold: one per record and replicate of its block.
 WEIGHTS_PER_TASK = 1 << 27
-#: Weights evaluated at once inside a task.
+#: Weights evaluated or opened at once inside a task.
 WEIGHTS_AT_ONCE = 1 << 21
 #: Digests made at once; each gives two draws.
 DIGESTS_AT_ONCE = 1 << 18
-#: Records whose weights travel as one row.
+#: Records whose keys travel as one row.
 RECORDS_PER_ROW = 4_096
 #: The replicate that holds every record once.
 POINT = -1
@@ -64,43 +64,44 @@ def block_width(spark: SparkSession, n: int, n_boot: int) -> int:
 def bootstrap_weights(records: DataFrame, n_boot: int, seed: int = 0, key: str = "record_id") -> DataFrame:
     """``(rep, key, w)`` over the distinct records; positions follow the order of the key.
 
-    Weights meet the keys as rows of ``RECORDS_PER_ROW`` records and a block of
-    replicates, one byte each, and are opened after that.
+    Keys are written once, ``RECORDS_PER_ROW`` to a row.  One task per block of
+    replicates makes its weights and reads the keys past them, so no weight is
+    shuffled or broadcast.
     """
     spark = records.sparkSession
     ids = written(records.select(key).distinct(), "records")
     n = ids.count()
     width = block_width(spark, n, n_boot)
-    n_blocks = -(-n_boot // width)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                first = block * width
-                weights = replicate_weights(n, range(first, min(first + width, n_boot)), seed)
-                for lo in range(0, n, RECORDS_PER_ROW):
-                    body = np.ascontiguousarray(weights[lo : lo + RECORDS_PER_ROW].T)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lo // RECORDS_PER_ROW], pa.int64()), pa.array([first], pa.int64()), pa.array([body.tobytes()], pa.binary())],
-                        names=["place", "first", "w"],
-                    )
-
-    weights = spark.range(0, n_blocks, 1, n_blocks).mapInArrow(made, "place long, first long, w binary")
     keys = dense_index(ids, key).groupBy(F.expr(f"idx div {RECORDS_PER_ROW}").alias("place")).agg(
         F.sort_array(F.collect_list(F.struct("idx", F.col(key).alias("k")))).alias("held")  # RECORDS_PER_ROW at most
-    ).select("place", F.col("held.k").alias("k"))
+    ).select((F.col("place") * RECORDS_PER_ROW).alias("first"), F.col("held.k").alias("k"))
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField(key, ids.schema[key].dataType), T.StructField("w", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = weights = None
         for batch in batches:
-            for first, body, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                w = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, len(held.values))
-                rep, at = np.nonzero(w)
-                columns = [pa.array(first + rep), held.values.take(pa.array(at)), pa.array(w[rep, at].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return weights.join(keys, "place").select("first", "w", "k").mapInArrow(opened, schema)
+            for block, first, held in zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("k")):
+                if block != at:
+                    weights = None  # the last block's go first
+                    at, weights = block, replicate_weights(n, range(block * width, min((block + 1) * width, n_boot)), seed)
+                drawn = weights[first : first + len(held.values)].T
+                step = max(1, WEIGHTS_AT_ONCE // len(held.values))
+                for lo in range(0, len(drawn), step):
+                    w = np.ascontiguousarray(drawn[lo : lo + step])
+                    rep, place = np.nonzero(w)
+                    columns = [pa.array(block * width + lo + rep), held.values.take(pa.array(place)), pa.array(w[rep, place].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return _per_block(written(keys, "keys"), -(-n_boot // width)).mapInArrow(opened, schema)
+
+
+def _per_block(pieces: DataFrame, n_blocks: int) -> DataFrame:
+    """Written ``pieces`` for every ``block``, one task each, which reads them where they are written; no copy of them is shuffled."""
+    spark = pieces.sparkSession
+    numbers = spark.sparkContext.parallelize(range(n_blocks), n_blocks).map(lambda number: (number,))
+    blocks = spark.createDataFrame(numbers, "block int")
+    return pieces.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))
 
 
 # --- draws of the rank statistics --------------------------------------------------------
@@ -191,7 +192,6 @@ def _replicates(sample: Resample, columns: Sequence[str], kernel: Callable, poin
     ])
     arrow = to_arrow_schema(schema)
     n, n_boot, seed, width = sample.n, sample.n_boot, sample.seed, sample.width
-    n_blocks = -(-n_boot // width)
 
     def block(number: int) -> tuple[np.ndarray, np.ndarray]:
         """A block's replicates and their weights, in the first one also the one that holds every record once."""
@@ -230,11 +230,7 @@ def _replicates(sample: Resample, columns: Sequence[str], kernel: Callable, poin
         if at is not None:
             yield rows(at, reps, sums)
 
-    spark = sample.pieces.sparkSession
-    numbers = spark.sparkContext.parallelize(range(n_blocks), n_blocks).map(lambda number: (number,))
-    blocks = spark.createDataFrame(numbers, "block int")
-    dealt = sample.pieces.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))
-    return dealt.sortWithinPartitions("block", "label", "_run", F.desc(RANGE)).mapInArrow(evaluate, schema)
+    return _per_block(sample.pieces, -(-n_boot // width)).sortWithinPartitions("block", "label", "_run", F.desc(RANGE)).mapInArrow(evaluate, schema)
 
 
 def _named(sample: Resample, values: DataFrame, columns: Sequence[str]) -> DataFrame:

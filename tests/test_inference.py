@@ -104,6 +104,23 @@ def test_weights_meet_their_records_across_rows_of_any_size(spark, monkeypatch):
     assert all("md5" not in p for p in plans)  # no row per draw
 
 
+def test_weights_are_neither_broadcast_nor_shuffled(spark, monkeypatch):
+    """Spark knows nothing of their size, so they must not be a side of a join; a task per block opens them in slices."""
+    records = spark.range(0, 51).selectExpr("id record_id")
+    want = inference.replicate_weights(51, range(9))
+    want = sorted((r, i, int(want[i, r])) for i, r in np.ndindex(51, 9) if want[i, r])
+    monkeypatch.setattr(inference, "WEIGHTS_PER_TASK", 51 * 4)
+    for per_row, at_once in ((4_096, 1 << 21), (4_096, 51 * 3), (20, 1)):
+        monkeypatch.setattr(inference, "RECORDS_PER_ROW", per_row)
+        monkeypatch.setattr(inference, "WEIGHTS_AT_ONCE", at_once)
+        got = inference.bootstrap_weights(records, 9)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.rdd.getNumPartitions() == -(-9 // inference.block_width(spark, 51, 9))
+        assert sorted(map(tuple, got.collect())) == want
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40  # nor taken for a small side by a later join
+    assert inference.bootstrap_weights(records.limit(0), 9).count() == 0
+
+
 def test_counts_do_not_depend_on_ranges(preds):
     """Ranges give the integers of one range, and those of the weighted scan over one row per replicate."""
     ens = ranking.ensemble(preds)
